@@ -196,22 +196,25 @@ def frame_lines(spark: SparkSession, paths, strict: bool = True, **options) -> D
     )
 
 
-def read_frames(spark: SparkSession, paths, strict: bool = True, **options) -> DataFrame:
+def read_frames(
+    spark: SparkSession, paths, strict: bool = True, comment_energy: str | None = None, **options
+) -> DataFrame:
     """A1/A2: frames of extended-XYZ files, one row per frame, keyed by (file_ord, frame_idx).
 
     Strict: a frame with fewer lines than announced is an error. Tolerant: only
-    good frames are kept, numbered again from 0 in each file.
+    good frames are kept, numbered again from 0 in each file. ``comment_energy`` is
+    a pattern whose first group is the energy, for comments without key=value pairs.
     """
     rows = frame_lines(spark, paths, strict=strict, **options)
     files = list_files(spark, paths, **options)
     if strict:
-        return assemble(rows, files)
+        return assemble(rows, files, comment_energy)
     good = validate_frames(rows).filter(F.col("status") == "good").select("file", "frame_idx")
     kept = rows.join(good, ["file", "frame_idx"], "left_semi").filter(F.length("line") > 0)
-    return renumber(assemble(kept, files))
+    return renumber(assemble(kept, files, comment_energy))
 
 
-def assemble(rows: DataFrame, files: DataFrame) -> DataFrame:
+def assemble(rows: DataFrame, files: DataFrame, comment_energy: str | None = None) -> DataFrame:
     """A1, A3-A5: the lines of each frame become one row."""
     grouped = rows.groupBy("file", "frame_idx").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")
@@ -230,10 +233,11 @@ def assemble(rows: DataFrame, files: DataFrame) -> DataFrame:
             F.raise_error(F.format_string("%s: frame %d is cut short", F.col("file"), F.col("frame_idx")))
         ),
     ).withColumn("comment", F.when(bare, "").otherwise(F.get("ls", F.lit(1))))
-    return from_comment(checked).join(files.select("file", "file_ord"), "file")
+    framed = from_comment(checked, comment_energy)
+    return framed.join(files.select("file", "file_ord"), "file")
 
 
-def from_comment(df: DataFrame) -> DataFrame:
+def from_comment(df: DataFrame, comment_energy: str | None = None) -> DataFrame:
     """A3-A5: promoted columns from ``comment`` and atoms from ``rows``."""
     info = df.withColumn("info", tx.parse_info(F.col("comment"))).withColumn(
         "info_keys", tx.info_keys(F.col("comment"))
@@ -250,6 +254,9 @@ def from_comment(df: DataFrame) -> DataFrame:
     def number(key: str) -> Column:
         return tx.info_value(F.col("info"), key).try_cast("double")
 
+    energy = number("energy")
+    if comment_energy:
+        energy = F.regexp_extract("comment", comment_energy, 1).try_cast("double")
     return laid.select(
         "file",
         F.regexp_extract("file", r"([^/]+)/[^/]*$", 1).alias("source"),
@@ -260,7 +267,7 @@ def from_comment(df: DataFrame) -> DataFrame:
         "properties",
         "info",
         "info_keys",
-        number("energy").alias("energy"),
+        energy.alias("energy"),
         tx.floats(tx.info_value(F.col("info"), "virial")).alias("virial"),
         tx.floats(tx.info_value(F.col("info"), "stress")).alias("stress"),
         number("uncertainty").alias("uncertainty"),
