@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cell
 from ..session import cut
@@ -30,13 +31,17 @@ _BUCKET = 500  # in quantised units; more than twice the match tolerance plus ro
 FRAME = ("file_ord", "frame_idx")
 
 
-def _fractional() -> Column:
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fractional(inv: Column) -> Column:
     """Atoms with fractional coordinates, wrapped on periodic axes; Cartesian without a cell."""
-    inv = cell.cell_inverse(F.col("lattice"))
 
     def one(a: Column) -> Column:
         xyz = [a["x"], a["y"], a["z"]]
-        frac = cell.to_frac(xyz, F.col("inv"))
+        frac = cell.to_frac(xyz, inv)
         out = []
         for k in range(3):
             f = F.coalesce(frac[k], xyz[k])
@@ -52,49 +57,53 @@ def _q(c: Column) -> Column:
     return F.rint(c * QUANT).cast("long")
 
 
-def fingerprints(frames: DataFrame) -> DataFrame:
-    """Add ``loose`` (fingerprint), ``tied`` (with species tied to positions), ``exact`` and ``crowded``."""
-    framed = (
-        frames.withColumn("inv", cell.cell_inverse(F.col("lattice")))
-        .withColumn("frac", _fractional())
-        .withColumn(
-            "__q",
-            F.transform(
-                "frac",
-                lambda a: F.struct(_q(a["u"]).alias("u"), _q(a["v"]).alias("v"), _q(a["w"]).alias("w"), a["s"].alias("s")),
-            ),
-        )
-    )
-    box = F.transform(F.coalesce("lattice", F.array().cast("array<double>")), _q)
-    positions = F.array_sort(F.transform("__q", lambda a: F.struct(a["u"], a["v"], a["w"])))
-    species = F.array_sort(F.transform("__q", lambda a: a["s"]))
-    full = int(QUANT)
+def _crowded(q: Column) -> Column:
+    """Whether two atoms may sit too close for the tolerance to tell apart (never misses a case).
 
-    def doubled(offsets: tuple[int, int, int]) -> Column:
+    Two such atoms share a bucket of at least one of the eight shifted grids.
+    """
+    half = _BUCKET // 2
+    shifts = [F.array(*[F.lit(o) for o in (x, y, z)]) for x in (0, half) for y in (0, half) for z in (0, half)]
+
+    def doubled(o: Column) -> Column:
         def code(a: Column) -> Column:
-            b = [F.floor(F.pmod(a[c] + o, F.lit(full)) / _BUCKET) for c, o in zip("uvw", offsets)]
+            b = [F.floor(F.pmod(a[c] + F.get(o, F.lit(k)), F.lit(int(QUANT))) / _BUCKET) for k, c in enumerate("uvw")]
             return b[0] * 4_000_000 + b[1] * 2_000 + b[2]
 
-        codes = F.transform("__q", code)
-        return F.size(F.array_distinct(codes)) < F.size(codes)
+        return F.size(F.array_distinct(F.transform(q, code))) < F.size(q)
 
-    half = _BUCKET // 2
-    crowded = None
-    for ox in (0, half):
-        for oy in (0, half):
-            for oz in (0, half):
-                hit = doubled((ox, oy, oz))
-                crowded = hit if crowded is None else crowded | hit
-    return framed.select(
-        *frames.columns,
-        "frac",
+    return F.exists(F.array(*shifts), doubled)
+
+
+def _signature(frac: Column, q: Column) -> Column:
+    box = F.transform(F.coalesce("lattice", F.array().cast("array<double>")), _q)
+    positions = F.array_sort(F.transform(q, lambda a: F.struct(a["u"], a["v"], a["w"])))
+    species = F.array_sort(F.transform(q, lambda a: a["s"]))
+    exact = F.struct(F.col("lattice"), F.col("pbc"), frac.alias("f"))
+    return F.struct(
+        F.sha2(F.to_json(F.struct(box.alias("b"), F.array_sort(q).alias("p"))), 256).alias("tied"),
         F.sha2(F.to_json(F.struct(box.alias("b"), species.alias("s"), positions.alias("p"))), 256).alias("loose"),
-        F.sha2(F.to_json(F.struct(box.alias("b"), F.array_sort("__q").alias("p"))), 256).alias("tied"),
-        F.sha2(F.to_json(F.struct(F.col("lattice"), F.col("pbc"), F.col("frac"))), 256).alias("exact"),
-        crowded.alias("crowded"),
+        F.sha2(F.to_json(exact), 256).alias("exact"),
+        _crowded(q).alias("crowded"),
+        frac.alias("frac"),
     )
 
 
+def fingerprints(frames: DataFrame) -> DataFrame:
+    """Add ``loose`` (fingerprint), ``tied`` (with species tied to positions), ``exact``, ``crowded`` and ``frac``."""
+
+    def rounded(frac: Column) -> Column:
+        return F.transform(
+            frac, lambda a: F.struct(_q(a["u"]).alias("u"), _q(a["v"]).alias("v"), _q(a["w"]).alias("w"), a["s"].alias("s"))
+        )
+
+    sig = _let(
+        _let(cell.cell_inverse(F.col("lattice")), _fractional),
+        lambda frac: _let(rounded(frac), lambda q: _signature(frac, q)),
+    )
+    return frames.withColumn("__sig", sig).select(*frames.columns, "__sig.*")
+
+
 def copies(
     rows: DataFrame, content: str | Sequence[str], key: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -115,12 +124,11 @@ def copies(
     return (
         slim.join(first, group)
         .filter(F.col("__k") != F.col("dup_of"))
-        .select(*by, "__k.*", "dup_of")
-        .select(*key, "dup_of")
+        .select("__k.*", "dup_of")
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     """Strict match of two frames: greedy nearest unused atom of the same species."""
 
@@ -170,12 +178,20 @@ def _leader_rounds(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> Da
 
 def dup_report(frames: DataFrame, key: Sequence[str] = FRAME, by: Sequence[str] = ()) -> DataFrame:
     """Dropped frames and the kept frame each one repeats; ``by=["file"]`` stays inside files."""
-    marked = fingerprints(frames)
-    plain = copies(marked.filter(~F.col("crowded")), "tied", key, by)
-    crowded = marked.filter("crowded")
-    if crowded.isEmpty():
+    crowded = F.col("crowded")
+    keep = list(dict.fromkeys([*by, *key]))
+    # one pass over the frames leaves a slim table; positions stay only where they are compared
+    marked = cut(
+        fingerprints(frames).select(
+            *keep, "tied", "crowded", *[F.when(crowded, F.col(c)).alias(c) for c in ("loose", "exact", "frac")]
+        ),
+        "fingerprints",
+    )
+    plain = copies(marked.filter(~crowded), "tied", key, by)
+    close = marked.filter(crowded)
+    if close.isEmpty():
         return plain
-    return plain.unionByName(_leader_rounds(crowded, key, by))
+    return plain.unionByName(_leader_rounds(close, key, by))
 
 
 def dedup(frames: DataFrame, key: Sequence[str] = FRAME, by: Sequence[str] = ()) -> DataFrame:

@@ -202,6 +202,19 @@ class Ordered:
         )
         return self
 
+    def group_size(self, name: str) -> "Ordered":
+        """Rows in the group of each row."""
+        if not self.split:
+            size = F.count(F.lit(1)).over(Window.partitionBy(*(self.by or [F.lit(0)])))
+            self.df = self.df.withColumn(name, size)
+            return self
+        sizes = self.df.groupBy(*self.by).agg(F.count(F.lit(1)).alias(name))
+        if self.by:
+            self.df = self.df.join(sizes, self.by)
+        else:
+            self.df = self.df.withColumn(name, sizes.scalar())
+        return self
+
     def result(self) -> DataFrame:
         return self.df.drop(_SEG, _HOT)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators.running import group_rank, prefix_offsets
@@ -26,6 +27,11 @@ LONE_COUNT = r"^\s*0*[1-9]\d*\s*$"
 
 # -- frame starts ------------------------------------------------------------
 
+_STARTS = T.ArrayType(
+    T.StructType([T.StructField("line_no", T.LongType()), T.StructField("n", T.LongType())])
+)
+
+
 def _exits(cands: list, end: int) -> dict[int, int]:
     """Where the chain from each candidate leaves the split (``end`` is its last line + 1)."""
     out: dict[int, int] = {}
@@ -39,12 +45,12 @@ def _pairs(rows) -> list[tuple[int, int]]:
     return [(r["line_no"], r["n"]) for r in rows]
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _distinct_exits(cands: pd.Series, end: pd.Series) -> pd.Series:
     return pd.Series([sorted({x for x in _exits(_pairs(c), e).values() if x >= 0}) for c, e in zip(cands, end)])
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _exits_of(cands: pd.Series, end: pd.Series, entries: pd.Series) -> pd.Series:
     def one(rows, stop, wanted):
         exits = _exits(_pairs(rows), stop)
@@ -53,7 +59,7 @@ def _exits_of(cands: pd.Series, end: pd.Series, entries: pd.Series) -> pd.Series
     return pd.Series([one(*a) for a in zip(cands, end, entries)])
 
 
-@F.pandas_udf("array<struct<line_no:bigint,n:bigint>>")
+@F.pandas_udf(_STARTS)
 def _chain(cands: pd.Series, end: pd.Series, entry: pd.Series) -> pd.Series:
     def one(rows, stop, at):
         size = dict(_pairs(rows))
