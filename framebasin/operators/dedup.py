@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cell
+from ..functions.binding import let
 from ..session import cut
 
 # Fingerprint digits and match tolerance (fractional).
@@ -31,11 +32,6 @@ _BUCKET = 500  # in quantised units; more than twice the match tolerance plus ro
 FRAME = ("file_ord", "frame_idx")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _fractional(inv: Column) -> Column:
     """Atoms with fractional coordinates, wrapped on periodic axes; Cartesian without a cell."""
 
@@ -97,9 +93,9 @@ def fingerprints(frames: DataFrame) -> DataFrame:
             frac, lambda a: F.struct(_q(a["u"]).alias("u"), _q(a["v"]).alias("v"), _q(a["w"]).alias("w"), a["s"].alias("s"))
         )
 
-    sig = _let(
-        _let(cell.cell_inverse(F.col("lattice")), _fractional),
-        lambda frac: _let(rounded(frac), lambda q: _signature(frac, q)),
+    sig = let(
+        let(cell.cell_inverse(F.col("lattice")), _fractional),
+        lambda frac: let(rounded(frac), lambda q: _signature(frac, q)),
     )
     return frames.withColumn("__sig", sig).select(*frames.columns, "__sig.*")
 

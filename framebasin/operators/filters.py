@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cell, text as tx
+from ..functions.binding import let
 from .pairs import too_close
 
 FRAME = ("file_ord", "frame_idx")
@@ -92,19 +93,40 @@ _IN_ROW = 200  # up to this many atoms the pair loop runs inside the frame row,
 
 
 def _row_min_distance() -> Column:
-    """Shortest distance inside one frame row as an expression; infinite for a single atom."""
-    inf = F.lit(float("inf"))
-
-    def from_atom(a: Column, i: Column) -> Column:
-        rest = F.slice("atoms", i + 2, F.size("atoms"))
-
-        def reach(m: Column, b: Column) -> Column:
-            dr = [a[c] - b[c] for c in "xyz"]
-            return F.least(m, cell.norm(cell.min_image(dr, F.col("lattice"), F.col("inv"), F.col("pbc"))))
-
-        return F.aggregate(rest, inf, reach)
-
-    return F.array_min(F.transform("atoms", from_atom))
+    """Shortest distance inside one frame row as an expression; NULL for a single atom."""
+    lat, pbc = F.col("lattice"), F.col("pbc")
+    unit = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
+    periodic = (F.abs(cell.cell_det(lat)) >= cell.SINGULAR) & F.exists(pbc, lambda p: p)
+
+    def scan(c: Column) -> Column:
+        def frac(a: Column) -> Column:
+            f = cell.to_frac([a["x"], a["y"], a["z"]], c["inv"])
+            return F.struct(*[v.alias(n) for v, n in zip(f, "uvw")])
+
+        def from_atom(pts: Column, a: Column, i: Column) -> Column:
+            def distance(b: Column) -> Column:
+                d = [a[n] - b[n] for n in "uvw"]
+                fold = [F.when(F.get(c["pbc"], F.lit(k)), d[k] - F.rint(d[k])).otherwise(d[k]) for k in range(3)]
+                return let(
+                    F.array(*fold),
+                    lambda f: let(
+                        F.array(*cell.row_times([F.get(f, F.lit(k)) for k in range(3)], c["cell"])),
+                        lambda v: cell.norm([F.get(v, F.lit(k)) for k in range(3)]),
+                    ),
+                )
+
+            return F.array_min(F.transform(F.slice(pts, i + 2, F.size(pts)), distance))
+
+        return let(
+            F.transform("atoms", frac),
+            lambda pts: F.array_min(F.transform(pts, lambda a, i: from_atom(pts, a, i))),
+        )
+
+    none = F.array(F.lit(False), F.lit(False), F.lit(False))
+    box = F.when(
+        periodic, F.struct(lat.alias("cell"), cell.cell_inverse(lat).alias("inv"), pbc.alias("pbc"))
+    ).otherwise(F.struct(unit.alias("cell"), unit.alias("inv"), none.alias("pbc")))
+    return let(box, scan)
 
 
 def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
@@ -113,9 +135,8 @@ def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
     from .pairs import DISTANCE_SLACK
 
     small = F.col("natoms") <= _IN_ROW
-    near = frames.filter(small).withColumn("inv", cell.cell_inverse(F.col("lattice")))
-    fine = F.col("lattice").isNull() | (_row_min_distance() >= limit - DISTANCE_SLACK)
-    kept = near.filter(fine).drop("inv")
+    near = F.coalesce(_row_min_distance() >= limit - DISTANCE_SLACK, F.lit(True))
+    kept = frames.filter(small & (F.col("lattice").isNull() | near))
     big = frames.filter(~small)
     bad = too_close(atoms_view(big.filter(F.col("lattice").isNotNull())), limit)
     return kept.unionByName(big.join(bad.select(*FRAME), list(FRAME), "left_anti"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cell, text as tx, units
+from ..functions.binding import let
 from ..functions.elements import atomic_rank
 from .filters import assert_aligned
 from .running import prefix_offsets
@@ -173,9 +174,8 @@ def reorder_atoms(frames: DataFrame, mode: str = "alphabetical", preferred: Sequ
     ``alphabetical``, ``atomic_number``, ``preferred`` (listed first, the rest keep
     their order) or ``input`` (order of first appearance).
     """
-    species = F.transform("atoms", lambda a: a["species"])
 
-    def rank(a: Column) -> Column:
+    def rank(a: Column, species: Column) -> Column:
         if mode == "alphabetical":
             return F.struct(F.lit(0).alias("n"), a["species"].alias("t"))
         if mode == "atomic_number":
@@ -189,9 +189,17 @@ def reorder_atoms(frames: DataFrame, mode: str = "alphabetical", preferred: Sequ
             return F.struct(F.array_position(species, a["species"]).cast("int").alias("n"), F.lit("").alias("t"))
         raise ValueError(f"unknown mode {mode!r}")
 
-    keyed = F.array_sort(F.transform("atoms", lambda a: F.struct(rank(a).alias("r"), a["atom_idx"].alias("i"), a.alias("a"))))
+    def keyed(species: Column) -> Column:
+        return F.array_sort(
+            F.transform("atoms", lambda a: F.struct(rank(a, species).alias("r"), a["atom_idx"].alias("i"), a.alias("a")))
+        )
+
     return frames.withColumn(
-        "atoms", F.transform(keyed, lambda e, i: e["a"].withField("atom_idx", i.cast("int")))
+        "atoms",
+        F.transform(
+            let(F.transform("atoms", lambda a: a["species"]), keyed),
+            lambda e, i: e["a"].withField("atom_idx", i.cast("int")),
+        ),
     )
 
 

@@ -356,6 +356,7 @@ def distance_histogram(
     frame: Sequence[str] = FRAME,
     small: int = SMALL_FRAME,
     tile: int = TILE,
+    has_big: bool | None = None,
 ) -> DataFrame:
     """Counts of pair distances per species pair and bin of width ``dr``: ``sa, sb, bin, n, on_edge, dmax``.
 
@@ -379,7 +380,7 @@ def distance_histogram(
     else:
         parts = binned(close_pairs(atoms.filter(F.col("natoms") <= small), None, frame, small=small))
         big = atoms.filter(F.col("natoms") > small)
-        if not big.isEmpty():
+        if has_big if has_big is not None else not big.isEmpty():
             parts = parts.unionByName(_tiled_histogram(big, dr, frame, tile))
     a, b = _ordered_pair(F.col("si"), F.col("sj"))
     return parts.groupBy(a.alias("sa"), b.alias("sb"), "bin").agg(
@@ -401,6 +402,20 @@ def rdf_all(
     distances beyond it are dropped. The mean cell volume is used unless given.
     """
     atoms = with_size(atoms, frame)
+    head = F.col("atom_idx") == 0
+    v = F.lit(float(volume)) if volume is not None else cell.cell_volume(F.col("lattice"))
+    # one row per species: atoms, and frames and cell volume counted on first atoms
+    totals = (
+        atoms.groupBy("species")
+        .agg(
+            F.count(F.lit(1)).alias("atoms"), F.count_if(head).alias("frames"),
+            F.sum(F.when(head, v)).alias("v"), F.max("natoms").alias("largest"),
+        )
+        .collect()
+    )
+    frames = sum(r["frames"] for r in totals)
+    mean_volume = sum(r["v"] or 0.0 for r in totals) / max(frames, 1)
+    kw.setdefault("has_big", max((r["largest"] for r in totals), default=0) > kw.get("small", SMALL_FRAME))
     hist = distance_histogram(atoms, dr, rmax, frame, **kw).filter(F.col("sa") != F.col("sb"))
     pair = Window.partitionBy("sa", "sb")  # bins of one species pair: bounded by r/dr
     last = F.floor(F.max("dmax").over(pair) / dr)
@@ -416,17 +431,8 @@ def rdf_all(
         "sa", "sb", "bin",
         (F.coalesce("n", F.lit(0)) + F.when(F.col("bin") == F.col("last") - 1, F.coalesce("extra", F.lit(0))).otherwise(0)).alias("n"),
     )
-    totals = atoms.groupBy("species").agg(F.count(F.lit(1)).alias("atoms"))
-    head = atoms.filter(F.col("atom_idx") == 0)
-    sized = head.agg(
-        F.count(F.lit(1)).alias("frames"),
-        (F.lit(float(volume)) if volume is not None else F.avg(cell.cell_volume(F.col("lattice")))).alias("v"),
-    )
-    # one total per species and one corpus row
-    per = {r["species"]: r["atoms"] for r in totals.collect()}
-    frames, v = sized.first()
     table = atoms.sparkSession.createDataFrame(
-        [(s, c) for s, c in per.items()], "species string, atoms long"
+        [(r["species"], r["atoms"]) for r in totals], "species string, atoms long"
     )
     r = (F.col("bin") + 1) * F.lit(dr)
     return (
@@ -436,7 +442,7 @@ def rdf_all(
             "sa", "sb", "bin", r.alias("r"), "n",
             (
                 F.col("n")
-                / (4 * np.pi * r * r * F.lit(dr) * (F.col("nb") / F.lit(float(frames)) / F.lit(float(v))) * F.col("na"))
+                / (4 * np.pi * r * r * F.lit(dr) * (F.col("nb") / F.lit(float(frames)) / F.lit(mean_volume)) * F.col("na"))
             ).alias("g"),
             F.lit(frames).alias("frames"),
             "na",

@@ -54,9 +54,9 @@ def replicate(frames: DataFrame, a: int | Column, b: int | Column, c: int | Colu
             ),
         )
     )
-    return frames.withColumns(
+    # two steps: a column replaced in the same projection must not be read by the shifts
+    return frames.withColumn("atoms", _numbered(moved)).withColumns(
         {
-            "atoms": _numbered(moved),
             "natoms": (F.col("natoms") * n[0] * n[1] * n[2]).cast("int"),
             "lattice": F.transform("lattice", lambda v, q: v * F.when(q < 3, n[0]).when(q < 6, n[1]).otherwise(n[2])),
         }
@@ -71,48 +71,40 @@ def factors_for_target(frames: DataFrame, target: int, mode: str = "shape") -> D
     target, the least deviation of edge lengths; without any, the closest count.
     Factors of equal merit keep the smallest (a, b, c).
     """
+    sized = frames.withColumns(dict(zip(("__la", "__lb", "__lc"), cell.cell_lengths(F.col("lattice")))))
+    key = ["natoms", "__la", "__lb", "__lc"]
     n = F.col("natoms")
-    length = cell.cell_lengths(F.col("lattice"))
     most = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(float(target)) / n, F.lit(1 / 3)) * 5).cast("int"))
-    steps = F.sequence(F.lit(1), most)
-
-    def candidate(i: Column, j: Column, k: Column) -> Column:
-        e = [length[0] * i, length[1] * j, length[2] * k]
-        if mode == "shape":
-            merit = F.greatest(*e) / F.least(*e)
-        else:
-            mean = (e[0] + e[1] + e[2]) / 3
-            merit = F.sqrt(sum(((x - mean) * (x - mean) for x in e[1:]), (e[0] - mean) * (e[0] - mean)) / 3)
-        return F.struct(
-            merit.alias("merit"), F.abs(n * i * j * k - target).cast("double").alias("diff"),
-            i.alias("a"), j.alias("b"), k.alias("c"),
-        )
-
-    all_of = F.flatten(
-        F.transform(
-            steps,
-            lambda i: F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda k: candidate(i, j, k)))),
-        )
+    # frames of equal size and shape share their answer; candidates are folded map-side
+    shapes = sized.select(*key).distinct()
+    tried = shapes
+    for x in "abc":
+        tried = tried.withColumn(x, F.explode(F.sequence(F.lit(1), most)))
+    edge = [F.col(f"__l{x}") * F.col(x) for x in "abc"]
+    if mode == "shape":
+        merit = F.greatest(*edge) / F.least(*edge)
+    else:
+        mean = (edge[0] + edge[1] + edge[2]) / 3
+        spread = [(e - mean) * (e - mean) for e in edge]
+        # rounded so that equal merits are not told apart by their last bits
+        merit = F.round(F.sqrt((spread[0] + spread[1] + spread[2]) / 3), 10)
+    tried = tried.select(
+        *key, merit.alias("merit"), F.abs(n * F.col("a") * F.col("b") * F.col("c") - target).cast("double").alias("diff"),
+        "a", "b", "c",
     )
-    with_all = frames.withColumn("__all", all_of)
-    closest = F.array_min(F.transform("__all", lambda e: e["diff"]))
+    closest = tried.groupBy(*key).agg(F.min("diff").alias("closest"))
+    judged = tried.join(closest, key)
     if mode == "shape":
-        bound = F.greatest(closest * DIFF_TOLERANCE, F.lit(target * MIN_DIFF_RATIO))
-        best = F.array_min(F.filter("__all", lambda e: e["diff"] <= bound))
+        bound = F.greatest(F.col("closest") * DIFF_TOLERANCE, F.lit(target * MIN_DIFF_RATIO))
+        rank = F.struct("merit", "diff", "a", "b", "c")
     else:
-        within = F.filter("__all", lambda e: e["diff"] <= SPREAD_SHARE * target)
-        # merit is rounded away from ties decided by the last bit
-        stable = F.array_min(F.transform(within, lambda e: F.struct(F.round(e["merit"], 10).alias("merit"), e["a"].alias("a"), e["b"].alias("b"), e["c"].alias("c"), e["diff"].alias("diff"))))
-        nearest = F.array_min(F.filter("__all", lambda e: e["diff"] == closest))
-        best = F.when(
-            F.size(within) > 0,
-            F.struct(stable["merit"].alias("merit"), stable["diff"].alias("diff"), stable["a"].alias("a"), stable["b"].alias("b"), stable["c"].alias("c")),
-        ).otherwise(nearest)
+        bound = F.greatest(F.lit(SPREAD_SHARE * target), F.col("closest"))
+        rank = F.struct("merit", "a", "b", "c")
+    best = judged.filter(F.col("diff") <= bound).groupBy(*key).agg(F.min(rank).alias("best"))
     small = F.lit(target) < n
-    picked = with_all.withColumn("__best", best).drop("__all")
-    return picked.withColumns(
-        {f"f{x}": F.when(small, 1).otherwise(F.col("__best")[x]) for x in "abc"}
-    ).drop("__best")
+    return sized.join(best, key).withColumns(
+        {f"f{x}": F.when(small, 1).otherwise(F.col("best")[x]) for x in "abc"}
+    ).drop("best", "__la", "__lb", "__lc")
 
 
 def factors_under_cap(frames: DataFrame, cap: int) -> DataFrame:

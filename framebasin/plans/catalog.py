@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import selection
+from . import geometry, selection
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "selection"]
+__all__ = ["ORACLES", "QUERIES", "geometry", "selection"]
