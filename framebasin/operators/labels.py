@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import cell, text as tx, units
 from ..functions.binding import let
 from ..functions.elements import atomic_rank
-from .filters import assert_aligned
 from .running import prefix_offsets
 
 # Comment keys kept when a dump is cleaned.
@@ -118,7 +117,7 @@ def harmonise(frames: DataFrame, config_type: str = "converted", digits: int = 7
         .when(bad_layout, "bad_properties")
         .when(val("energy").isNull(), "no_energy")
     )
-    volume = F.format_number(cell.cell_volume(lattice), f"0.{'0' * digits}")
+    volume = F.format_string(f"%.{digits}f", cell.cell_volume(lattice))
     fresh = F.create_map(
         F.lit("Properties"), renamed, F.lit("config_type"), F.lit(config_type), F.lit("volume"), volume
     )
@@ -233,36 +232,44 @@ def relabel_frames(
     ``frames`` carry ``frame_no``; prediction rows carry ``row_no`` and ``values``.
     Row counts must agree.
     """
-    counts = {"frames": frames.count(), "energy rows": energy.count()}
-    if virial is not None:
-        counts["virial rows"] = virial.count()
-    assert_aligned(**counts)
     e = energy.select(F.col("row_no").alias("frame_no"), F.get("values", F.lit(0)).alias("__e"))
-    out = frames.join(e, "frame_no").withColumn("energy", units.total(F.col("__e"), F.col("natoms"))).drop("__e")
+    out = _aligned(frames, e, "frame_no", "energy rows").withColumn(
+        "energy", units.total(F.col("__e"), F.col("natoms"))
+    ).drop("__e")
     if virial is None:
         return out
     v = virial.select(F.col("row_no").alias("frame_no"), F.slice("values", 1, 6).alias("__v"))
-    out = out.join(v, "frame_no").withColumn(
+    out = _aligned(out, v, "frame_no", "virial rows").withColumn(
         "virial", F.transform(units.voigt_to_9(F.col("__v")), lambda x: x * F.col("natoms"))
     )
     stress = units.virial_to_stress(F.col("virial"), cell.cell_volume(F.col("lattice")))
     return out.drop("__v").withColumn("stress", stress if with_stress else F.lit(None).cast("array<double>"))
 
 
+def _aligned(left: DataFrame, right: DataFrame, on: str, what: str) -> DataFrame:
+    """Join by position where every row must have its partner; checked in the join itself."""
+    marked = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), on, "full_outer")
+    ok = F.col("__l") & F.col("__r")
+    fail = F.raise_error(F.format_string(f"row counts differ: %d is missing in the frames or in the {what}", F.col(on)))
+    return marked.filter(F.when(ok, True).otherwise(fail.cast("boolean"))).drop("__l", "__r")
+
+
 def relabel_forces(frames: DataFrame, force: DataFrame) -> DataFrame:
     """Force rows by position over all atoms of the corpus; row counts must agree."""
     based = frames if "atom_base" in frames.columns else with_atom_base(frames)
-    total = based.agg(F.sum("natoms")).first()[0] or 0
-    assert_aligned(**{"atoms": total, "force rows": force.count()})
-    atoms = based.select("frame_no", "atom_base", F.inline("atoms")).drop("fx", "fy", "fz")
+    atoms = (
+        based.select("frame_no", "atom_base", F.inline("atoms"))
+        .drop("fx", "fy", "fz")
+        .withColumn("atom_no", F.col("atom_base") + F.col("atom_idx"))
+    )
     rows = force.select(
         F.col("row_no").alias("atom_no"),
         *[F.get("values", F.lit(k)).alias(c) for k, c in enumerate(("fx", "fy", "fz"))],
     )
     fields = ("atom_idx", "species", "x", "y", "z", "fx", "fy", "fz")
+    # the atoms of one frame return to their row
     back = (
-        atoms.withColumn("atom_no", F.col("atom_base") + F.col("atom_idx"))
-        .join(rows, "atom_no")
+        _aligned(atoms, rows, "atom_no", "force rows")
         .groupBy("frame_no")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("atoms"))
     )

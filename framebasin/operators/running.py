@@ -242,13 +242,13 @@ def prefix_offsets(df: DataFrame, order: str, size: str, name: str, block: int =
     bw = Window.partitionBy(F.lit(0)).orderBy("__b")
     before = blocks.select(
         "__b",
-        F.coalesce(F.sum("__t").over(bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"),
+        F.coalesce(F.sum("__t").over(bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
     )
     iw = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.withColumn("__b", b)
         .withColumn("__in", F.coalesce(F.sum(size).over(iw), F.lit(0)))
         .join(before, "__b")
-        .withColumn(name, (F.col("__in") + F.col("__base")).cast("long"))
-        .drop("__b", "__in", "__base")
+        .withColumn(name, (F.col("__in") + F.col("__before")).cast("long"))
+        .drop("__b", "__in", "__before")
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import geometry, selection
+from . import corpora, geometry, labelling, selection
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "geometry", "selection"]
+__all__ = ["ORACLES", "QUERIES", "corpora", "geometry", "labelling", "selection"]
