@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cell
 from ..functions.elements import atomic_rank
+from ..session import cut
 
 FRAME = ("file_ord", "frame_idx")
 SMALL_FRAME = 256
@@ -187,9 +188,15 @@ def _ordered_pair(si: Column, sj: Column) -> tuple[Column, Column]:
 
 
 def _shortest(pairs: DataFrame, frame: Sequence[str]) -> DataFrame:
+    """Shortest distance and first frame per species pair.
+
+    Plain minima per frame first: they fold all pairs of a frame by hashing, and
+    only one row per frame and species pair reaches the ordered comparison.
+    """
+    per_frame = pairs.groupBy(*frame, "si", "sj").agg(F.min("d").alias("d"))
     a, b = _ordered_pair(F.col("si"), F.col("sj"))
     first = F.min(F.struct("d", *frame)).alias("m")
-    return pairs.groupBy(a.alias("sa"), b.alias("sb")).agg(first).select("sa", "sb", "m.*")
+    return per_frame.groupBy(a.alias("sa"), b.alias("sb")).agg(first).select("sa", "sb", "m.*")
 
 
 def pair_min_distance(
@@ -416,7 +423,8 @@ def rdf_all(
     frames = sum(r["frames"] for r in totals)
     mean_volume = sum(r["v"] or 0.0 for r in totals) / max(frames, 1)
     kw.setdefault("has_big", max((r["largest"] for r in totals), default=0) > kw.get("small", SMALL_FRAME))
-    hist = distance_histogram(atoms, dr, rmax, frame, **kw).filter(F.col("sa") != F.col("sb"))
+    # a few rows per species pair and bin, used twice below: written once
+    hist = cut(distance_histogram(atoms, dr, rmax, frame, **kw).filter(F.col("sa") != F.col("sb")), "histogram")
     pair = Window.partitionBy("sa", "sb")  # bins of one species pair: bounded by r/dr
     last = F.floor(F.max("dmax").over(pair) / dr)
     edge_extra = F.sum(F.when(F.col("bin") == last, F.col("on_edge"))).over(pair)

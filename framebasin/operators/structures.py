@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cell
+from ..functions.binding import let
 
 # Tolerance of the factor search and of the site grid.
 DIFF_TOLERANCE = 2.0
@@ -25,37 +26,34 @@ def replicate(frames: DataFrame, a: int | Column, b: int | Column, c: int | Colu
     """A x b x c copies of the cell; atoms of a copy stay together."""
     n = [F.lit(v) if isinstance(v, int) else v for v in (a, b, c)]
     m = [F.get("lattice", F.lit(k)) for k in range(9)]
+    names = ("atom_idx", "species", "x", "y", "z", "fx", "fy", "fz")
 
     def steps(k: int) -> Column:
         return F.sequence(F.lit(0), n[k] - 1)
 
+    def shift(i: Column, j: Column, k: Column) -> Column:
+        return F.struct(*[(i * m[q] + j * m[3 + q] + k * m[6 + q]).alias(x) for q, x in enumerate("xyz")])
+
     shifts = F.flatten(
         F.transform(
             steps(0),
-            lambda i: F.flatten(
-                F.transform(
-                    steps(1),
-                    lambda j: F.transform(
-                        steps(2),
-                        lambda k: F.struct(
-                            *[(i * m[q] + j * m[3 + q] + k * m[6 + q]).alias(x) for q, x in enumerate("xyz")]
-                        ),
-                    ),
-                )
-            ),
-        )
-    )
-    moved = F.flatten(
-        F.transform(
-            shifts,
-            lambda s: F.transform(
-                "atoms",
-                lambda p: p.withField("x", p["x"] + s["x"]).withField("y", p["y"] + s["y"]).withField("z", p["z"] + s["z"]),
-            ),
+            lambda i: F.flatten(F.transform(steps(1), lambda j: F.transform(steps(2), lambda k: shift(i, j, k)))),
         )
     )
+
+    def copied(atoms: Column) -> Column:
+        count = F.size(atoms)
+
+        def one(p: Column, s: Column, c: Column) -> Column:
+            fields = {f: p[f] for f in names}
+            fields.update({x: p[x] + s[x] for x in "xyz"})
+            fields["atom_idx"] = (c * count + p["atom_idx"]).cast("int")
+            return F.struct(*[v.alias(f) for f, v in fields.items()])
+
+        return F.flatten(F.transform(shifts, lambda s, c: F.transform(atoms, lambda p: one(p, s, c))))
+
     # two steps: a column replaced in the same projection must not be read by the shifts
-    return frames.withColumn("atoms", _numbered(moved)).withColumns(
+    return frames.withColumn("atoms", let(F.col("atoms"), copied)).withColumns(
         {
             "natoms": (F.col("natoms") * n[0] * n[1] * n[2]).cast("int"),
             "lattice": F.transform("lattice", lambda v, q: v * F.when(q < 3, n[0]).when(q < 6, n[1]).otherwise(n[2])),

@@ -382,11 +382,6 @@ def render_frames(frames: DataFrame) -> DataFrame:
 def write_frames(frames: DataFrame, path: str, mode: str = "error") -> None:
     """Extended-XYZ text in frame order; part files are consecutive ranges of frames."""
     key = [c for c in ("file_ord", "frame_idx") if c in frames.columns]
-    (
-        render_frames(frames)
-        .repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .select("value")
-        .write.mode(mode)
-        .text(path)
-    )
+    # range bounds are sampled from the frames, so text is rendered once, after the exchange
+    ordered = frames.repartitionByRange(*key).sortWithinPartitions(*key)
+    render_frames(ordered).select("value").write.mode(mode).text(path)

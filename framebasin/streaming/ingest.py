@@ -14,7 +14,7 @@ def frames_of_texts(texts: DataFrame) -> DataFrame:
 
     Works on a stream: frames are found inside the row by following the count lines.
     """
-    withl = texts.select("file", F.transform(F.split("text", "\n"), F.rtrim).alias("ls"))
+    withl = texts.select("file", F.transform(F.split("text", "\n"), lambda t: F.rtrim(t)).alias("ls"))
 
     def count(at):
         return F.regexp_extract(F.coalesce(F.get("ls", at), F.lit("")), r"^\s*(\d+)(?:\s|$)", 1).try_cast("int")
