@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..functions import cell
 from ..functions.binding import let
-from ..session import cut
+from ..session import cut, setting
+from .running import HOT_ROWS, HOT_ROWS_KEY, MAX_HOT
 
 # Fingerprint digits and match tolerance (fractional).
 QUANT = 1e6
@@ -101,27 +102,38 @@ def fingerprints(frames: DataFrame) -> DataFrame:
 
 
 def copies(
-    rows: DataFrame, content: str | Sequence[str], key: Sequence[str], by: Sequence[str] = ()
+    rows: DataFrame,
+    content: str | Sequence[str],
+    key: Sequence[str],
+    by: Sequence[str] = (),
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Rows whose content was seen at a smaller key: ``<key>, dup_of`` (the first such row).
 
-    The first key per content is a map-side aggregate; only contents held by
-    more than one row take part in the join back.
+    The first key per content is a map-side aggregate; only contents held by more
+    than one row take part in the join back. Contents with very many copies are
+    few, so they are looked up by broadcast and never meet in one task.
     """
     content = [content] if isinstance(content, str) else list(content)
     slim = rows.select(*by, *content, F.struct(*key).alias("__k"))
     group = [*by, *content]
-    first = (
+    first = cut(
         slim.groupBy(*group)
         .agg(F.min("__k").alias("dup_of"), F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > 1)
-        .drop("__n")
-    )
-    return (
-        slim.join(first, group)
-        .filter(F.col("__k") != F.col("dup_of"))
-        .select("__k.*", "dup_of")
+        .filter(F.col("__n") > 1),
+        "copies",
     )
+    limit = hot_rows or int(setting(rows.sparkSession, HOT_ROWS_KEY, str(HOT_ROWS)))
+    top, total = first.agg(F.max("__n"), F.sum("__n")).first()
+    if top is not None and top > limit:
+        limit = max(limit, total // MAX_HOT)
+        hot = F.col("__n") > limit  # at most MAX_HOT contents
+        many = F.broadcast(first.filter(hot))
+        cold = slim.join(many.select(*group), group, "left_anti").join(first.filter(~hot), group)
+        found = slim.join(many, group).unionByName(cold)
+    else:
+        found = slim.join(first, group)
+    return found.filter(F.col("__k") != F.col("dup_of")).select("__k.*", "dup_of")
 
 
 @F.pandas_udf(T.BooleanType())

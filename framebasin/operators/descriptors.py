@@ -143,9 +143,9 @@ def _nearest_by_groups(keyed, ref, names, schema, pivots) -> DataFrame:
          T.StructField("block", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))]
     )
     asked = keyed.mapInPandas(visit, visits)
-    # samples travel in packs too, so a block of references is shipped once per pack
-    pack = F.pmod(F.xxhash64(*names), F.lit(1 << 16))
-    packs = asked.groupBy("cell", "block", F.floor(pack / F.lit(1 << 8)).alias("pack")).agg(
+    # samples travel in packs of bounded size, so a block of references is shipped once per pack
+    pack = F.pmod(F.xxhash64(*names), F.lit(max(1, -(-keyed.count() // _BLOCK))))
+    packs = asked.groupBy("cell", "block", pack.alias("pack")).agg(
         F.collect_list(F.struct(*names, "vec")).alias("rows")
     )
 

@@ -199,14 +199,48 @@ def _shortest(pairs: DataFrame, frame: Sequence[str]) -> DataFrame:
     return per_frame.groupBy(a.alias("sa"), b.alias("sb")).agg(first).select("sa", "sb", "m.*")
 
 
+def _sites(atoms: DataFrame, frame: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct sites (frame, species, position), and the distance 0 of atoms sharing one.
+
+    Any number of atoms on one spot folds map-side into a single site, so they
+    are never paired with each other.
+    """
+    keep = [c for c in ("natoms", "lattice", "pbc") if c in atoms.columns]
+    sites = atoms.groupBy(*frame, "species", "x", "y", "z").agg(
+        F.min("atom_idx").alias("atom_idx"),
+        F.count(F.lit(1)).alias("__c"),
+        *[F.any_value(c).alias(c) for c in keep],
+    )
+    shared = sites.filter(F.col("__c") > 1).select(
+        *frame, F.col("species").alias("si"), F.col("species").alias("sj"), F.lit(0.0).alias("d")
+    )
+    return sites.drop("__c"), shared
+
+
+def _site_pairs(atoms: DataFrame, cutoff: float, frame: Sequence[str], small: int) -> DataFrame:
+    sites, shared = _sites(atoms, frame)
+    pairs = close_pairs(sites, cutoff, frame, small=small).select(*frame, "si", "sj", "d")
+    return pairs.unionByName(shared)
+
+
+def _spacing(atoms: DataFrame, frame: Sequence[str]) -> float:
+    """Smallest mean spacing over the frames: with bins this wide a bin holds about one atom."""
+    spans = [F.greatest(F.max(c) - F.min(c), F.lit(1e-3)) for c in "xyz"]
+    per_frame = atoms.groupBy(*frame).agg(
+        F.pow(spans[0] * spans[1] * spans[2] / F.count(F.lit(1)), F.lit(1 / 3)).alias("s")
+    )
+    return max(per_frame.agg(F.min("s")).first()[0] or 1.0, 1e-3)
+
+
 def pair_min_distance(
     atoms: DataFrame, frame: Sequence[str] = FRAME, small: int = SMALL_FRAME
 ) -> DataFrame:
     """Shortest distance per species pair over the corpus, with the first frame attaining it.
 
-    Large frames are searched within the radius the small frames already
-    guarantee; a pair they do not show is searched with a doubling radius. A
-    distance found within the radius is the exact minimum.
+    Large frames are searched with a radius that starts at their atom spacing
+    and doubles, up to what is already known from the small frames. A distance
+    found within the radius is the exact minimum, so no frame is searched wider
+    than its closest atoms require.
     """
     atoms = with_size(atoms, frame)
     best = _shortest(close_pairs(atoms.filter(F.col("natoms") <= small), None, frame, small=small), frame)
@@ -228,19 +262,18 @@ def pair_min_distance(
         .distinct()
         .collect()
     }
-    known = [found[p][2] for p in open_pairs if p in found]
-    radius = max(known) if len(known) == len(open_pairs) else min(known, default=1.0)
+    radius = _spacing(big, frame)
     while open_pairs:
+        bound = max(found[p][2] if p in found else float("inf") for p in open_pairs)
+        reach = min(radius, max(bound, 1e-6))
         species = sorted({s for p in open_pairs for s in p})
-        hits = _shortest(
-            close_pairs(big.filter(F.col("species").isin(species)), max(radius, 1e-6), frame, small=small), frame
-        ).collect()
-        for r in hits:
+        near = _site_pairs(big.filter(F.col("species").isin(species)), reach, frame, small)
+        for r in _shortest(near, frame).collect():
             p = (r["sa"], r["sb"])
             if p not in found or tuple(r)[2:] < found[p][2:]:
                 found[p] = tuple(r)
-        open_pairs -= {p for p in open_pairs if p in found and found[p][2] <= radius}
-        radius = max(radius, 1e-6) * 2
+        open_pairs -= {p for p in open_pairs if p in found and found[p][2] <= reach}
+        radius *= 2
     return spark.createDataFrame(list(found.values()), best.schema)
 
 
@@ -259,7 +292,8 @@ def pair_grid(atoms: DataFrame, frame: Sequence[str] = FRAME, **kw) -> DataFrame
 
 def too_close(atoms: DataFrame, limit: float, frame: Sequence[str] = FRAME, **kw) -> DataFrame:
     """Frames with a pair closer than ``limit`` (with slack), and their shortest distance."""
-    near = close_pairs(atoms, limit, frame, **kw).filter(F.col("d") < limit - DISTANCE_SLACK)
+    near = _site_pairs(with_size(atoms, frame), limit, frame, kw.get("small", SMALL_FRAME))
+    near = near.filter(F.col("d") < limit - DISTANCE_SLACK)
     return near.groupBy(*frame).agg(F.min("d").alias("dmin"))
 
 

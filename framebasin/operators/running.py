@@ -18,7 +18,7 @@ from ..session import setting
 
 HOT_ROWS_KEY = "framebasin.hotGroupRows"
 HOT_ROWS = 2_000_000
-_MAX_HOT = 4096  # a hot group holds more than 1/4096 of all rows, so there are at most this many
+MAX_HOT = 4096  # a hot group holds more than 1/4096 of all rows, so there are at most this many
 _SAMPLES = 16  # sampled rows per segment; they only place the cut points
 _FAN = 64  # cut points per second-level list
 
@@ -72,7 +72,7 @@ class Ordered:
         top = counts.agg(F.max("__n").alias("most"), F.sum("__n").alias("total")).first()
         if top["most"] is None:
             return
-        limit = max(limit, top["total"] // _MAX_HOT)
+        limit = max(limit, top["total"] // MAX_HOT)
         if top["most"] <= limit:
             return
         key = F.struct(*self.order)
@@ -100,7 +100,7 @@ class Ordered:
                 ).alias("__fine"),
             )
         )
-        # at most _MAX_HOT rows and a few thousand cut points in all
+        # at most MAX_HOT rows and a few thousand cut points in all
         cuts = df.sparkSession.createDataFrame(sample.collect(), sample.schema)
         joined = (
             df.join(F.broadcast(cuts), self.by, "left")

@@ -84,7 +84,8 @@ def list_files(spark: SparkSession, paths, **options) -> DataFrame:
     )
     keyed = files.withColumn("__nk", natural_key(F.col("file")))
     ranked = group_rank(keyed, [], ["__nk", "file"], "file_ord")
-    return ranked.withColumn("file_ord", F.col("file_ord").cast("int")).drop("__nk")
+    # as a table its size is known: joins on the file broadcast it only while it is small
+    return cut(ranked.withColumn("file_ord", F.col("file_ord").cast("int")).drop("__nk"), "files")
 
 
 def discover(

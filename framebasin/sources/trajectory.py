@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cell, text as tx
+from ..session import cut
 from .frames import read_frames
 from .lines import list_files, read_lines
 
@@ -33,7 +34,9 @@ def read_xdatcar(spark: SparkSession, paths, **options) -> DataFrame:
     vectors = F.concat(*[tx.floats(F.col(f"h{k}")) for k in (2, 3, 4)])
     names, counts = _tokens(F.col("h5")), F.transform(_tokens(F.col("h6")), lambda c: c.cast("int"))
     species = F.flatten(F.transform(F.arrays_zip(names.alias("s"), counts.alias("n")), lambda e: F.array_repeat(e["s"], e["n"])))
-    headers = head.select("file", F.transform(vectors, lambda v: v * scale).alias("lattice"), species.alias("names"))
+    headers = cut(
+        head.select("file", F.transform(vectors, lambda v: v * scale).alias("lattice"), species.alias("names")), "headers"
+    )
     body = lines.filter((F.col("__f") > 0) & ~mark & (F.length("line") > 0))
     # the marker line is the only line between frames, so positions follow from line numbers
     starts = lines.filter(mark).select("file", F.col("__f"), F.col("line_no").alias("__at"))

@@ -101,3 +101,17 @@ def test_files_one_after_another(spark):
     cross = {(r["file_ord"], r["frame_idx"]) for r in dd.cross_dups(df).collect()}
     assert cross == {(1, 1)}
     assert {(r["file_ord"], r["frame_idx"]) for r in dd.merge_dedup(df).collect()} == {(0, 0), (1, 0)}
+
+
+def test_contents_with_many_copies_take_the_broadcast_route(spark):
+    rows = [(i, "a" if i % 3 else f"t{i % 12}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, c string").repartition(6)
+    want = {}
+    first = {}
+    for k, c in rows:
+        if c in first:
+            want[k] = first[c]
+        first.setdefault(c, k)
+    for limit in (100, 10_000):
+        got = {r["k"]: r["dup_of"]["k"] for r in dd.copies(df, "c", ["k"], hot_rows=limit).collect()}
+        assert got == want

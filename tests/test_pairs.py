@@ -95,3 +95,14 @@ def test_bonds_and_angles(spark):
     assert got["H-O"]["n"] == 2 and abs(got["H-O"]["mean"] - 1) < 1e-12
     assert got["H-O-H"]["n"] == 1 and abs(got["H-O-H"]["mean"] - 90) < 1e-9 and got["H-O-H"]["std"] == 0.0
     assert got["O-H-O"]["n"] == 0 and got["O-H-O"]["mean"] is None
+
+
+def test_atoms_on_one_spot_are_at_distance_zero(spark):
+    rows = random_frames(11, 2, 40, SKEWED)
+    spot = [[1.0, 1.0, 1.0]] * 50
+    rows.append(frame(0, 5, ["Te"] * 50, spot, SKEWED))
+    at = atoms_view(frames_df(spark, rows))
+    for small in (0, 1000):
+        got = {(r["sa"], r["sb"]): (r["d"], r["frame_idx"]) for r in pr.pair_min_distance(at, small=small).collect()}
+        assert got[("Te", "Te")] == (0.0, 5) and got[("Mo", "Mo")][0] > 0
+    assert {r["frame_idx"]: r["dmin"] for r in pr.too_close(at, 1e-3, small=0).collect()}[5] == 0.0
