@@ -224,12 +224,19 @@ def _site_pairs(atoms: DataFrame, cutoff: float, frame: Sequence[str], small: in
 
 
 def _spacing(atoms: DataFrame, frame: Sequence[str]) -> float:
-    """Smallest mean spacing over the frames: with bins this wide a bin holds about one atom."""
-    spans = [F.greatest(F.max(c) - F.min(c), F.lit(1e-3)) for c in "xyz"]
+    """Smallest mean spacing over the frames: with bins this wide a bin holds about one atom.
+
+    Axes without extent (chains, planes) do not count; a frame on one spot has no spacing.
+    """
+    spans = [F.max(c) - F.min(c) for c in "xyz"]
+    extent, axes = F.lit(1.0), F.lit(0)
+    for s in spans:
+        extent = extent * F.when(s > 0, s).otherwise(1.0)
+        axes = axes + F.when(s > 0, 1).otherwise(0)
     per_frame = atoms.groupBy(*frame).agg(
-        F.pow(spans[0] * spans[1] * spans[2] / F.count(F.lit(1)), F.lit(1 / 3)).alias("s")
+        F.when(axes > 0, F.pow(extent / F.count(F.lit(1)), 1 / axes)).alias("s")
     )
-    return max(per_frame.agg(F.min("s")).first()[0] or 1.0, 1e-3)
+    return max(per_frame.agg(F.min("s")).first()[0] or 1.0, 1e-6)
 
 
 def pair_min_distance(
