@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cell, text as tx
-from ..functions.binding import let
 from .pairs import too_close
 
 FRAME = ("file_ord", "frame_idx")
@@ -89,44 +91,28 @@ def filter_natoms(frames: DataFrame, limit: int) -> DataFrame:
     return frames.filter(F.col("natoms") <= limit) if limit > 0 else frames
 
 
-_IN_ROW = 200  # up to this many atoms the pair loop runs inside the frame row, without a shuffle
+_IN_ROW = 500  # up to this many atoms a frame is measured where it lies, without a shuffle
 
 
-def _row_min_distance() -> Column:
-    """Shortest distance inside one frame row as an expression; NULL for a single atom."""
-    lat, pbc = F.col("lattice"), F.col("pbc")
-    unit = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
-    periodic = (F.abs(cell.cell_det(lat)) >= cell.SINGULAR) & F.exists(pbc, lambda p: p)
+@F.pandas_udf(T.DoubleType())
+def _shortest_in_row(x: pd.Series, y: pd.Series, z: pd.Series, lattice: pd.Series, pbc: pd.Series) -> pd.Series:
+    """Shortest minimum-image distance of each frame; NULL for a single atom."""
 
-    def scan(c: Column) -> Column:
-        def frac(a: Column) -> Column:
-            f = cell.to_frac([a["x"], a["y"], a["z"]], c["inv"])
-            return F.struct(*[v.alias(n) for v, n in zip(f, "uvw")])
+    def one(xs, ys, zs, lat, flags):
+        if len(xs) < 2:
+            return None
+        p = np.column_stack([xs, ys, zs])
+        d = p[None, :, :] - p[:, None, :]
+        m = np.asarray(lat, dtype=float).reshape(3, 3)
+        on = np.asarray(flags, dtype=bool)
+        if on.any() and abs(np.linalg.det(m)) >= cell.SINGULAR:
+            f = d @ np.linalg.inv(m)
+            f[..., on] -= np.rint(f[..., on])
+            d = f @ m
+        dist = np.sqrt((d * d).sum(-1))
+        return float(dist[np.triu_indices(len(p), 1)].min())
 
-        def from_atom(pts: Column, a: Column, i: Column) -> Column:
-            def distance(b: Column) -> Column:
-                d = [a[n] - b[n] for n in "uvw"]
-                fold = [F.when(F.get(c["pbc"], F.lit(k)), d[k] - F.rint(d[k])).otherwise(d[k]) for k in range(3)]
-                return let(
-                    F.array(*fold),
-                    lambda f: let(
-                        F.array(*cell.row_times([F.get(f, F.lit(k)) for k in range(3)], c["cell"])),
-                        lambda v: cell.norm([F.get(v, F.lit(k)) for k in range(3)]),
-                    ),
-                )
-
-            return F.array_min(F.transform(F.slice(pts, i + 2, F.size(pts)), distance))
-
-        return let(
-            F.transform("atoms", frac),
-            lambda pts: F.array_min(F.transform(pts, lambda a, i: from_atom(pts, a, i))),
-        )
-
-    none = F.array(F.lit(False), F.lit(False), F.lit(False))
-    box = F.when(
-        periodic, F.struct(lat.alias("cell"), cell.cell_inverse(lat).alias("inv"), pbc.alias("pbc"))
-    ).otherwise(F.struct(unit.alias("cell"), unit.alias("inv"), none.alias("pbc")))
-    return let(box, scan)
+    return pd.Series([one(*row) for row in zip(x, y, z, lattice, pbc)], dtype="float64")
 
 
 def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
@@ -135,8 +121,11 @@ def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
     from .pairs import DISTANCE_SLACK
 
     small = F.col("natoms") <= _IN_ROW
-    near = F.coalesce(_row_min_distance() >= limit - DISTANCE_SLACK, F.lit(True))
-    kept = frames.filter(small & (F.col("lattice").isNull() | near))
+    axis = [F.col("atoms").getField(c) for c in "xyz"]
+    near = _shortest_in_row(*axis, F.col("lattice"), F.col("pbc"))
+    measured = frames.filter(small & F.col("lattice").isNotNull()).withColumn("__d", near)
+    fine = measured.filter(F.coalesce(F.col("__d") >= limit - DISTANCE_SLACK, F.lit(True))).drop("__d")
+    kept = fine.unionByName(frames.filter(small & F.col("lattice").isNull()))
     big = frames.filter(~small)
     bad = too_close(atoms_view(big.filter(F.col("lattice").isNotNull())), limit)
     return kept.unionByName(big.join(bad.select(*FRAME), list(FRAME), "left_anti"))

@@ -286,7 +286,7 @@ def map_types(atoms: DataFrame, symbols: Sequence[str], code: str = "type", base
     return atoms.withColumn("species", checked)
 
 
-def join_cp2k(pos: DataFrame, frc: DataFrame, cells: DataFrame) -> DataFrame:
+def join_cp2k(pos: DataFrame, frc: DataFrame, cells: DataFrame, config_type: str = "cp2k") -> DataFrame:
     """Positions, forces with energy, and cells of one run, by frame position.
 
     Force rows are matched to atoms by their row, so an unreadable row leaves a
@@ -298,18 +298,19 @@ def join_cp2k(pos: DataFrame, frc: DataFrame, cells: DataFrame) -> DataFrame:
     ).join(
         cells.select("file_ord", "frame_idx", F.col("lattice").alias("__l")), ["file_ord", "frame_idx"]
     )
-    force = units._FORCE["hartree/bohr"]
+
+    def force(i: Column, axis: str) -> Column:
+        return units.to_ev(F.get("__f", i)[axis], "hartree/bohr")
+
     atoms = F.transform(
         "atoms",
-        lambda a, i: a.withField("fx", F.get("__f", i)["x"] * F.lit(force))
-        .withField("fy", F.get("__f", i)["y"] * F.lit(force))
-        .withField("fz", F.get("__f", i)["z"] * F.lit(force)),
+        lambda a, i: a.withField("fx", force(i, "x")).withField("fy", force(i, "y")).withField("fz", force(i, "z")),
     )
     return forced.withColumns(
         {
             "atoms": atoms,
             "energy": units.to_ev(F.col("__e"), "hartree"),
             "lattice": F.col("__l"),
-            "config_type": F.lit("cp2k2xyz"),
+            "config_type": F.lit(config_type),
         }
     ).drop("__e", "__f", "__l")

@@ -118,18 +118,18 @@ def unit_conversion(spark, sf):
 @query(
     "voigt",
     """SELECT vec_id AS frame_idx, i.range AS k,
-         round(CAST(embedding[CASE i.range WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 5 WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 3 END] AS DOUBLE), 8) AS nep,
-         round(CAST(embedding[CASE i.range WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 6 WHEN 4 THEN 2 WHEN 5 THEN 4 WHEN 6 THEN 5 WHEN 7 THEN 4 ELSE 3 END] AS DOUBLE), 8) AS vasp
+         round(CAST(embedding[CASE i.range WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 5 WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 3 END] AS DOUBLE), 8) AS a,
+         round(CAST(embedding[CASE i.range WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 6 WHEN 4 THEN 2 WHEN 5 THEN 4 WHEN 6 THEN 5 WHEN 7 THEN 4 ELSE 3 END] AS DOUBLE), 8) AS b
        FROM embeddings, range(9) i""",
 )
 def voigt(spark, sf):
     six = F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 6)
     src = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_idx"), six.alias("s"))
     both = F.arrays_zip(
-        units.voigt_to_9(F.col("s")).alias("nep"), units.voigt_to_9(F.col("s"), "xx,yy,zz,yz,xz,xy").alias("vasp")
+        units.voigt_to_9(F.col("s")).alias("a"), units.voigt_to_9(F.col("s"), "xx,yy,zz,yz,xz,xy").alias("b")
     )
     out = src.select("frame_idx", F.posexplode(both).alias("k", "e"))
-    return out.select("frame_idx", F.col("k").cast("long").alias("k"), rnd("e.nep", 8).alias("nep"), rnd("e.vasp", 8).alias("vasp"))
+    return out.select("frame_idx", F.col("k").cast("long").alias("k"), rnd("e.a", 8).alias("a"), rnd("e.b", 8).alias("b"))
 
 
 @query(

@@ -120,7 +120,7 @@ def read_cfg(spark: SparkSession, paths, symbols: Sequence[str], **options) -> D
         F.get(_tokens(after("a_energy")), F.lit(0)).cast("double").alias("energy"),
         tx.floats(after("a_stress")).alias("virial"),
         F.get(_tokens(after("a_weight")), F.lit(0)).cast("double").alias("weight"),
-        F.lit("mtp2nep").alias("config_type"),
+        F.lit("cfg").alias("config_type"),
         F.array_sort(F.transform(rows, one)).alias("atoms"),
     )
 

@@ -47,7 +47,11 @@ def frames_of_texts(texts: DataFrame) -> DataFrame:
 
 
 def _store(batch: DataFrame, batch_id: int, table: str) -> None:
-    """New frames of one batch: not a repeat inside the batch, not stored before; rerunnable."""
+    """New frames of one batch: not a repeat inside the batch, not stored before; rerunnable.
+
+    Inside the batch the full match applies; against stored frames the fingerprint
+    with species tied to positions decides.
+    """
     spark = batch.sparkSession
     key = ("file", "frame_idx")
     marked = fingerprints(batch)
