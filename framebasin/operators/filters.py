@@ -122,7 +122,8 @@ def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
 
     small = F.col("natoms") <= _IN_ROW
     axis = [F.col("atoms").getField(c) for c in "xyz"]
-    near = _shortest_in_row(*axis, F.col("lattice"), F.col("pbc"))
+    # kept out of predicate push-down, so it runs once per frame and after the cheap filters
+    near = _shortest_in_row.asNondeterministic()(*axis, F.col("lattice"), F.col("pbc"))
     measured = frames.filter(small & F.col("lattice").isNotNull()).withColumn("__d", near)
     fine = measured.filter(F.coalesce(F.col("__d") >= limit - DISTANCE_SLACK, F.lit(True))).drop("__d")
     kept = fine.unionByName(frames.filter(small & F.col("lattice").isNull()))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..operators.running import Ordered
 from ..session import scratch_path
 
@@ -89,17 +90,20 @@ fatoms AS (
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """One frame per embedding: 21 atoms, a skewed cell periodic in x and y, energy, virial."""
-    e = F.transform("embedding", lambda v: v.cast("double"))
-    src = table(spark, sf, "embeddings").select("vec_id", "label", e.alias("e"))
+    src = table(spark, sf, "embeddings")
+    numbers = F.transform("embedding", lambda v: v.cast("double"))
+    names = F.array(*[F.lit(s) for s in SPECIES])
 
-    def one(i: Column) -> Column:
+    def one(i: Column, e: Column) -> Column:
         return F.struct(
             i.alias("atom_idx"),
-            F.get(F.array(*[F.lit(s) for s in SPECIES]), i % 3).alias("species"),
-            *[(10 * F.get("e", 3 * i + k)).alias(c) for k, c in enumerate("xyz")],
-            *[F.get("e", 62 - 3 * i - k).alias(f"f{c}") for k, c in enumerate("xyz")],
+            F.get(names, i % 3).alias("species"),
+            *[(10 * F.get(e, 3 * i + k)).alias(c) for k, c in enumerate("xyz")],
+            *[F.get(e, 62 - 3 * i - k).alias(f"f{c}") for k, c in enumerate("xyz")],
         )
 
+    atoms = let(numbers, lambda e: F.transform(F.sequence(F.lit(0), F.lit(N_ATOMS - 1)), lambda i: one(i, e)))
+    first = F.get("embedding", F.lit(0)).cast("double")
     zero = F.lit(0.0)
     return src.select(
         F.lit("embeddings").alias("file"),
@@ -112,13 +116,13 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("species:S:1:pos:R:3:forces:R:3").alias("properties"),
         F.create_map(F.lit("vec"), F.col("vec_id").cast("string"), F.lit("Time"), (F.col("vec_id") * 5).cast("string")).alias("info"),
         F.array(F.lit("Time"), F.lit("Lattice"), F.lit("vec")).alias("info_keys"),
-        F.get("e", F.lit(63)).alias("energy"),
-        F.slice("e", 1, 9).alias("virial"),
+        F.get("embedding", F.lit(63)).cast("double").alias("energy"),
+        F.transform(F.slice("embedding", 1, 9), lambda v: v.cast("double")).alias("virial"),
         F.lit(None).cast("array<double>").alias("stress"),
-        F.abs(F.get("e", F.lit(0))).alias("uncertainty"),
+        F.abs(first).alias("uncertainty"),
         F.lit(None).cast("double").alias("weight"),
         F.lit(None).cast("string").alias("config_type"),
-        F.transform(F.sequence(F.lit(0), F.lit(N_ATOMS - 1)), one).alias("atoms"),
+        atoms.alias("atoms"),
     )
 
 
