@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, mixing
+from . import fertility, mixing, urlgraph, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_warc", warc.SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"url_host": "host", "url_path": "path", "url_rule": "rule", "url_verdict": "verdict"}
+    pages = urlgraph.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", *[F.col(a).alias(b) for a, b in named.items()])
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
