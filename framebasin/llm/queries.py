@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, mixing, urlgraph, warc
+from . import fertility, licenses, mixing, urlgraph, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_tokens chars_per_token byte_share token_entropy"
     return fertility.judge(docs).select("doc_id", *[F.col(f"quality_stats.{c}") for c in names.split()])
+
+
+@query("op10_licenses", licenses.sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    named = "words:n_words base:n_base first:first_word last:last_word base_labels:base_labels labels:labels score:score"
+    pairs = [x.split(":") for x in named.split()]
+    return licenses.scan(docs).select("doc_id", *[F.col(f"license_{a}").alias(b) for a, b in pairs])
