@@ -29,26 +29,23 @@ CRLF = "\r\n"
 
 
 def resolve(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """Headers (page_id, url, digest, bytes, nth) with record_type and the response they refer to.
+    """Headers (page_id, url, digest, bytes, copies) with the response of their digest in ``first``.
 
-    One aggregate by digest with map-side combine and one join of headers; equal digests may be any share of the
-    rows, adaptive execution splits such a join.
+    ``first`` is null where all payloads of the digest are responses. One aggregate by digest with map-side
+    combine and one join of headers; equal digests may be any share of the rows, adaptive execution splits such
+    a join.
     """
     order = F.struct(
-        F.col("page_id").isNull().alias("a"), F.col("page_id"), F.col("url").isNull().alias("b"), F.col("url"), F.col("nth")
+        F.col("page_id").isNull().alias("a"), F.col("page_id"), F.col("url").isNull().alias("b"), F.col("url")
     )
     firsts = (
         headers.where(F.col("bytes") >= min_bytes)
         .groupBy("digest")
-        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
+        .agg(F.min(order).alias("first"), F.sum("copies").alias("all"))
+        .where("`all` > 1")
         .select("digest", "first")
     )
-    met = headers.join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(order) & (F.col("bytes") >= min_bytes)
-    return met.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn(
-        "first", F.when(revisit, F.col("first"))
-    )
+    return headers.join(firsts, "digest", "left").withColumn("is_first", F.col("first").eqNullSafe(order))
 
 
 def _record_id(page_id: Column, url: Column, digest: Column, nth: Column) -> Column:
@@ -81,13 +78,17 @@ def write_archives(
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"),
     ).withColumns({"digest": F.sha2(F.col("payload"), 256), "bytes": F.octet_length("payload").cast("long")})
-    same = Window.partitionBy("page_id", "url", "digest").orderBy("bytes")
-    headers = rows.drop("payload").withColumn("nth", F.row_number().over(same))
-    decided = cut(resolve(headers, min_bytes), "warc-headers")
+    name = [F.coalesce(c.cast("string"), F.lit("-")) for c in (F.col("page_id"), F.col("digest"), F.col("url"))]
+    rows = rows.withColumn("row_key", F.concat_ws("|", F.col("page_id").isNull().cast("string"), *name))
+    headers = rows.groupBy("row_key", "page_id", "url", "digest", "bytes").agg(F.count(F.lit(1)).alias("copies"))
+    decided = cut(resolve(headers, min_bytes).select("row_key", "first", "is_first"), "warc-headers")
+    # the window and the join share one exchange of the payloads
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("bytes"))
+    met = rows.withColumn("nth", nth).join(decided, "row_key")
     keys = ("page_id", "url", "digest", "nth")
-    right = decided.select(*[F.col(k).alias(f"_{k}") for k in keys], "record_type", "first")
-    same_row = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    met = rows.withColumn("nth", F.row_number().over(same)).join(right, same_row)
+    long_enough = F.col("first").isNotNull() & (F.col("bytes") >= min_bytes)
+    revisit = long_enough & ~(F.col("is_first") & (F.col("nth") == 1))
+    met = met.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
 
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -111,7 +112,7 @@ def write_archives(
         line("WARC-Target-URI", _safe(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        line("WARC-Refers-To", F.when(revisit, _record_id(first.page_id, first.url, F.col("digest"), first.nth))),
+        line("WARC-Refers-To", F.when(revisit, _record_id(first.page_id, first.url, F.col("digest"), F.lit(1)))),
         line("WARC-Refers-To-Target-URI", F.when(revisit, _safe(first.url))),
         line("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         line("Source-Row-ID", F.col("page_id").cast("string")),
