@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, licenses, mixing, neardup, urlgraph, warc
+from . import fertility, licenses, mixing, neardup, substring, urlgraph, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(docs, neardup.Plan(width=2)).drop("text_hash")
 
 
+@query("op6_substrings", substring.SQL)
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.summary(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+
+
 @query("op7_url_filter")
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"url_host": "host", "url_path": "path", "url_rule": "rule", "url_verdict": "verdict"}
