@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, licenses, mixing, neardup, substring, urlgraph, warc
+from . import classifier, fertility, licenses, mixing, neardup, substring, urlgraph, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", *[F.col(a).alias(b) for a, b in named.items()])
 
 
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = classifier.score(docs, model)
+    held = classifier.held_out(F.col("doc_id"), classifier.Settings().folds)
+    return scored.select(
+        "doc_id",
+        held.alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
