@@ -1,7 +1,7 @@
 """Quality classifier with learned subword embeddings.
 
-A document is the mean of the vectors of its hashed words and of its hashed byte 3- and 4-grams (white space marks
-word edges); a softmax layer turns the mean into class probabilities. Vectors and layer are trained together by
+A document is the mean of the vectors of its hashed words, of its hashed byte 3- and 4-grams (white space marks
+word edges), and of its word bigrams by shape: a word after itself, in either case, is one shared feature; a softmax layer turns the mean into class probabilities. Vectors and layer are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled rows. Scoring is linear before the softmax, so
 every feature's share of the logit is computed once and scoring is one gather per feature over all texts.
 
@@ -42,7 +42,7 @@ class Settings:
 
     @property
     def size(self) -> int:
-        return (1 << self.word_bits) + len(self.grams) * (1 << self.gram_bits)
+        return (1 << self.word_bits) + len(self.grams) * (1 << self.gram_bits) + 1
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,9 @@ def features(texts: pa.Array, s: Settings) -> list[tuple[np.ndarray, np.ndarray]
     """Groups of (text of each feature, feature id); ids are below ``s.size``."""
     w = words(texts)
     out = [(np.repeat(np.arange(len(texts)), np.diff(w.bounds)), (w.hashes & np.uint64((1 << s.word_bits) - 1)).astype(np.int64))]
+    folded, owners = words(texts, lower=True).hashes, out[0][0]
+    twice = owners[1:][(folded[1:] == folded[:-1]) & (owners[1:] == owners[:-1])]
+    out.append((twice, np.full(len(twice), s.size - 1)))
     data, offsets = text_bytes(texts)
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))
     spaced = np.full(len(data) + len(texts) + 1, 32, np.uint32)  # white space before, between and after texts
