@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import WORD, n_words, slices
-from .words import grams, words
+from .words import Words, grams, words
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,11 @@ class Search:
     most_words: int = 1_000_000
 
 
+def folded_words(texts: pa.Array) -> Words:
+    """Words in lower case, in any script: leaks in capitals count."""
+    return words(pc.utf8_lower(texts))
+
+
 def answer_words(text: str, least: int = 8) -> int:
     """How many words at the end of an item are its answer: its last sentence, but not fewer than ``least``."""
     body = text.strip(" \t\n\x0b\x0c\r")
@@ -65,7 +71,7 @@ class Index:
     """Postings of normalised BM25 shares by term, with the largest share of each term in each block."""
 
     def __init__(self, items: list[tuple[int, str]], s: Search):
-        w = words(pa.array([t for _, t in items], pa.string()), lower=True)
+        w = folded_words(pa.array([t for _, t in items], pa.string()))
         sizes = np.diff(w.bounds)
         self.ids = np.array([i for i, _ in items], np.int64)
         self.search, self.half = s, int(max(sizes.max(initial=0), 32))
@@ -88,7 +94,7 @@ class Index:
         self.is_frequent = df > max(1, s.frequent * len(items))
         self.checks = []
         for _, t in items:
-            h = words(pa.array([t]), lower=True).hashes
+            h = folded_words(pa.array([t], pa.string())).hashes
             cut = max(len(h) - answer_words(t), min(s.width, len(h)))
             self.checks.append([_shingles(h[:cut], s.width), _shingles(h[min(cut, len(h) - s.width) :], s.width)])
 
@@ -152,7 +158,7 @@ def _retrieve(w, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _hits(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float, float, float, int]]:
     """Verified (row, item, score, question overlap, answer overlap, first word), the best passage of each."""
     s = index.search
-    w = words(batch.column("text"), lower=True)
+    w = folded_words(batch.column("text"))
     best: dict[tuple[int, int], tuple] = {}
     known: dict[tuple[int, int, int], np.ndarray] = {}
     for text, start, item, score in zip(*(x.tolist() for x in _retrieve(w, index)), strict=True):
