@@ -9,8 +9,8 @@
 4. Members of a list are paired with a hub of the list (its first in a random order that changes by round), never
    with each other. One-bit minima and the estimate from the union of both sketches filter the pairs, the exact
    Jaccard of full sets confirms them, and confirmed pairs merge components.
-5. Rounds end when few members are outside the main component of their lists. The rest is exact: each such member
-   is paired with all members of other components in its lists.
+5. Rounds end when one merges few components compared with the first. The rest is exact: each member outside the
+   main component of a list is paired with all members of other components in it.
 
 Only sets of documents in surviving pairs are built again from their texts. A group of near copies costs a pair or
 two for each member and round, whatever its size, and a hot list is split by the skew join.
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import merge_labels, relabel
-from .frames import slices
+from .frames import carry, restore, slices
 from .words import grams, mix, signed, words
 
 
+_BUCKET_BYTES = 16 << 20  # of full sets that one task compares
+
+
 @dataclass(frozen=True)
 class Plan:
     width: int = 5  # words in a shingle
@@ -175,8 +178,8 @@ class _Sets:
         self.docs, self.reps, self.plan, self.have = docs, reps, plan, None
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) with intersection * 100 >= percent * union on full sets."""
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        """The pairs (x, y) with intersection * 100 >= percent * union on full sets."""
+        named = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
         if self.have is not None:
             named = named.join(self.have.select("id"), "id", "left_anti")
         wanted = cut(named.join(self.reps.select("id", "rep_doc", "text_hash"), "id"), "wanted")
@@ -193,19 +196,29 @@ class _Sets:
         new = cut(texts.select("id", "text").mapInArrow(build, "id long, items binary"), "sets")
         self.have = new if self.have is None else self.have.union(new)
         sets = self.have.dropDuplicates(["id"]) if self._repeats() else self.have
-        half = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"s{c}"))
-        met = pairs.select("a", "b").join(half("b"), "b").join(half("a"), "a").select("a", "b", "sa", "sb")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "sb"):
-                keep = []
-                for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return met.mapInArrow(run, "a long, b long")
+        # the set of x goes once to each bucket of its partners, however many there are; a bucket holds some MB of sets
+        size = self.have.agg(F.sum(F.length("items"))).first()[0] or 0
+        buckets = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _BUCKET_BYTES + 1)
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
+        asked = pairs.groupBy("x", bucket("y")).agg(F.collect_list("y").alias("ys"))
+        left = asked.join(sets.select(F.col("id").alias("x"), F.col("items").alias("mine")), "x")
+        right = sets.select(F.col("id").alias("y"), "items").withColumn("bucket", bucket("y")).select(F.col("bucket").alias("bucket"), "y", "items")
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            held = dict(zip(right["y"].to_pylist(), right["items"].to_pylist(), strict=True))
+            xs, ys = [], []
+            for x, items, partners in zip(*(left[c].to_pylist() for c in ("x", "mine", "ys")), strict=True):
+                mine = np.frombuffer(items, np.uint64)
+                for y in partners:
+                    other = np.frombuffer(held[y], np.uint64)
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(other) - both):
+                        xs.append(x)
+                        ys.append(y)
+            return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+        left = left.select("bucket", "x", "mine", "ys").alias("l")
+        return left.groupBy("bucket").cogroup(right.alias("r").groupBy("bucket")).applyInArrow(compare, "x long, y long")
 
     def _repeats(self) -> bool:
         """Whether a row repeated in ``docs`` has given a set twice."""
@@ -240,7 +253,7 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     def other(df: DataFrame) -> DataFrame:
         return df.select("value", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "minima", "label")])
 
-    tried = None
+    tried, gains = None, []
     for k in range(plan.rounds + 1):
         by_label = lists.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m"))
         sizes = by_label.groupBy("value").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("main")).where("main.m < all")
@@ -248,12 +261,15 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         work, listed = sizes.agg(F.sum(F.col("odd") * F.col("all")), F.sum("all")).first()
         if not listed:
             break
-        last = k == plan.rounds or work <= 16 * listed
+        calm = bool(gains) and gains[-1] * 20 <= gains[0] * (len(gains) > 1)
+        last = k == plan.rounds or work <= listed or calm
         open_lists = lists.join(sizes, "value")
         if last:  # members outside the main component of a list meet all others of it
             odd = open_lists.where(F.col("label") != F.col("main")).drop("all", "main", "odd")
             met = odd.join(other(open_lists), "value").where(near)
-            found = _estimate(met.select(*pair).distinct(), reps, plan)
+            asked = met.groupBy(*pair).agg(F.max(F.col("id") < F.col("_id")).alias("turn"))
+            x, y = F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")), F.when(F.col("turn"), F.col("b")).otherwise(F.col("a"))
+            found = _estimate(asked.select(x.alias("a"), y.alias("b")), reps, plan)
         else:
             order = F.xxhash64(F.col("id"), F.lit(k), F.pmod(F.col("value"), F.lit(4)))
             hub = F.min(F.struct(order.alias("o"), "id", "n", "minima", "label")).alias("h")
@@ -261,18 +277,23 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
             met = open_lists.join(hubs, "value").where(near).select(F.col("id").alias("x"), F.col("_id").alias("a")).distinct()
             guess = cut(_estimate(met.select("a", F.col("x").alias("b")), reps, plan), "guesses")
             best = guess.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "a")), False), 1, plan.tries).alias("t"))
-            found = best.select(F.explode("t").alias("t"), "b").select(F.least("t.a", "b").alias("a"), F.greatest("t.a", "b").alias("b")).distinct()
+            found = best.select(F.explode("t").alias("t"), "b").select("t.a", "b")
+        named = [F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")]
+        found = found.select("*", *named).dropDuplicates(["p", "q"])
         if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = cut(found.select("a", "b"), "pairs")
+            found = found.join(tried, ["p", "q"], "left_anti")
+        found = cut(found.select(F.col("a").alias("x"), F.col("b").alias("y"), "p", "q"), "pairs")
+        gains.append(0)
         if not found.isEmpty():
             good = cut(sets.confirmed(found), "links")
-            tried = found if tried is None else tried.union(found)
-            ends = good.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            new = found.select("p", "q")
+            tried = new if tried is None else tried.union(new)
+            ends = good.select(F.col("x").alias("u"), F.col("y").alias("v"))
             if roots is not None:
                 ends = relabel(relabel(ends, roots, "u"), roots, "v")
             merged = cut(merge_labels(ends), "roots")
             roots = merged if roots is None else cut(relabel(roots, merged, "root").union(merged), "roots")
+            gains[-1] = merged.count()
             if not last:
                 lists = cut(relabel(lists, merged, "label"), "lists")
         if last:
@@ -294,4 +315,5 @@ def distinct_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id; documents without words stay."""
     gone = cut(components(docs, plan).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    return docs.join(gone, same, "left_anti")
+    needed = ("doc_id", "text")
+    return restore(carry(docs, needed).join(gone, same, "left_anti"), docs, needed)
