@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import slices
+from .frames import carry, restore, slices
 from .words import _SPACE, text_bytes, words
 
 
@@ -161,6 +161,7 @@ def score(docs: DataFrame, model: Model | None, settings: Settings = Settings(),
         return docs.drop("text").withColumn(into, F.lit(0.5))
     base = float(model.bias[1] - model.bias[0])
     shared = docs.sparkSession.sparkContext.broadcast(model.shares())
+    whole_rows, docs = docs, carry(docs, ("text",))
     names = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(into, T.DoubleType())])
 
@@ -174,4 +175,4 @@ def score(docs: DataFrame, model: Model | None, settings: Settings = Settings(),
             p = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + base, -60, 60)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(p)], [*names, into])
 
-    return docs.mapInArrow(run, schema)
+    return restore(docs.mapInArrow(run, schema), whole_rows, ("text",), (into,), drop=("text",))

@@ -7,7 +7,8 @@ decide. A band is a plain range; documents with fewer tokens than ``min_tokens``
 
 Defined results: null and empty texts have no words, all counts are 0 and they fail the base rule. Null or
 unknown languages use the band of their main script, scripts without one use ``other``. Repeated rows are
-judged one by one. Extra columns stay, also those named like a statistic (statistics are a struct of their own).
+judged one by one. Extra columns stay, also those named like a statistic (statistics are a struct of
+their own).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import slices
+from .frames import carry, restore, slices
 from .words import starts_in_text, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -217,12 +218,13 @@ def judge(docs: DataFrame, rules: Rules | None = None, into: str = "quality_stat
     """
     rules = rules or Rules()
     lang = "lang" if "lang" in docs.columns else None
+    needed = ("text", "lang") if lang else ("text",)
     s = F.col(into)
     failed = (s.n_words < rules.min_words) | (100 * s.n_repeat_words > rules.max_repeat_pct * s.n_words)
-    judged = with_statistics(docs, rules, into)
-    return judged.withColumn(
+    judged = with_statistics(carry(docs, needed), rules, into).withColumn(
         into, s.withField("base_failed", failed).withField("kept", ~failed & fertility_ok(into, rules, lang))
     )
+    return restore(judged, docs, needed, (into,))
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -230,4 +232,4 @@ def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     name = "quality_stats"
     while name in docs.columns:
         name += "_"
-    return judge(docs, rules, name).where(F.col(name).kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, rules, name).where(F.col(name).kept).drop(name)

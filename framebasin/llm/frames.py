@@ -33,3 +33,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         step = max(1, most // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+#: One struct holds the columns an operator doesn't use, so their names can't meet its own.
+_REST = "__rest"
+
+
+def carry(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """``df`` with the needed columns and all others in one struct."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    return df.select(*[F.col(f"`{c}`") for c in needed], F.struct(*(rest or [F.lit(0).alias("none")])).alias(_REST))
+
+
+def restore(out: DataFrame, df: DataFrame, needed: tuple[str, ...], new: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``df`` in its order, then the new ones; a new column replaces an old one of its name."""
+    old = [
+        F.col(f"`{c}`") if c in needed else F.col(f"{_REST}.`{c}`").alias(c)
+        for c in df.columns
+        if c not in new and c not in drop
+    ]
+    return out.select(*old, *[F.col(f"`{c}`") for c in new])

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import lower_ascii
+from .frames import carry, lower_ascii, restore
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -97,7 +97,8 @@ def scan(
 ) -> DataFrame:
     """``docs`` without its text, with license_words, license_base, license_first, license_last,
     license_base_labels, license_labels and license_score (the best coverage; 1 where a base phrase stands)."""
-    spark = docs.sparkSession
+    spark, whole_rows, needed = docs.sparkSession, docs, ("doc_id", text)
+    docs = carry(docs, needed)
     body = lower_ascii(F.coalesce(F.col(text), F.lit("")))
     key = [F.xxhash64(F.lit(n), F.to_json(F.struct("doc_id")), F.col(text)) for n in (1, 2)]
     w = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
@@ -143,7 +144,7 @@ def scan(
     n = F.regexp_count(body, F.lit(WORD))
     every = docs.withColumns({"_a": key[0], "_b": key[1], "license_words": n.cast("long")}).drop(text)
     met = every.join(seen.withColumnsRenamed({c: f"_{c}" for c in seen.columns if c not in "ab"}).withColumnsRenamed({"a": "_ra", "b": "_rb"}), (F.col("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb")), "left")
-    return met.withColumns(
+    out = met.withColumns(
         {
             "license_base": F.coalesce("_n_base", F.lit(0)).cast("long"),
             "license_first": F.col("_first").cast("long"),
@@ -152,7 +153,9 @@ def scan(
             "license_labels": F.coalesce("_labels", F.lit("")),
             "license_score": F.coalesce("_score", F.lit(0.0)),
         }
-    ).drop("_a", "_b", "_ra", "_rb", "_n_base", "_first", "_last", "_base_labels", "_labels", "_score")
+    )
+    new = tuple(f"license_{c}" for c in "words base first last base_labels labels score".split())
+    return restore(out, whole_rows, needed, new, drop=(text,))
 
 
 def sql(templates: tuple[Template, ...] = TEMPLATES, coverage: float = 0.8, slack: int = 2) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .frames import n_words
+from .frames import carry, n_words, restore
 
 #: Finish times are binned this finely; 1.0 is where every source has reached its target.
 _BINS = 4096
@@ -153,20 +153,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = 3,
     """The documents of the mix with ``mix_passes``, how often each is read, and ``mix_finish``, its place.
 
     Documents are matched to their shares by id, source, size and text; equal rows are numbered on both sides.
+    Columns of ``docs`` that have these two names are replaced.
     """
     nth = F.row_number().over(Window.partitionBy("_id").orderBy("_s", "_size", "_hash"))
     chosen = shares(docs, weights, passes, seed).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_size"),
         F.col("text_hash").alias("_hash"), F.col("passes").alias("mix_passes"), F.col("finish").alias("mix_finish"),
     )
-    left = docs.withColumns(
+    needed = ("doc_id", "text", "source")
+    left = carry(docs, needed).withColumns(
         {"_id": F.col("doc_id"), "_s": F.col("source"), "_size": n_words(F.col("text")), "_hash": F.xxhash64("text")}
     ).withColumn("_nth", nth)
     right = chosen.withColumn("_nth", nth).where("mix_passes > 0").select(
         F.col("_id").alias("_rid"), F.col("_nth").alias("_rnth"), "mix_passes", "mix_finish"
     )
     met = left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_nth") == F.col("_rnth")))
-    return met.drop("_id", "_s", "_size", "_hash", "_nth", "_rid", "_rnth")
+    return restore(met, docs, needed, ("mix_passes", "mix_finish"))
 
 
 SQL = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .frames import slices
+from .frames import carry, restore, slices
 from .words import Words, grams, signed, starts_in_text, words
 
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -206,10 +206,11 @@ def without_repeats(docs: DataFrame, window: int = 50, anchor: int = 5) -> DataF
     Rows that lose all their words are dropped; a column n_chars follows the text.
     """
     found = marks(docs, window, anchor)
-    every = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.hash("text")})
-    met = _met(every, found, window)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lost", T.BooleanType())])
-    names = docs.columns
+    needed = ("doc_id", "text")
+    every = carry(docs, needed)
+    names, fields = every.columns, every.schema.fields
+    met = _met(every.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.hash("text")}), found, window)
+    schema = T.StructType([*fields, T.StructField("_lost", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -227,8 +228,8 @@ def without_repeats(docs: DataFrame, window: int = 50, anchor: int = 5) -> DataF
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.bool_())], [*names, "_lost"])
 
-    out = met.select(*names, "_starts", "_whole").mapInArrow(run, schema).where("not _lost").drop("_lost")
-    if "n_chars" in names:
+    out = restore(met.select(*names, "_starts", "_whole").mapInArrow(run, schema).where("not _lost"), docs, needed)
+    if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .frames import lower_ascii
+from .frames import carry, lower_ascii, restore
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,8 @@ def judge(
     rows: counts are combined before the shuffle, and adaptive execution splits the join that brings verdicts back.
     """
     rule, verdict = fitted(F.col("url_host"), F.col("url_path"), rules)
-    judged = pages.drop(html).withColumns({"url_host": host_of(F.col(url)), "url_path": path_of(F.col(url))}).withColumns(
+    needed = (url, html)
+    judged = carry(pages, needed).drop(html).withColumns({"url_host": host_of(F.col(url)), "url_path": path_of(F.col(url))}).withColumns(
         {"url_rule": rule, "_verdict": verdict}
     )
     seeds = (
@@ -150,4 +151,5 @@ def judge(
     )
     met = judged.join(bad, F.col("url_host") == F.col("_bad"), "left")
     decided = F.coalesce("_verdict", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
-    return met.withColumn("url_verdict", decided).drop("_verdict", "_bad")
+    new = ("url_host", "url_path", "url_rule", "url_verdict")
+    return restore(met.withColumn("url_verdict", decided), pages, needed, new, drop=(html,))

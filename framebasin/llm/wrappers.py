@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .frames import slices
+from .frames import carry, restore, slices
 from .htmltree import Page, Tree, match_trees, parse, read_skeleton, skeleton
 from .urlgraph import host_of
 
@@ -199,6 +199,8 @@ def _text(source: str, wrapper: tuple[Tree, int, frozenset] | None, known: dict,
 def extract(pages: DataFrame, how: Induction = Induction(), url: str = "url", html: str = "html", into: str = "main_text") -> DataFrame:
     """``pages`` without html, with the main text of each."""
     wrappers = cut(induce(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).withColumn("host", F.coalesce("host", F.lit(""))), how), "wrappers")
+    needed, whole_rows = (url, html), pages
+    pages = carry(pages, needed)
     names = [c for c in pages.columns if c != html]
     right = wrappers.withColumnsRenamed({c: f"_{c}" for c in wrappers.columns})
     met = pages.withColumn("_own", F.coalesce(host_of(F.col(url)), F.lit(""))).join(right, F.col("_own") == F.col("_host"))
@@ -218,4 +220,5 @@ def extract(pages: DataFrame, how: Induction = Induction(), url: str = "url", ht
                 texts.append(_text(source or "", trees[host], known, reference, how))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], [*names, into])
 
-    return met.select(*names, html, "_host", "_skeleton", "_slot", "_template").mapInArrow(run, schema)
+    out = met.select(*names, html, "_host", "_skeleton", "_slot", "_template").mapInArrow(run, schema)
+    return restore(out, whole_rows, needed, (into,), drop=(html,))
