@@ -53,18 +53,21 @@ def _anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text").where("text is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
 
 
 def _copies(rows: DataFrame) -> DataFrame:
     """Rows whose whole text also is the text of a smaller id: doc_id, th."""
-    named = rows.where("doc_id is not null").select("doc_id", "th", F.md5("text").alias("digest"))
+    named = rows.where("doc_id is not null and text is not null").select("doc_id", "th", F.md5("text").alias("digest"))
     first = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     return named.join(first, "digest").where("doc_id > first").select("doc_id", "th").distinct()
 
 
 def _candidates(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Anchors that several documents hold, a row for each document: doc_id, th, places."""
+    """Anchors that several documents hold, a row for each document: doc_id, places.
+
+    Anchors are told apart by 48 bits; two that meet by chance only make a few windows more candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -72,19 +75,18 @@ def _candidates(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             _, text, place, runs = _anchors(w, window, anchor)
             place, first = np.unique(place, return_index=True)
             text = text[first]
-            th = batch.column("th").to_numpy()[text].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(runs[place])), batch.column("doc_id").take(pa.array(text)), pa.array((th << 32) | (place - w.bounds[text]))],
+                [
+                    pa.array(signed(runs[place] >> np.uint64(16))),
+                    batch.column("doc_id").take(pa.array(text)),
+                    pa.array((place - w.bounds[text]).astype(np.int32)),
+                ],
                 ["a", "doc_id", "at"],
             )
 
-    found = rows.where("doc_id is not null").mapInArrow(run, "a long, doc_id long, at long")
+    found = rows.where("doc_id is not null").mapInArrow(run, "a long, doc_id long, at int")
     shared = found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a")
-    return (
-        found.join(shared, "a")
-        .groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th"))
-        .agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places"))
-    )
+    return found.join(shared, "a").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
 
 
 def _edges(rows: DataFrame, candidates: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -92,6 +94,9 @@ def _edges(rows: DataFrame, candidates: DataFrame, window: int, anchor: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
+            batch = batch.filter(batch.column("places").is_valid())
+            if not batch.num_rows:
+                continue
             w = words(batch.column("text"))
             at, text, place, _ = _anchors(w, window, anchor)
             lists = batch.column("places")
@@ -111,7 +116,8 @@ def _edges(rows: DataFrame, candidates: DataFrame, window: int, anchor: int) ->
                 ["h", "h2", "doc_id", "at"],
             )
 
-    met = rows.join(candidates, ["doc_id", "th"]).select("doc_id", "th", "text", "places")
+    # the same exchange of the texts serves the join that removes words
+    met = rows.join(candidates, "doc_id", "left").select("doc_id", "th", "text", "places")
     return met.mapInArrow(run, "h long, h2 int, doc_id long, at long")
 
 
@@ -119,7 +125,9 @@ def marks(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
     """Repeated windows of each row that has any: doc_id, th, starts, sources; both null where all words repeat."""
     rows = _rows(docs)
     copies = cut(_copies(rows), "copies")
-    candidates = cut(_candidates(rows, window, anchor).join(copies, ["doc_id", "th"], "left_anti"), "candidates")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    done = copies.select("doc_id").join(several, "doc_id", "left_anti")
+    candidates = cut(_candidates(rows, window, anchor).join(done, "doc_id", "left_anti"), "candidates")
     edges = _edges(rows, candidates, window, anchor)
     first = edges.groupBy("h", "h2").agg(F.min("doc_id").alias("source"))
     spans = (
@@ -129,6 +137,7 @@ def marks(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
         .agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), "source")).alias("found"))
         .select("doc_id", "th", "found.start", "found.source")
         .withColumnsRenamed({"start": "starts", "source": "sources"})
+        .join(copies, ["doc_id", "th"], "left_anti")
     )
     none = F.lit(None)
     return spans.unionByName(copies.select("doc_id", "th", none.cast("array<int>").alias("starts"), none.cast("array<bigint>").alias("sources")))
@@ -169,17 +178,21 @@ def _removed(n: int, starts: list[int] | None, whole: bool, window: int) -> np.n
     return np.cumsum(steps[:n]) > 0
 
 
-def _met(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    right = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("starts").alias("_starts"))
-    same = (F.col("_id") == F.col("_d")) & (F.col("_th") == F.col("_t"))
-    return docs.join(right, same, "left").withColumn("_whole", F.col("_d").isNotNull() & F.col("_starts").isNull()).drop("_d", "_t")
+def _met(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` (with doc_id and th) with what repeats in each row."""
+    marked = F.struct("th", "starts")
+    right = found.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(marked).alias("_marks"))
+    mine = F.get(F.filter("_marks", lambda m: m["th"] == F.col("th")), F.lit(0))
+    met = docs.join(right, F.col("doc_id") == F.col("_d"), "left").withColumn("_mark", mine)
+    return met.withColumns(
+        {"_starts": F.col("_mark.starts"), "_whole": F.col("_mark").isNotNull() & F.col("_mark.starts").isNull()}
+    ).drop("_d", "_marks", "_mark")
 
 
 def summary(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
     """For each row doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
     found = marks(docs, window, anchor)
-    every = docs.select(F.col("doc_id").cast("long").alias("_id"), F.hash("text").alias("_th"), "text")
-    met = _met(every, found, window).select("_id", "text", "_starts", "_whole")
+    met = _met(_rows(docs), found).select("doc_id", "text", "_starts", "_whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -193,7 +206,7 @@ def summary(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
                 gone.append(total[-1] - len(parts))
                 digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())],
+                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
@@ -209,7 +222,7 @@ def without_repeats(docs: DataFrame, window: int = 50, anchor: int = 5) -> DataF
     needed = ("doc_id", "text")
     every = carry(docs, needed)
     names, fields = every.columns, every.schema.fields
-    met = _met(every.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.hash("text")}), found, window)
+    met = _met(every.withColumn("th", F.hash("text")), found)
     schema = T.StructType([*fields, T.StructField("_lost", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
