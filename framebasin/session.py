@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def setting(spark: SparkSession, key: str, default: str | None = None) -> str | None:
@@ -23,9 +24,12 @@ def setting(spark: SparkSession, key: str, default: str | None = None) -> str |
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared scratch folder; a temporary one only where none is configured."""
+    """Shared scratch folder; a temporary one only where none is configured and all tasks run on this machine."""
     root = setting(spark, _CHECKPOINT_KEY)
     if root is None:
+        master = setting(spark, "spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="framebasin-")
         spark.conf.set(_CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -36,8 +40,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the scratch folder and read it back."""
+    """Write ``df`` as a table in the scratch folder and read it back.
+
+    Shuffle files of the write go as soon as the table is there; nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP_KEY, "false")
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
