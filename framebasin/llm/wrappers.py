@@ -40,7 +40,7 @@ CONTAINERS = frozenset("html body main article section div td center blockquote"
 @dataclass(frozen=True)
 class Induction:
     least_pages: int = 10  # of a host before a block counts as template
-    constant: float = 0.9  # share of pages that hold a template block
+    constant: float = 0.8  # share of pages that hold a template block
     most_text: float = 0.6  # share of the text that the article's container holds
 
 
