@@ -214,8 +214,8 @@ def strip_species(frames: DataFrame, element: str) -> DataFrame:
 
 
 def join_by_row(a: DataFrame, b: DataFrame, on: str = "row_no") -> DataFrame:
-    """D3: rows of two tables by position."""
-    return a.join(b, on)
+    """D3: rows of two tables by position; a row without its partner is an error."""
+    return _aligned(a, b, [on], "rows")
 
 
 def with_atom_base(frames: DataFrame, frame_no: str = "frame_no") -> DataFrame:
@@ -233,24 +233,25 @@ def relabel_frames(
     Row counts must agree.
     """
     e = energy.select(F.col("row_no").alias("frame_no"), F.get("values", F.lit(0)).alias("__e"))
-    out = _aligned(frames, e, "frame_no", "energy rows").withColumn(
+    out = _aligned(frames, e, ["frame_no"], "energy rows").withColumn(
         "energy", units.total(F.col("__e"), F.col("natoms"))
     ).drop("__e")
     if virial is None:
         return out
     v = virial.select(F.col("row_no").alias("frame_no"), F.slice("values", 1, 6).alias("__v"))
-    out = _aligned(out, v, "frame_no", "virial rows").withColumn(
+    out = _aligned(out, v, ["frame_no"], "virial rows").withColumn(
         "virial", F.transform(units.voigt_to_9(F.col("__v")), lambda x: x * F.col("natoms"))
     )
     stress = units.virial_to_stress(F.col("virial"), cell.cell_volume(F.col("lattice")))
     return out.drop("__v").withColumn("stress", stress if with_stress else F.lit(None).cast("array<double>"))
 
 
-def _aligned(left: DataFrame, right: DataFrame, on: str, what: str) -> DataFrame:
+def _aligned(left: DataFrame, right: DataFrame, on: Sequence[str], what: str) -> DataFrame:
     """Join by position where every row must have its partner; checked in the join itself."""
-    marked = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), on, "full_outer")
+    marked = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), list(on), "full_outer")
     ok = F.col("__l") & F.col("__r")
-    fail = F.raise_error(F.format_string(f"row counts differ: %d is missing in the frames or in the {what}", F.col(on)))
+    at = F.concat_ws(", ", *[F.col(c).cast("string") for c in on])
+    fail = F.raise_error(F.format_string(f"row counts differ: %s is missing in the frames or in the {what}", at))
     return marked.filter(F.when(ok, True).otherwise(fail.cast("boolean"))).drop("__l", "__r")
 
 
@@ -269,7 +270,7 @@ def relabel_forces(frames: DataFrame, force: DataFrame) -> DataFrame:
     fields = ("atom_idx", "species", "x", "y", "z", "fx", "fy", "fz")
     # the atoms of one frame return to their row
     back = (
-        _aligned(atoms, rows, "atom_no", "force rows")
+        _aligned(atoms, rows, ["atom_no"], "force rows")
         .groupBy("frame_no")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("atoms"))
     )
@@ -290,14 +291,12 @@ def join_cp2k(pos: DataFrame, frc: DataFrame, cells: DataFrame, config_type: str
     """Positions, forces with energy, and cells of one run, by frame position.
 
     Force rows are matched to atoms by their row, so an unreadable row leaves a
-    NULL force instead of shifting the atoms after it.
+    NULL force instead of shifting the atoms after it. A frame that one of the
+    three lacks is an error.
     """
-    forced = pos.join(
-        frc.select("file_ord", "frame_idx", F.col("energy").alias("__e"), F.col("atoms").alias("__f")),
-        ["file_ord", "frame_idx"],
-    ).join(
-        cells.select("file_ord", "frame_idx", F.col("lattice").alias("__l")), ["file_ord", "frame_idx"]
-    )
+    key = ["file_ord", "frame_idx"]
+    forced = _aligned(pos, frc.select(*key, F.col("energy").alias("__e"), F.col("atoms").alias("__f")), key, "forces")
+    forced = _aligned(forced, cells.select(*key, F.col("lattice").alias("__l")), key, "cells")
 
     def force(i: Column, axis: str) -> Column:
         return units.to_ev(F.get("__f", i)[axis], "hartree/bohr")

@@ -45,8 +45,9 @@ def parity(
 def histogram(df: DataFrame, col: str, bins: int = 35) -> DataFrame:
     """Counts of ``bins`` equal-width bins between min and max; the last bin is closed.
 
-    Empty bins are listed with 0.
+    Empty bins are listed with 0. NULL and NaN fall in no bin.
     """
+    df = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     lo, hi = df.agg(F.min(col), F.max(col)).first()
     spark = df.sparkSession
     if lo is None:
@@ -57,7 +58,7 @@ def histogram(df: DataFrame, col: str, bins: int = 35) -> DataFrame:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
-    counts = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = spark.range(bins).select(
         F.col("id").alias("bin"), (F.lit(lo) + F.col("id") * F.lit(width)).alias("left")
     )

@@ -30,6 +30,14 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of ``left`` are kept."""
+    names = {k: f"__k_{i}" for i, k in enumerate(keys)}
+    side = right.withColumnsRenamed(names)
+    met = left.join(side, [F.col(f"`{k}`").eqNullSafe(F.col(v)) for k, v in names.items()], how)
+    return met.drop(*names.values())
+
+
 class Ordered:
     """Rows grouped ``by`` some columns and totally ordered inside each group.
 
@@ -79,7 +87,7 @@ class Ordered:
         step = max(1, limit // _SAMPLES)
         if self.by:
             hot = counts.filter(F.col("__n") > limit).select(*self.by)
-            rows = df.join(F.broadcast(hot), self.by, "left_semi")
+            rows = null_safe_join(df, F.broadcast(hot), self.by, "left_semi")
         else:
             rows = df
         sample = (
@@ -103,7 +111,7 @@ class Ordered:
         # at most MAX_HOT rows and a few thousand cut points in all
         cuts = df.sparkSession.createDataFrame(sample.collect(), sample.schema)
         joined = (
-            df.join(F.broadcast(cuts), self.by, "left")
+            null_safe_join(df, F.broadcast(cuts), self.by, "left")
             if self.by
             else df.withColumn("__fine", cuts.select("__fine").scalar())
         )
@@ -137,7 +145,7 @@ class Ordered:
     def _attach(self, carry: DataFrame) -> DataFrame:
         keys = [*self.by, _SEG]
         side = F.broadcast(carry) if self._segments_bounded else carry
-        return self.df.join(side, keys, "left")
+        return null_safe_join(self.df, side, keys, "left")
 
     # -- results -------------------------------------------------------------
 
@@ -210,7 +218,7 @@ class Ordered:
             return self
         sizes = self.df.groupBy(*self.by).agg(F.count(F.lit(1)).alias(name))
         if self.by:
-            self.df = self.df.join(sizes, self.by)
+            self.df = null_safe_join(self.df, sizes, self.by)
         else:
             self.df = self.df.withColumn(name, sizes.scalar())
         return self

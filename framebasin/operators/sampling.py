@@ -30,7 +30,11 @@ def filter_deviation(df: DataFrame, least: float, col: str) -> DataFrame:
 def top_n(
     df: DataFrame, by: str, n: int, per: Sequence[str] = (), order: Sequence[str] = ("frame_idx",)
 ) -> DataFrame:
-    """The ``n`` rows with the largest ``by``, per group or overall; ties take the earlier row."""
+    """The ``n`` rows with the largest ``by``, per group or overall; ties take the earlier row.
+
+    Rows whose ``by`` is NULL or NaN are never picked.
+    """
+    df = df.filter(F.col(by).isNotNull() & ~F.isnan(F.col(by).cast("double")))
     ascending = [-F.col(by), *[F.col(c) for c in order]]
     if per and n <= _GROUP_LIMIT:
         w = Window.partitionBy(*per).orderBy(*ascending)

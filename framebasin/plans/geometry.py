@@ -192,16 +192,19 @@ def rdf_pair(spark, sf):
 @query(
     "rdf_frame_ranges",
     f"""WITH {ATOMS_SQL}, {_PAIRS_SQL},
-        q AS (SELECT CASE WHEN frame_idx < 2000 THEN 'first' ELSE 'rest' END AS part, sa, sb,
-                CAST(floor(d / {_DR}) AS BIGINT) AS bin FROM p WHERE sa = 'Li' AND sb = 'Mo')
-        SELECT part, sa, sb, bin, count(*) AS n FROM q WHERE bin < 40 GROUP BY ALL""",
+        h0 AS (SELECT CASE WHEN frame_idx < 2000 THEN 'first' ELSE 'rest' END AS part, sa, sb, d, floor(d / {_DR}) AS b
+               FROM p WHERE sa = 'Li' AND sb = 'Mo'),
+        h AS (SELECT part, sa, sb, d, CAST(CASE WHEN d < b * {_DR} THEN b - 1 WHEN d >= (b + 1) * {_DR} THEN b + 1 ELSE b END AS BIGINT) AS bin FROM h0),
+        t AS (SELECT part, CAST(floor(max(d) / {_DR}) AS BIGINT) AS last FROM h GROUP BY part),
+        q AS (SELECT h.part, sa, sb, CASE WHEN bin = last AND d = bin * {_DR} THEN bin - 1 ELSE bin END AS bin, last FROM h JOIN t USING (part))
+        SELECT part, sa, sb, bin, count(*) AS n FROM q WHERE bin < last GROUP BY ALL""",
 )
 def rdf_frame_ranges(spark, sf):
     at = si.atoms(spark, sf)
     parts = []
     for name, lo, hi in (("first", 0, 2000), ("rest", 2000, 1 << 60)):
         g = pr.rdf(at, "Li", "Mo", _DR, frames=(lo, hi), volume=_V, frame=FRAME)
-        parts.append(g.filter("n > 0 AND bin < 40").select(F.lit(name).alias("part"), "sa", "sb", "bin", "n"))
+        parts.append(g.filter("n > 0").select(F.lit(name).alias("part"), "sa", "sb", "bin", "n"))
     return parts[0].unionByName(parts[1])
 
 

@@ -20,7 +20,11 @@ from ..session import cut
 
 
 def scan_lines(spark: SparkSession, paths, encoding: str | None = None, **options) -> DataFrame:
-    """``file, blk, pos, line`` of text files; ``pos`` orders the lines of a split."""
+    """``file, blk, pos, line`` of text files; ``pos`` orders the lines of a split.
+
+    The lines are written once to the scratch folder. Split bounds depend on the settings and the executors of the
+    moment, so numbers counted in one scan would not fit the lines of another; both come from the table.
+    """
     reader = spark.read.options(**options) if options else spark.read
     if encoding:
         # the text source reads UTF-8; other encodings go through the CSV reader's charset
@@ -29,11 +33,14 @@ def scan_lines(spark: SparkSession, paths, encoding: str | None = None, **option
         ).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(paths)
     else:
         rows = reader.text(paths)
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("blk"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.rtrim(F.col("value")).alias("line"),
+    return cut(
+        rows.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("blk"),
+            F.monotonically_increasing_id().alias("pos"),
+            F.rtrim(F.col("value")).alias("line"),
+        ),
+        "lines",
     )
 
 

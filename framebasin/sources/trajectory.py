@@ -23,7 +23,8 @@ def read_xdatcar(spark: SparkSession, paths, **options) -> DataFrame:
     """Fractional positions in long form: ``file, file_ord, frame_idx, atom_idx, species, fx, fy, fz``
     with the ``lattice`` of the file; coordinates are wrapped into [0, 1).
 
-    Frames are the blocks after ``Direct configuration=`` lines.
+    Frames are the blocks after ``Direct configuration=`` lines; a block with more or fewer
+    rows than the header has atoms is an error.
     """
     mark = F.lower(F.ltrim("line")).startswith("direct configuration")
     lines = read_lines(spark, paths, {"__f": mark}, **options)
@@ -39,7 +40,12 @@ def read_xdatcar(spark: SparkSession, paths, **options) -> DataFrame:
     )
     body = lines.filter((F.col("__f") > 0) & ~mark & (F.length("line") > 0))
     # the marker line is the only line between frames, so positions follow from line numbers
+    found = body.groupBy("file", "__f").agg(F.count(F.lit(1)).alias("__n"))
     starts = lines.filter(mark).select("file", F.col("__f"), F.col("line_no").alias("__at"))
+    starts = starts.join(found, ["file", "__f"], "left").join(headers.select("file", F.size("names").alias("__w")), "file")
+    wrong = F.raise_error(F.format_string("%s: block %d has %d rows, not %d", "file", "__f", F.coalesce("__n", F.lit(0)), "__w"))
+    whole = F.when(F.col("__n").eqNullSafe(F.col("__w")), True).otherwise(wrong.cast("boolean"))
+    starts = starts.filter(whole).drop("__n", "__w")
     rows = body.join(starts, ["file", "__f"]).withColumn("atom_idx", (F.col("line_no") - F.col("__at") - 1).cast("int"))
     t = tx.floats(F.col("line"))
     files = list_files(spark, paths, **options).select("file", "file_ord")
