@@ -213,9 +213,12 @@ def strip_species(frames: DataFrame, element: str) -> DataFrame:
 # -- positional joins --------------------------------------------------------------
 
 
-def join_by_row(a: DataFrame, b: DataFrame, on: str = "row_no") -> DataFrame:
-    """D3: rows of two tables by position; a row without its partner is an error."""
-    return _aligned(a, b, [on], "rows")
+def join_by_row(a: DataFrame, b: DataFrame, on: str = "row_no", whole: bool = True) -> DataFrame:
+    """D3: rows of two tables by position; a row without its partner is an error.
+
+    ``whole=False`` looks up rows that were picked from one of the tables.
+    """
+    return _aligned(a, b, [on], "rows") if whole else a.join(b, on)
 
 
 def with_atom_base(frames: DataFrame, frame_no: str = "frame_no") -> DataFrame:
@@ -248,11 +251,11 @@ def relabel_frames(
 
 def _aligned(left: DataFrame, right: DataFrame, on: Sequence[str], what: str) -> DataFrame:
     """Join by position where every row must have its partner; checked in the join itself."""
-    marked = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), list(on), "full_outer")
-    ok = F.col("__l") & F.col("__r")
+    marked = left.withColumn("__left", F.lit(True)).join(right.withColumn("__right", F.lit(True)), list(on), "full_outer")
+    ok = F.col("__left") & F.col("__right")
     at = F.concat_ws(", ", *[F.col(c).cast("string") for c in on])
     fail = F.raise_error(F.format_string(f"row counts differ: %s is missing in the frames or in the {what}", at))
-    return marked.filter(F.when(ok, True).otherwise(fail.cast("boolean"))).drop("__l", "__r")
+    return marked.filter(F.when(ok, True).otherwise(fail.cast("boolean"))).drop("__left", "__right")
 
 
 def relabel_forces(frames: DataFrame, force: DataFrame) -> DataFrame:

@@ -253,11 +253,11 @@ def read_profile(spark, sf):
 
 @query(
     "read_blocks",
-    """WITH f AS (SELECT vec_id, i.range AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, range(8) i)
+    """WITH f AS (SELECT vec_id, i.range AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, range(32) i)
        SELECT vec_id, count(*) AS n, round(sum(e[2*i+1]), 7) AS sk, round(sum(e[2*i+2]), 7) AS sf FROM f GROUP BY 1""",
 )
 def read_blocks(spark, sf):
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat_ws(" ", _s(F.get("e", 2 * i)), _s(F.get("e", 2 * i + 1))))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.concat_ws(" ", _s(F.get("e", 2 * i)), _s(F.get("e", 2 * i + 1))))
     blank = F.when(F.col("vec_id") % 3 == 0, "\n\n").otherwise("\n")
     emb = _emb(spark, sf).withColumn("value", F.concat(F.array_join(rows, "\n"), blank))
     path = si.derive_files(_headed(emb, F.lit("# branches\n# k f")).select("bucket", "vec_id", "value"), "blocks", "vec_id")
@@ -270,10 +270,10 @@ def read_blocks(spark, sf):
 
 @query(
     "read_bands",
-    """SELECT vec_id, CAST(vec_id AS DOUBLE) AS k, CAST(i.range AS INTEGER) AS band, round(CAST(embedding[i.range + 1] AS DOUBLE), 8) AS energy FROM embeddings, range(12) i""",
+    """SELECT vec_id, CAST(vec_id AS DOUBLE) AS k, CAST(i.range AS INTEGER) AS band, round(CAST(embedding[i.range + 1] AS DOUBLE), 8) AS energy FROM embeddings, range(64) i""",
 )
 def read_bands(spark, sf):
-    emb = _emb(spark, sf).withColumn("value", F.concat_ws(" ", _s(F.col("vec_id")), tx.join_floats(F.slice("e", 1, 12))))
+    emb = _emb(spark, sf).withColumn("value", F.concat_ws(" ", _s(F.col("vec_id")), tx.join_floats(F.col("e"))))
     path = si.derive_files(_headed(emb, F.lit("# k bands")).select("bucket", "vec_id", "value"), "bands", "vec_id")
     opt = {"recursiveFileLookup": "true"}
     got = tb.read_bands(spark, path, **opt).join(ln.list_files(spark, path, **opt), "file")

@@ -205,17 +205,17 @@ def parity(spark, sf):
 
 @query(
     "parity_components",
-    """WITH c AS (SELECT unnest(CAST(embedding[1:6] AS DOUBLE[])) AS p, unnest(CAST(embedding[7:12] AS DOUBLE[])) AS t, unnest(CAST(embedding[1:12] AS DOUBLE[])) AS a, vec_id FROM embeddings),
-       v AS (SELECT vec_id, CAST(embedding[1:6] AS DOUBLE[]) AS pp, CAST(embedding[7:12] AS DOUBLE[]) AS tt FROM embeddings WHERE vec_id % 10 <> 3),
+    """WITH c AS (SELECT unnest(CAST(embedding[1:32] AS DOUBLE[])) AS p, unnest(CAST(embedding[33:64] AS DOUBLE[])) AS t, unnest(CAST(embedding AS DOUBLE[])) AS a, vec_id FROM embeddings),
+       v AS (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS pp, CAST(embedding[33:64] AS DOUBLE[]) AS tt FROM embeddings WHERE vec_id % 10 <> 3),
        f AS (SELECT unnest(pp) AS p, unnest(tt) AS t FROM v), m AS (SELECT avg(t) AS mean FROM f)
        SELECT count(*) AS n, round(sqrt(avg((p - t) * (p - t))), 8) AS rmse, round(avg(abs(p - t)), 8) AS mae,
               round(1 - sum((t - p) * (t - p)) / sum((t - mean) * (t - mean)), 8) AS r2 FROM f, m""",
 )
 def parity_components(spark, sf):
-    v = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 12)
+    v = F.transform("embedding", lambda x: x.cast("double"))
     gap = F.transform(v, lambda x, i: F.when((F.col("vec_id") % 10 == 3) & (i == 8), -1e6).otherwise(x))
     rows = table(spark, sf, "embeddings").select(gap.alias("values"))
-    valid = fl.drop_sentinel(rows).select(F.slice("values", 1, 6).alias("pred"), F.slice("values", 7, 6).alias("true"))
+    valid = fl.drop_sentinel(rows).select(F.slice("values", 1, 32).alias("pred"), F.slice("values", 33, 32).alias("true"))
     out = mt.parity(mt.flatten_components(valid, "pred", "true"), scale=1.0)
     return out.withColumns({c: rnd(c, 8) for c in ("rmse", "mae", "r2")})
 
@@ -346,7 +346,7 @@ def join_by_row(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"), F.array("o_totalprice").alias("v"))
     active = _matrix(orders, "row_no", F.col("v")).select("row_no", F.get("values", F.lit(0)).alias("deviation"))
     ev = table(spark, sf, "events").select(F.col("event_id").alias("row_no"), "user_id")
-    out = lb.join_by_row(ev, active.filter("deviation > 250000"))
+    out = lb.join_by_row(ev, active.filter("deviation > 250000"), whole=False)
     return out.select("row_no", "user_id", rnd("deviation", 2).alias("deviation"))
 
 
