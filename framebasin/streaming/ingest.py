@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import dup_report, fingerprints
+from ..operators.dedup import fingerprints
 from ..sources.frames import from_comment
 
 
@@ -38,10 +39,13 @@ def frames_of_texts(texts: DataFrame) -> DataFrame:
     )["starts"]
     each = withl.select("file", "ls", F.posexplode(walk).alias("frame_idx", "at"))
     n = F.regexp_extract(F.get("ls", F.col("at")), r"(\d+)", 1).cast("int")
+    rows = F.slice("ls", F.col("at") + 3, n)
+    short = F.raise_error(F.format_string("%s: frame %d is cut short", F.col("file"), F.col("frame_idx")))
+    full = (F.size(rows) == n) & ~F.exists(rows, lambda r: F.length(r) == 0)
     return from_comment(
         each.select(
             "file", F.col("frame_idx").cast("long"), n.alias("natoms"),
-            F.get("ls", F.col("at") + 1).alias("comment"), F.slice("ls", F.col("at") + 3, n).alias("rows"),
+            F.get("ls", F.col("at") + 1).alias("comment"), F.when(full, rows).otherwise(short.cast("array<string>")).alias("rows"),
         )
     )
 
@@ -49,18 +53,23 @@ def frames_of_texts(texts: DataFrame) -> DataFrame:
 def _store(batch: DataFrame, batch_id: int, table: str) -> None:
     """New frames of one batch: not a repeat inside the batch, not stored before; rerunnable.
 
-    Inside the batch the full match applies; against stored frames the fingerprint
-    with species tied to positions decides.
+    The fingerprint with species tied to positions decides, inside a batch and against stored
+    frames alike, so the result does not depend on how files fall into batches.
     """
     spark = batch.sparkSession
     key = ("file", "frame_idx")
     marked = fingerprints(batch)
-    fresh = marked.join(dup_report(batch, key).select(*key), list(key), "left_anti")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    first = marked.groupBy("tied").agg(F.min(F.struct(*key)).alias("f")).select("tied", "f.*")
+    fresh = marked.join(first, ["tied", *key], "left_semi")
+    try:
+        stored = spark.read.parquet(table)
+    except AnalysisException as err:
+        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = None
+    if stored is not None:
         # the batch's own folder is left out, so a repeated batch gives the same rows
-        seen = spark.read.parquet(table).filter(F.col("batch") != batch_id).select("tied").distinct()
+        seen = stored.filter(F.col("batch") != batch_id).select("tied").distinct()
         fresh = fresh.join(seen, "tied", "left_anti")
     fresh.drop("loose", "exact", "crowded", "frac").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 

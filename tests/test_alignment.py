@@ -66,3 +66,17 @@ def test_direct_blocks_have_the_rows_of_the_header(spark, tmp_path, rows, good):
     else:
         with pytest.raises(Exception, match=f"has {rows} rows, not 2"):
             df.collect()
+
+
+def test_a_stream_refuses_a_short_frame(spark, tmp_path):
+    from framebasin.streaming.ingest import ingest_stream
+
+    whole = "2\ntag=1\nMo 0 0 0\nTe 1 1 1\n"
+    for name, text in (("good", whole + whole.replace("1 1 1", "0.5 1 1") + whole), ("bad", whole + "3\ntag=2\nMo 0 0 0\nTe 1 1 1\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.xyz").write_text(text)
+    out = str(tmp_path / "table")
+    ingest_stream(spark, str(tmp_path / "good"), out, str(tmp_path / "c1")).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+    with pytest.raises(Exception, match="frame 1 is cut short"):
+        ingest_stream(spark, str(tmp_path / "bad"), str(tmp_path / "t2"), str(tmp_path / "c2")).awaitTermination()
