@@ -48,12 +48,13 @@ def filter_elements(frames: DataFrame, target: Sequence[str], mode: str = "only"
     return frames.filter({"only": only, "at_least": at_least}[mode](els, target))
 
 
-def match_group(elements: Column, groups: Sequence[Sequence[str]], mode: str = "only") -> Column:
-    """Name of the first matching group, else NULL."""
-    test = {"only": only, "at_least": at_least}[mode]
+def match_group(elements: Column, groups: Sequence[Sequence[str]], mode: str | Sequence[str] = "only") -> Column:
+    """Name of the first matching group, else NULL; an empty group is named ``any`` and takes all."""
+    modes = [mode] * len(groups) if isinstance(mode, str) else list(mode)
     chain = None
-    for g in groups:
-        cond, name = test(elements, g), F.lit("".join(g))
+    for g, m in zip(groups, modes, strict=True):
+        test = {"only": only, "at_least": at_least}[m]
+        cond, name = (test(elements, g), F.lit("".join(g))) if g else (F.lit(True), F.lit("any"))
         chain = F.when(cond, name) if chain is None else chain.when(cond, name)
     return chain
 
@@ -71,19 +72,29 @@ def drop_reason(elements: Column, groups: Sequence[Sequence[str]], mode: str = "
 def route(
     frames: DataFrame,
     groups: Sequence[Sequence[str]],
-    mode: str = "only",
+    mode: str | Sequence[str] = "only",
     max_atoms: int = 0,
+    min_distance: float = 0.0,
 ) -> DataFrame:
-    """``grp`` of each frame or the ``reason`` it is dropped; the atom limit comes before geometry."""
+    """``grp`` of each frame or the ``reason`` it is dropped.
+
+    ``mode`` holds for all groups or names one for each; an empty group takes every frame,
+    so geometry alone decides. The atom limit comes before geometry. With ``min_distance``
+    frames with closer atoms are ``too_close``, and ``too_close`` is NULL where a frame has no cell to tell.
+    """
     els = F.col("elements") if "elements" in frames.columns else elements_of(F.col("atoms"))
     grp = match_group(els, groups, mode)
     over = F.lit(max_atoms > 0) & (F.col("natoms") > max_atoms)
-    return frames.withColumns(
-        {
-            "grp": F.when(~over, grp),
-            "reason": F.when(grp.isNull(), drop_reason(els, groups, mode)).when(over, "too_many_atoms"),
-        }
-    )
+    foreign = drop_reason(els, groups, mode if isinstance(mode, str) else "only")
+    reason = F.when(grp.isNull(), foreign).when(over, "too_many_atoms")
+    if not min_distance:
+        return frames.withColumns({"grp": F.when(~over, grp), "reason": reason})
+    judged = frames.withColumns({"grp": grp, "reason": reason})
+    passed = with_closeness(judged.filter(F.col("reason").isNull()), min_distance)
+    rest = judged.filter(F.col("reason").isNotNull()).withColumn("too_close", F.lit(None).cast("boolean"))
+    near = F.coalesce(F.col("too_close"), F.lit(False))
+    out = passed.withColumn("reason", F.when(near, "too_close")).unionByName(rest)
+    return out.withColumn("grp", F.when(F.col("reason").isNull(), F.col("grp")))
 
 
 def filter_natoms(frames: DataFrame, limit: int) -> DataFrame:
@@ -115,8 +126,8 @@ def _shortest_in_row(x: pd.Series, y: pd.Series, z: pd.Series, lattice: pd.Serie
     return pd.Series([one(*row) for row in zip(x, y, z, lattice, pbc)], dtype="float64")
 
 
-def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
-    """Frames whose shortest distance is at least ``limit``; frames without a cell are kept."""
+def with_closeness(frames: DataFrame, limit: float) -> DataFrame:
+    """``too_close`` of each frame: two atoms nearer than ``limit``; NULL for frames without a cell."""
     from ..sources.frames import atoms_view
     from .pairs import DISTANCE_SLACK
 
@@ -125,11 +136,17 @@ def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
     # kept out of predicate push-down, so it runs once per frame and after the cheap filters
     near = _shortest_in_row.asNondeterministic()(*axis, F.col("lattice"), F.col("pbc"))
     measured = frames.filter(small & F.col("lattice").isNotNull()).withColumn("__d", near)
-    fine = measured.filter(F.coalesce(F.col("__d") >= limit - DISTANCE_SLACK, F.lit(True))).drop("__d")
-    kept = fine.unionByName(frames.filter(small & F.col("lattice").isNull()))
-    big = frames.filter(~small)
-    bad = too_close(atoms_view(big.filter(F.col("lattice").isNotNull())), limit)
-    return kept.unionByName(big.join(bad.select(*FRAME), list(FRAME), "left_anti"))
+    fine = measured.withColumn("too_close", F.coalesce(F.col("__d") < limit - DISTANCE_SLACK, F.lit(False))).drop("__d")
+    unknown = frames.filter(F.col("lattice").isNull()).withColumn("too_close", F.lit(None).cast("boolean"))
+    big = frames.filter(~small & F.col("lattice").isNotNull())
+    bad = too_close(atoms_view(big), limit).select(*FRAME).distinct().withColumn("too_close", F.lit(True))
+    far = big.join(bad, list(FRAME), "left").withColumn("too_close", F.coalesce("too_close", F.lit(False)))
+    return fine.unionByName(unknown).unionByName(far.select(*fine.columns))
+
+
+def filter_min_distance(frames: DataFrame, limit: float) -> DataFrame:
+    """Frames whose shortest distance is at least ``limit``; frames without a cell are kept."""
+    return with_closeness(frames, limit).filter(~F.coalesce("too_close", F.lit(False))).drop("too_close")
 
 
 def reason_counts(df: DataFrame, col: str = "reason") -> DataFrame:

@@ -89,6 +89,18 @@ def min_distance_filter(spark, sf):
     return fl.filter_min_distance(si.frames(spark, sf), 0.35).select("frame_idx")
 
 
+@query(
+    "route_distance",
+    f"""WITH {FRAMES_SQL}, {_PERIODIC}, m AS (SELECT frame_idx, min(d) AS d FROM pd GROUP BY 1)
+        SELECT frame_idx, CASE WHEN d >= 0.35 - 1e-9 THEN 'any' END AS grp,
+               CASE WHEN d < 0.35 - 1e-9 THEN 'too_close' END AS reason FROM m""",
+)
+def route_distance(spark, sf):
+    # no frame holds one species only, so the open group takes all and the distance decides
+    out = fl.route(si.frames(spark, sf), [["Mo"], []], ["only", "at_least"], max_atoms=100, min_distance=0.35)
+    return out.select("frame_idx", "grp", "reason")
+
+
 @query(
     "periodic_close_pairs",
     f"""WITH {FRAMES_SQL}, {_PERIODIC} SELECT frame_idx, i, j, round(d, 6) AS d FROM pd WHERE d <= 0.8""",

@@ -438,6 +438,15 @@ def strict_dedup(spark, sf):
     return rep.select(*_KEY, F.col("dup_of.file_ord").alias("kept_file"), F.col("dup_of.frame_idx").alias("kept"))
 
 
+@query(
+    "cross_dups",
+    """SELECT 1 AS file_ord, vec_id AS frame_idx, 0 AS kept_file, vec_id AS kept FROM embeddings WHERE vec_id % 4 IN (0, 1)""",
+)
+def cross_dups(spark, sf):
+    rep = dd.cross_dups(doubled_frames(spark, sf))
+    return rep.select(*_KEY, F.col("dup_of.file_ord").alias("kept_file"), F.col("dup_of.frame_idx").alias("kept"))
+
+
 @query(
     "strict_merge_dedup",
     """SELECT 0 AS file_ord, vec_id AS frame_idx FROM embeddings
