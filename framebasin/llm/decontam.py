@@ -7,8 +7,10 @@ item and the threshold is the same for all. As in block-max WAND, bounds come fi
 of a passage's words, frequent words as one sum, then the same bound for each block of items; only blocks whose
 bound reaches the threshold are scored, and nothing above the threshold is missed.
 
-Items retrieved are verified on five-word shingles: their question (all but the last sentence) and their answer (the
-last sentence, or the second half of a single one; eight words at least) must both overlap with the passage.
+Items retrieved are verified: half of their five-word shingles must stand in the passage, and half of the different
+words of their question (all but the last sentence) and of their answer (the last sentence, or the second half of a
+single one; eight words at least). So a leak with some words changed is found too; texts that don't hold the item
+share next to no five words in a row with it.
 
 The index is broadcast. Items are split into indexes of at most ``most_words`` words each, whatever their number,
 and every index is met by a pass over the documents.
@@ -37,8 +39,8 @@ from .words import Words, grams, words
 @dataclass(frozen=True)
 class Search:
     threshold: float = 0.6  # of the item's own score
-    overlap: float = 0.5  # of the shingles of question and of answer
-    both: float = 0.8  # of the shingles of both together
+    overlap: float = 0.5  # of the words of question and of answer
+    shingles: float = 0.5  # of the shingles of the whole item
     width: int = 5
     k1: float = 1.2
     b: float = 0.75
@@ -62,11 +64,6 @@ def answer_words(text: str, least: int = 8) -> int:
     return max(last, min(least, size))
 
 
-def _shingles(h: np.ndarray, width: int) -> tuple[int, np.ndarray]:
-    width = max(1, min(width, len(h)))
-    return width, np.unique(grams(h, width))
-
-
 class Index:
     """Postings of normalised BM25 shares by term, with the largest share of each term in each block."""
 
@@ -96,7 +93,8 @@ class Index:
         for _, t in items:
             h = folded_words(pa.array([t], pa.string())).hashes
             cut = max(len(h) - answer_words(t), min(s.width, len(h)))
-            self.checks.append([_shingles(h[:cut], s.width), _shingles(h[min(cut, len(h) - s.width) :], s.width)])
+            width = min(s.width, len(h))
+            self.checks.append((width, np.unique(grams(h, width)), np.unique(h[:cut]), np.unique(h[min(cut, len(h) - 1) :])))
 
 
 def _spread(at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +162,14 @@ def _hits(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float, fl
     for text, start, item, score in zip(*(x.tolist() for x in _retrieve(w, index)), strict=True):
         a = w.bounds[text] + start
         body = w.hashes[a : min(a + 2 * index.half, w.bounds[text + 1])]
-        shares, found, total = [], 0, 0
-        for width, shingles in index.checks[item]:
-            if (text, start, width) not in known:
-                known[text, start, width] = np.unique(grams(body, width))
-            n = int(np.isin(shingles, known[text, start, width]).sum())
-            shares.append(n / len(shingles))
-            found, total = found + n, total + len(shingles)
-        if min(shares) >= s.overlap and found >= s.both * total:
-            new = (score, shares[0], shares[-1], start)
+        width, shingles, question, answer = index.checks[item]
+        if (text, start, width) not in known:
+            known[text, start, width] = np.unique(grams(body, width))
+        if np.isin(shingles, known[text, start, width]).mean() < s.shingles:
+            continue
+        shares = [float(np.isin(part, body).mean()) for part in (question, answer)]
+        if min(shares) >= s.overlap:
+            new = (score, *shares, start)
             if best.get((text, item), (-1.0,)) < new:
                 best[text, item] = new
     return [(t, i, *v) for (t, i), v in sorted(best.items())]

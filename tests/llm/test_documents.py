@@ -94,7 +94,7 @@ def test_mix_keeps_rows_and_columns(odd_docs, no_docs):
 # decontamination
 
 
-def brute_leaks(docs, items, overlap=0.8):
+def brute_leaks(docs, items, overlap=0.5):
     grams = lambda t: {tuple(w[j : j + 5]) for w in [words_of(t.lower())] for j in range(len(w) - 4)}
     need = {i: grams(t) for i, t in items}
     return {(d, i) for d, t in docs for i, n in need.items() if n and len(n & grams(t or "")) >= overlap * len(n)}
@@ -109,7 +109,7 @@ def test_leaks_equal_brute_force(spark, block):
         if k % 4 == 1:
             item = item.upper()
         if k % 4 == 2:
-            item = edited(item, k, 0.02)
+            item = edited(item, k, 0.04)
         if k % 4 == 3:
             item = " ".join(item.split()[: len(item.split()) // 2])
         docs.append((100 + k, f"{prose(300 + k, 37 * (k % 5))} {item}\n{prose(400 + k, 150)}"))
@@ -119,7 +119,7 @@ def test_leaks_equal_brute_force(spark, block):
     found = [(r.doc_id, r.item_id) for r in decontam.leaks(left, right, decontam.Search(block=block)).collect()]
     want = brute_leaks(docs, [(i, t) for i, t in items if t])
     assert set(found) <= want
-    assert all(any((100 + k, k) == f for f in found) for k in range(40) if k % 4 in (0, 1))
+    assert all(any((100 + k, k) == f for f in found) for k in range(40) if k % 4 < 3)
     assert len(found) == len(set(found)) + 1  # the repeated row is judged on its own
     # several small indexes find the same
     few = decontam.leaks(left, right, decontam.Search(block=block, most_words=200)).collect()

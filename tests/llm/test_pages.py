@@ -200,7 +200,7 @@ def test_wrappers_find_the_slot(spark):
     rows += [
         (20, "http://x.net/a", None), (21, "http://x.net/b", ""), (22, "http://x.net/c", "<p>bare"), (23, None, "<article><p>lone &lt;b&gt;</article><footer>f"),
         (24, "http://y.net/", "<main><nav>no</nav><p>only</p><div class='ad banner'>buy</div></main>"), (24, "http://y.net/", "<main><p>only</p></main>"),
-        (25, "http://x.net/d", page(25, "<p>short</p>", "<div class='share'>tweet</div><article class='comment'>reader</article>")),
+        (25, "http://x.net/d", page(25, "<p>short, but longer than the template</p>", "<div class='share'>tweet</div><article class='comment'>reader</article>")),
         (26, "http://x.net/e", page(26, "<p>" + "long " * 200_000 + "</p>")),
     ]
     got = wrappers.extract(pages_df(spark, rows))
@@ -211,7 +211,7 @@ def test_wrappers_find_the_slot(spark):
     for k in range(20):
         assert text[k] == [f"Title {k}\nOne {k} {('lorem ' * 30).strip()}\ntwo {k} x"]
     assert text[20] == text[21] == [""] and text[22] == ["bare"] and text[23] == ["lone <b>"]
-    assert text[24] == ["only", "only"] and text[25] == ["Title 25\nshort"]
+    assert text[24] == ["only", "only"] and text[25] == ["Title 25\nshort, but longer than the template"]
     assert len(text[26][0]) > 900_000
     assert wrappers.extract(pages_df(spark, [])).count() == 0
 
