@@ -203,6 +203,16 @@ def check_species(atoms: DataFrame, allowed: Sequence[str], frame: Sequence[str]
     return per_frame.groupBy("species").agg(F.sum("n").alias("atoms"), F.count(F.lit(1)).alias("frames"))
 
 
+def aligned_counts(**tables: DataFrame) -> DataFrame:
+    """Rows of each named table and whether all tables have as many: ``name, rows, agrees``."""
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    span = counts.agg(F.min("rows").alias("lo"), F.max("rows").alias("hi"))  # one row
+    return counts.join(F.broadcast(span)).select("name", "rows", (F.col("lo") == F.col("hi")).alias("agrees"))
+
+
 def assert_aligned(**counts: int) -> None:
     """Named row counts must agree."""
     if len(set(counts.values())) > 1:

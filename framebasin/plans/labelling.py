@@ -338,6 +338,15 @@ def relabel_forces(spark, sf):
     return out.select("frame_idx", "atom_idx", *[rnd(c, 8).alias(c) for c in ("fx", "fy", "fz")])
 
 
+@query(
+    "aligned_counts",
+    """WITH c AS (SELECT 'embeddings' AS name, count(*) AS rows FROM embeddings UNION ALL SELECT 'events', count(*) FROM events
+       UNION ALL SELECT 'orders', count(*) FROM orders) SELECT name, rows, (SELECT min(rows) = max(rows) FROM c) AS agrees FROM c""",
+)
+def aligned_counts(spark, sf):
+    return fl.aligned_counts(**{t: table(spark, sf, t) for t in ("embeddings", "events", "orders")})
+
+
 @query(
     "join_by_row",
     """SELECT event_id AS row_no, user_id, round(o_totalprice, 2) AS deviation FROM events JOIN orders ON event_id = o_orderkey WHERE o_totalprice > 250000""",
