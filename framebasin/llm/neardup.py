@@ -3,11 +3,11 @@
 1. One pass over the texts hashes the shingles of each document with one hash function and keeps: the size of the
    set, a 128-bit digest of it, the ``k`` smallest hashes (the sketch), and 64 one-bit minima as a cheap filter.
 2. Documents with equal sets fold into one representative, by an aggregate with map-side combine.
-3. A representative is listed under its rarest sketch values: two sketches of sets at the threshold share at least
-   ``least`` of ``k`` values but for one pair in a million, so they share one of the ``k - least + 1`` that are
+3. A representative is listed under the rarest of its ``listed`` smallest values: sets at the threshold share at
+   least ``least`` of them but for two pairs in a million, so they share one of the ``listed - least + 1`` that are
    rarest in any fixed order. Rarity comes from counts of all sketch values in a table of fixed size.
-4. Members of a list are paired with a hub of the list (its first in a random order that changes by round), never
-   with each other. One-bit minima and the estimate from the union of both sketches filter the pairs, the exact
+4. Members of a list are paired with a hub of the list, never with each other: first the member with most company
+   in its own lists, as the original of many copies has, then the first in a random order that changes by round. One-bit minima and the estimate from the union of both sketches filter the pairs, the exact
    Jaccard of full sets confirms them, and confirmed pairs merge components.
 5. Rounds end when one merges few components compared with the first. The rest is exact: each member outside the
    main component of a list is paired with all members of other components in it.
@@ -37,15 +37,26 @@ from .words import grams, mix, signed, words
 
 
 _BUCKET_BYTES = 16 << 20  # of full sets that one task compares
+_FEW = 1 << 20  # rows of three numbers that may be broadcast
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if counting shows that it is small; joined by a shuffle otherwise."""
+    return F.broadcast(table) if table.count() <= _FEW else table
+
+
+def _named(pairs: DataFrame, column: str) -> DataFrame:
+    return _few(cut(pairs.select(F.col(column).alias("id")).distinct(), "ids"))
 
 
 @dataclass(frozen=True)
 class Plan:
     width: int = 5  # words in a shingle
     percent: int = 80  # least similarity
-    k: int = 64  # values in a sketch
-    least: int = 36  # values that sketches at the threshold share; Bin(64, 0.8) is below with 2e-6
-    flips: int = 24  # one-bit minima that may differ; Bin(64, 0.1) is above with 1e-8
+    k: int = 128  # values in a sketch
+    listed: int = 64  # smallest values of a sketch that lists are drawn from
+    least: int = 36  # of these that sketches at the threshold share; Bin(64, 0.8) is below with 2e-6
+    flips: int = 20  # one-bit minima that may differ; Bin(64, 0.1) is above with 1e-6
     sigmas: float = 5.0  # slack of the estimate
     cells: int = 1 << 18  # counters of the rarity table
     rounds: int = 6  # hub rounds at most; what they leave is done pair by pair
@@ -110,7 +121,7 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(plan.cells, np.int64)
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)
+            values = np.frombuffer(b"".join(s[: 8 * plan.listed] for s in batch.column("sketch").to_pylist()), np.uint64)
             totals += np.bincount((mix(values) & cells).astype(np.int64), minlength=plan.cells)
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["cell", "n"])
@@ -127,12 +138,12 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
             if not batch.num_rows:
                 continue
             n = batch.column("n").to_numpy()
-            held = np.minimum(n, plan.k)
-            values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)
+            held = np.minimum(n, plan.listed)
+            values = np.frombuffer(b"".join(s[: 8 * plan.listed] for s in batch.column("sketch").to_pylist()), np.uint64)
             row = np.repeat(np.arange(len(n)), held)
             order = np.lexsort((values, rare[(mix(values) & cells).astype(np.int64)], row))
             # a whole set at the threshold shares percent of its values with any partner
-            need = np.where(n < plan.k, -(-plan.percent * n // 100), plan.least)
+            need = np.where(n < plan.listed, -(-plan.percent * n // 100), plan.least)
             place = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
             keep = place < (held - need + 1)[row]
             row, values = row[keep], values[order][keep]
@@ -146,7 +157,12 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
 
 def _estimate(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) whose union sketch leaves the threshold possible, with ``estimate``."""
-    half = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = cut(pairs, "met")
+
+    def half(c: str) -> DataFrame:
+        mine = reps.join(_named(pairs, c), "id", "left_semi")
+        return mine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
     met = pairs.join(half("a"), "a").join(half("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
     goal = plan.percent / 100
 
@@ -185,7 +201,7 @@ class _Sets:
         wanted = cut(named.join(self.reps.select("id", "rep_doc", "text_hash"), "id"), "wanted")
         width, percent = self.plan.width, self.plan.percent
         texts = self.docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text").join(
-            wanted, F.col("_d").eqNullSafe(F.col("rep_doc")) & (F.col("_h") == F.col("text_hash"))
+            _few(wanted), F.col("_d").eqNullSafe(F.col("rep_doc")) & (F.col("_h") == F.col("text_hash"))
         )
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +217,9 @@ class _Sets:
         buckets = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _BUCKET_BYTES + 1)
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
         asked = pairs.groupBy("x", bucket("y")).agg(F.collect_list("y").alias("ys"))
-        left = asked.join(sets.select(F.col("id").alias("x"), F.col("items").alias("mine")), "x")
-        right = sets.select(F.col("id").alias("y"), "items").withColumn("bucket", bucket("y")).select(F.col("bucket").alias("bucket"), "y", "items")
+        from_x, from_y = (sets.join(_named(pairs, c), "id", "left_semi") for c in "xy")
+        left = asked.join(from_x.select(F.col("id").alias("x"), F.col("items").alias("mine")), "x")
+        right = from_y.select(F.col("id").alias("y"), "items").withColumn("bucket", bucket("y")).select(F.col("bucket").alias("bucket"), "y", "items")
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
             held = dict(zip(right["y"].to_pylist(), right["items"].to_pylist(), strict=True))
@@ -239,8 +256,10 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         "representatives",
     )
     lists = cut(_listed(reps, plan).withColumn("label", F.col("id")), "lists")
-    crowded = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
+    crowded = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = cut(lists.join(crowded, "value"), "lists")  # alone in a list, nobody to meet
+    company = lists.groupBy("id").agg(F.sum("c").alias("company"))
+    lists = cut(lists.join(company, "id").drop("c"), "lists")
     sets = _Sets(docs, reps, plan)
     roots = None
     near = (
@@ -272,7 +291,8 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
             found = _estimate(asked.select(x.alias("a"), y.alias("b")), reps, plan)
         else:
             order = F.xxhash64(F.col("id"), F.lit(k), F.pmod(F.col("value"), F.lit(4)))
-            hub = F.min(F.struct(order.alias("o"), "id", "n", "minima", "label")).alias("h")
+            first_choice = -F.col("company") if k == 0 else F.lit(0).cast("long")
+            hub = F.min(F.struct(first_choice.alias("f"), order.alias("o"), "id", "n", "minima", "label")).alias("h")
             hubs = open_lists.groupBy("value").agg(hub).select("value", *[F.col(f"h.{c}").alias(f"_{c}") for c in ("id", "n", "minima", "label")])
             met = open_lists.join(hubs, "value").where(near).select(F.col("id").alias("x"), F.col("_id").alias("a")).distinct()
             guess = cut(_estimate(met.select("a", F.col("x").alias("b")), reps, plan), "guesses")
