@@ -6,7 +6,8 @@ stochastic gradient descent in numpy on a bounded sample of labelled rows. Scori
 every feature's share of the logit is computed once and scoring is one gather per feature over all texts.
 
 Only the text enters a score. The sample is the ``sample`` labelled rows with the smallest hash of their id among
-those whose remainder of crc32(id as text) by ``folds`` is not 0; the rest is held out.
+those whose remainder of crc32(id as text) by ``folds`` is not 0; the rest is held out. Rows are whole texts; if
+their counted features take more than ``sample_bytes``, the sample ends with the last row that fits.
 
 Defined results: null and empty texts score the model's bias. Without labelled rows every score is 0.5. Rows
 whose label is null are not learned from; of repeated labels of an id the larger counts. A null id counts as the
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .frames import carry, restore, slices
 from .words import _SPACE, text_bytes, words
 
@@ -37,6 +39,7 @@ class Settings:
     epochs: int = 8
     rate: float = 0.5
     sample: int = 5000
+    sample_bytes: int = 160 << 20
     folds: int = 5
     seed: int = 11
 
@@ -119,7 +122,19 @@ def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[int,
                 ["doc_id", "label", "ids", "shares"],
             )
 
-    got = rows.mapInArrow(run, "doc_id long, label int, ids binary, shares binary").limit(2 * s.sample).collect()
+    found = cut(rows.mapInArrow(run, "doc_id long, label int, ids binary, shares binary"), "sample")
+    place = F.xxhash64("doc_id").alias("place")
+    sizes = found.groupBy(place, "doc_id").agg(F.sum(2 * F.length("ids")).alias("size")).collect()  # a row for each id
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        total += r["size"]
+        if total > s.sample_bytes and fits:
+            break
+        fits.append(r)
+    if not fits:
+        return []
+    last = fits[-1]
+    got = found.where((place < last.place) | ((place == last.place) & (F.col("doc_id") <= last.doc_id))).collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
     return [(r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
 
