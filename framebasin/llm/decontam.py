@@ -200,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in slices(batches, "text", 1 << 22):
+            for batch in slices(batches, "text", 1 << 20):
                 found = _hits(batch, index)
                 if found:
                     row, item, *rest = zip(*found, strict=True)
@@ -217,7 +217,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 1 << 22):
+            for batch in slices(batches, "text", 1 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[h[0] for h in _hits(batch, shared.value)]] = False
                 yield batch.filter(pa.array(keep))

@@ -64,7 +64,7 @@ class Rules:
     max_repeat_pct: int = 50  # share of words in repeated three-word windows, per cent
     min_tokens: int = 150
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
-    cached_words: int = 200_000  # distinct words a task keeps encoded
+    cached_words: int = 100_000  # distinct words a task keeps encoded
 
 
 STATS = T.StructType(

@@ -155,19 +155,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = 3,
     Documents are matched to their shares by id, source, size and text; equal rows are numbered on both sides.
     Columns of ``docs`` that have these two names are replaced.
     """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     nth = F.row_number().over(Window.partitionBy("_id").orderBy("_s", "_size", "_hash"))
     chosen = shares(docs, weights, passes, seed).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_size"),
+        name.alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_size"),
         F.col("text_hash").alias("_hash"), F.col("passes").alias("mix_passes"), F.col("finish").alias("mix_finish"),
     )
     needed = ("doc_id", "text", "source")
     left = carry(docs, needed).withColumns(
-        {"_id": F.col("doc_id"), "_s": F.col("source"), "_size": n_words(F.col("text")), "_hash": F.xxhash64("text")}
+        {"_id": name, "_s": F.col("source"), "_size": n_words(F.col("text")), "_hash": F.xxhash64("text")}
     ).withColumn("_nth", nth)
-    right = chosen.withColumn("_nth", nth).where("mix_passes > 0").select(
-        F.col("_id").alias("_rid"), F.col("_nth").alias("_rnth"), "mix_passes", "mix_finish"
-    )
-    met = left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_nth") == F.col("_rnth")))
+    taken = F.collect_list(F.struct("_nth", "mix_passes", "mix_finish")).alias("_taken")
+    right = chosen.withColumn("_nth", nth).where("mix_passes > 0").groupBy(F.col("_id").alias("_rid")).agg(taken)
+    # joined by id alone, so the exchange of the texts for the numbering serves the join too
+    mine = F.get(F.filter("_taken", lambda t: t["_nth"] == F.col("_nth")), F.lit(0))
+    met = left.join(right, F.col("_id") == F.col("_rid")).withColumn("_mine", mine).where("_mine is not null")
+    met = met.withColumns({"mix_passes": F.col("_mine.mix_passes"), "mix_finish": F.col("_mine.mix_finish")})
     return restore(met, docs, needed, ("mix_passes", "mix_finish"))
 
 
