@@ -247,7 +247,8 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     ``component_id`` is the smallest doc_id of the documents that links reach; ``kept`` marks that document.
     """
-    rows = cut(sketches(docs, plan).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # sketches of all rows are never stored: the representatives keep theirs, a last pass finds the set of each row
+    rows = sketches(docs, plan).withColumn("row", F.monotonically_increasing_id())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), "row", "text_hash", "n", "minima", "sketch"))
     reps = cut(
         rows.where("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select(
@@ -323,6 +324,7 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     named = cut(known.select("d1", "d2", "label", "rep_doc"), "known")
     smallest = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"))
     of_set = named.join(smallest, "label").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id")
+    rows = sketches(docs, plan).select("doc_id", "text_hash", "n", "d1", "d2")
     met = rows.join(of_set, (F.col("n") > 0) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return met.select(
