@@ -18,8 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the fertility bands (operator 9)."""
-    return fertility.keep_good(docs)
+    """Documents that pass the base rule and the fertility bands of the clean labelled rows (operator 9)."""
+    return fertility.keep_good(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,18 +3,27 @@
 Fertility: every distinct word of an Arrow batch is encoded once with a public vocabulary that falls back to
 bytes; characters per token, the share of byte-fallback tokens and the entropy of the token distribution are
 then sums over the words of each document. Bands per language, or per script where the language has none,
-decide. A band is a plain range; documents with fewer tokens than ``min_tokens`` are too short to judge and pass.
+decide.
+
+With labels, ``fit`` derives the band of each language from all its clean labelled rows that pass the base rule: the
+floor of characters per token is their ``low`` quantile, and entropy, which grows with the length of a text, has a
+floor for each octave of tokens, the ``low`` quantile of the clean rows of that octave. An octave of fewer than
+``least`` rows takes the floor of the next shorter one (no octave has as many: one floor for all lengths). Below the shortest the floor falls by one bit an octave, as the
+halves of a text have on average at most one bit less than the whole. So a language rejects about two in a hundred
+clean rows. Upper limits and languages with fewer than ``least`` clean rows keep the wide ``BANDS``, whose entropy
+floor holds from ``min_tokens`` tokens on and falls alike below. No text is too short to judge.
 
 Defined results: null and empty texts have no words, all counts are 0 and they fail the base rule. Null or
 unknown languages use the band of their main script, scripts without one use ``other``. Repeated rows are
-judged one by one. Extra columns stay, also those named like a statistic (statistics are a struct of
+judged one by one, and count one by one where bands are derived. Of several labels of a document the lowest counts,
+null labels do not. Extra columns stay, also those named like a statistic (statistics are a struct of
 their own).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -24,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .frames import carry, restore, slices
 from .words import starts_in_text, words
 
@@ -33,12 +43,16 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted range: characters per token, largest byte-fallback share, least token entropy in bits."""
+    """Accepted range: characters per token, largest byte-fallback share, least token entropy in bits.
+
+    ``steps`` are derived entropy floors: from so many tokens on, so many bits; they replace ``min_entropy``.
+    """
 
     min_chars: float
     max_chars: float
     max_bytes: float
     min_entropy: float
+    steps: tuple[tuple[int, float], ...] = ()
 
 
 #: The vocabulary was learned mostly on English, so the floor of characters per token differs by language.
@@ -62,7 +76,9 @@ class Rules:
     vocabulary: str = VOCABULARY
     min_words: int = 50
     max_repeat_pct: int = 50  # share of words in repeated three-word windows, per cent
-    min_tokens: int = 150
+    min_tokens: int = 150  # from here on the entropy floor of a band without steps holds
+    low: float = 0.01  # quantile of the clean labelled rows that is a derived floor
+    least: int = 50  # clean labelled rows behind a derived floor
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
     cached_words: int = 100_000  # distinct words a task keeps encoded
 
@@ -193,6 +209,47 @@ def with_statistics(docs: DataFrame, rules: Rules, into: str, text: str = "text"
     return docs.mapInArrow(run, schema)
 
 
+def fit(measured: DataFrame, labels: DataFrame, rules: Rules, stats: str, lang: str | None = "lang") -> Rules:
+    """``rules`` with the bands of all languages that have enough clean labelled rows.
+
+    ``measured`` has doc_id, the language and statistics with ``base_failed``; ``labels`` has doc_id and quality. One
+    row for each language and octave comes to the driver. Quantiles are exact over values cut to three decimals, so
+    no group holds more than the few thousand values there are.
+    """
+    s = F.col(stats)
+    clean = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
+    short = lambda c: F.floor(c * 1000) / 1000
+    rows = measured.where(~s.base_failed & (s.n_tokens > 0)).select(
+        "doc_id",
+        (F.coalesce(F.lower(F.col(lang)), s.script) if lang else s.script).alias("_key"),
+        F.floor(F.log2(s.n_tokens)).cast("int").alias("_octave"),
+        short(s.chars_per_token).alias("_chars"),
+        short(s.token_entropy).alias("_bits"),
+    )
+    met = rows.join(clean, F.col("doc_id") == F.col("_id")).rollup("_key", "_octave")
+    found = met.agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(rules.low)).alias(c) for c in ("_chars", "_bits")])
+    levels: dict[str, tuple[float, float]] = {}
+    steps: dict[str, list[tuple[int, float]]] = {}
+    for r in found.where((F.col("n") >= rules.least) & F.col("_key").isNotNull()).orderBy("_key", "_octave").collect():
+        if r._octave is None:
+            levels[r._key] = (r._chars, r._bits)
+        else:
+            steps.setdefault(r._key, []).append((1 << r._octave, r._bits))
+    bands = dict(rules.bands)
+    for key, (chars, bits) in levels.items():
+        wide = bands.get(key, bands["other"])
+        bands[key] = replace(wide, min_chars=chars, steps=tuple(steps.get(key, ())) or ((1, bits),))
+    return replace(rules, bands=bands)
+
+
+def _entropy_floor(n_tokens: F.Column, band: Band, rules: Rules) -> F.Column:
+    (start, bits), *more = band.steps or ((rules.min_tokens, band.min_entropy),)
+    out = F.lit(float(bits)) - F.greatest(F.lit(0.0), F.log2(F.lit(float(start))) - F.log2(F.greatest(n_tokens, F.lit(1))))
+    for least, bits in more:
+        out = F.when(n_tokens >= least, F.lit(float(bits))).otherwise(out)
+    return out
+
+
 def fertility_ok(stats: str, rules: Rules, lang: str | None = "lang") -> F.Column:
     """Whether fertility lies inside the band of the row's language, else of its script."""
     s = F.col(stats)
@@ -202,34 +259,43 @@ def fertility_ok(stats: str, rules: Rules, lang: str | None = "lang") -> F.Colum
         F.when(s.script.isin(*rules.bands), s.script),
         F.lit("other"),
     )
-    inside = (
+    floor = F.lit(None).cast("double")
+    for k, b in rules.bands.items():
+        floor = F.when(key == k, _entropy_floor(s.n_tokens, b, rules)).otherwise(floor)
+    return (
         s.chars_per_token.between(named(lambda b: b.min_chars)[key], named(lambda b: b.max_chars)[key])
         & (s.byte_share <= named(lambda b: b.max_bytes)[key])
-        & (s.token_entropy >= named(lambda b: b.min_entropy)[key])
+        & (s.token_entropy >= floor)
     )
-    return (s.n_tokens < rules.min_tokens) | inside
 
 
-def judge(docs: DataFrame, rules: Rules | None = None, into: str = "quality_stats") -> DataFrame:
+def judge(
+    docs: DataFrame, rules: Rules | None = None, into: str = "quality_stats", labels: DataFrame | None = None, keep_text: bool = True
+) -> DataFrame:
     """``docs`` with a struct of statistics, ``base_failed`` and ``kept`` inside it.
 
     A document fails the base rule with fewer than ``min_words`` words or with too large a share of words in
-    repeated windows; it is kept if it passes that and its fertility lies inside its band.
+    repeated windows; it is kept if it passes that and its fertility lies inside its band. With ``labels`` (doc_id,
+    quality) the bands are derived; measured rows are written once then, without the text unless it is kept.
     """
     rules = rules or Rules()
     lang = "lang" if "lang" in docs.columns else None
-    needed = ("text", "lang") if lang else ("text",)
+    needed = tuple(c for c in ("doc_id", "text", "lang") if c == "text" or (c in docs.columns and (c != "doc_id" or labels is not None)))
     s = F.col(into)
     failed = (s.n_words < rules.min_words) | (100 * s.n_repeat_words > rules.max_repeat_pct * s.n_words)
-    judged = with_statistics(carry(docs, needed), rules, into).withColumn(
-        into, s.withField("base_failed", failed).withField("kept", ~failed & fertility_ok(into, rules, lang))
-    )
-    return restore(judged, docs, needed, (into,))
+    measured = with_statistics(carry(docs, needed), rules, into).withColumn(into, s.withField("base_failed", failed))
+    gone = () if keep_text else ("text",)
+    measured = measured.drop(*gone)
+    if labels is not None:
+        measured = cut(measured, "statistics")
+        rules = fit(measured, labels, rules, into, lang)
+    kept = ~s.base_failed & fertility_ok(into, rules, lang)
+    return restore(measured.withColumn(into, s.withField("kept", kept)), docs, needed, (into,), drop=gone)
 
 
-def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, rules: Rules | None = None, labels: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     name = "quality_stats"
     while name in docs.columns:
         name += "_"
-    return judge(docs, rules, name).where(F.col(name).kept).drop(name)
+    return judge(docs, rules, name, labels).where(F.col(name).kept).drop(name)

@@ -87,7 +87,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_tokens chars_per_token byte_share token_entropy"
-    return fertility.judge(docs).select("doc_id", *[F.col(f"quality_stats.{c}") for c in names.split()])
+    judged = fertility.judge(docs, labels=table(spark, sf_dir, "labels").select("doc_id", "quality"), keep_text=False)
+    return judged.select("doc_id", *[F.col(f"quality_stats.{c}") for c in names.split()])
 
 
 @query("op10_licenses", licenses.sql())

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -297,6 +298,43 @@ def test_fertility_equals_the_tokenizer(spark):
     assert s.byte_share > 0
 
 
+COMMON = (
+    "the of and to in is was he for it with as his on be at by had not are but from or have an they which one you were all her she there "
+    "would their we him been has when who will no more if out so up said what its about than into them can only other time new some could "
+    "these two may first then do any like my now over such our man me even most made after also did many off before must well back through"
+).split()
+
+
+def common(seed, n, junk=0.0):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.sample("qxzjkvw", 4)) if rng.random() < junk else rng.choice(COMMON) for _ in range(n))
+
+
+def test_bands_come_from_the_clean_labelled_rows(spark, odd_docs):
+    rows = [doc_row(k, common(k, 60 + 5 * (k % 60), 0.25 * (k >= 400))) for k in range(460)]
+    rows += [doc_row(None, common(999, 80)), doc_row(500, common(500, 70, 0.25), "fr")]
+    labels = spark.createDataFrame([(k, int(k < 400)) for k in range(460) if k % 2] + [(1, None), (None, 1), (3, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, DOCS)
+    wide, own = ({r.doc_id: r.quality_stats for r in fertility.judge(docs, labels=x).collect()} for x in (None, labels))
+    passed = [k for k in range(400) if not own[k].base_failed]
+    assert len(passed) > 300 and sum(own[k].kept for k in passed) > 0.93 * len(passed)
+    junk = [k for k in range(400, 460) if not own[k].base_failed]
+    assert junk and all(wide[k].kept for k in junk) and not any(own[k].kept for k in junk)
+    assert own[500].kept == wide[500].kept  # no clean French rows: the wide band
+    bare = fertility.judge(docs, labels=labels, keep_text=False)
+    assert bare.columns == [*[c for c in docs.columns if c != "text"], "quality_stats"] and bare.count() == len(rows)
+    good = fertility.keep_good(docs, labels=labels)
+    assert good.columns == docs.columns and good.count() == sum(x.kept for x in own.values())
+    none = fertility.keep_good(odd_docs, labels=labels.limit(0))
+    assert sorted(map(str, none.collect())) == sorted(map(str, fertility.keep_good(odd_docs).collect()))
+
+
+def test_short_texts_have_an_entropy_floor_too(spark):
+    rules = fertility.Rules(min_words=1, max_repeat_pct=100)
+    rows = [doc_row(1, "the " * 60), doc_row(2, common(2, 60))]
+    assert {r.doc_id: r.quality_stats.kept for r in fertility.judge(spark.createDataFrame(rows, DOCS), rules).collect()} == {1: False, 2: True}
+
+
 # licenses
 
 
