@@ -5,10 +5,10 @@
 2. Trees of all pages of the host are aligned with the reference by simple tree matching, and every block of text is
    counted by its aligned node and its content. Blocks that nearly all pages have at one node are template; the
    others fill slots.
-3. The slot of the article is the deepest container that holds most of the varying unlinked text outside of elements
-   named as menus, headers, footers, sidebars, notices, adverts, forms or comments.
-4. A page's text are the blocks inside its node aligned with that slot, without such elements and template blocks.
-   Pages whose tree lacks the slot, and hosts with few pages, are judged by the same rule on the page alone.
+3. The slot of the article is the deepest container around all varying, mostly unlinked text outside of elements
+   named as menus, headers, footers, sidebars, notices, adverts, forms or comments, whatever share of it lies where.
+4. A page's text are the blocks inside its node aligned with that slot, and all mostly unlinked blocks outside of it,
+   without such elements and template blocks. Pages whose tree lacks the slot are judged by the same rule on the page alone.
 
 Counts are combined before they are shuffled; one row for each host comes back to its pages, by a join that adaptive
 execution splits where a host has very many. Pages of a host never meet in one task.
@@ -41,7 +41,6 @@ CONTAINERS = frozenset("html body main article section div td center blockquote"
 class Induction:
     least_pages: int = 10  # of a host before a block counts as template
     constant: float = 0.8  # share of pages that hold a template block
-    most_text: float = 0.6  # share of the text that the article's container holds
 
 
 _BLOCKS = "array<struct<node:int,digest:bigint,chars:int,linked:int,plain:boolean>>"
@@ -55,21 +54,15 @@ def _furnished(page: Page) -> list[bool]:
     return out
 
 
-def _slot(labels: list[str], parents: list[int], mass: dict[int, float], most: float) -> int:
-    """The deepest container whose subtree holds most of the text; an article or main element first."""
-    total = sum(mass.values())
-    inside = [0.0] * len(labels)
-    for k in range(len(labels) - 1, -1, -1):
-        inside[k] += mass.get(k, 0.0)
-        if parents[k] >= 0:
-            inside[parents[k]] += inside[k]
-    depth: list[int] = []
-    for p in parents:
-        depth.append(depth[p] + 1 if p >= 0 else 0)
-    tags = [x.split(".")[0] for x in labels]
-    named = [k for k, t in enumerate(tags) if t in ("article", "main") and inside[k] >= 0.3 * total and inside[k] > 0]
-    able = named or [k for k, t in enumerate(tags) if t in CONTAINERS and inside[k] >= most * total]
-    return max(able, key=lambda k: (depth[k], inside[k], -k), default=0)
+def _slot(labels: list[str], parents: list[int], texts: set[int]) -> int:
+    """The deepest container around all nodes of ``texts``; parents come before their children."""
+    inside = [int(k in texts) for k in range(len(labels))]
+    for k in range(len(labels) - 1, 0, -1):
+        inside[parents[k]] += inside[k]
+    at = max((k for k in range(len(labels)) if inside[k] == len(texts)), default=0) if texts else 0
+    while at > 0 and labels[at].split(".")[0] not in CONTAINERS:
+        at = parents[at]
+    return at
 
 
 def _structure(pages: DataFrame) -> DataFrame:
@@ -137,28 +130,27 @@ def induce(pages: DataFrame, how: Induction = Induction()) -> DataFrame:
 
     met = shaped.join(references, "host").select("host", "skeleton", "reference", "blocks")
     aligned = met.mapInArrow(align, "host string, node long, digest long, chars long, linked long")
-    blocks = aligned.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chars") - F.col("linked")).alias("free"))
+    blocks = aligned.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     judged = blocks.join(references.select("host", "pages"), "host").withColumn(
         "constant", (F.col("pages") >= how.least_pages) & (F.col("n") >= how.constant * F.col("pages"))
     )
     per_node = judged.groupBy("host", "node").agg(
-        F.sum(F.when(~F.col("constant"), F.col("free"))).alias("mass"),
+        F.max(~F.col("constant") & (2 * F.col("linked") <= F.col("chars"))).alias("varies"),
         F.collect_list(F.when(F.col("constant"), F.col("digest"))).alias("template"),
     )
     wrappers = per_node.groupBy("host").agg(
-        F.collect_list(F.struct("node", "mass")).alias("masses"), F.flatten(F.collect_list("template")).alias("template")
+        F.collect_list(F.when(F.col("varies"), F.col("node"))).alias("texts"), F.flatten(F.collect_list("template")).alias("template")
     )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = []
-            for reference, masses in zip(batch.column("skeleton").to_pylist(), batch.column("masses").to_pylist(), strict=True):
+            for reference, texts in zip(batch.column("skeleton").to_pylist(), batch.column("texts").to_pylist(), strict=True):
                 tree = read_skeleton(reference)
-                mass = {m["node"]: float(m["mass"] or 0) for m in masses or ()}
-                slots.append(_slot(tree.labels, _parents(tree), mass, how.most_text) if sum(mass.values()) else -1)
+                slots.append(_slot(tree.labels, _parents(tree), set(texts)) if texts else -1)
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("skeleton"), pa.array(slots, pa.int32()), batch.column("template")], ["host", "skeleton", "slot", "template"])
 
-    every = references.join(wrappers, "host", "left").select("host", F.col("reference").alias("skeleton"), "masses", "template")
+    every = references.join(wrappers, "host", "left").select("host", F.col("reference").alias("skeleton"), "texts", "template")
     return every.mapInArrow(choose, "host string, skeleton string, slot int, template array<bigint>")
 
 
@@ -176,21 +168,21 @@ def _text(source: str, wrapper: tuple[Tree, int, frozenset] | None, known: dict,
             known[shape, reference] = match_trees(read_skeleton(shape), wrapper[0])
         mine = {k for k, to in known[shape, reference].items() if to == wrapper[1]}
         roots = {k for k, f in enumerate(folded) if f in mine}
+    template = wrapper[2] if wrapper else frozenset()
+    constant = [bool(template) and _digest(b.text) in template for b in page.blocks]
+    free = [not bad[b.node] and 2 * b.linked <= len(b.text) for b in page.blocks]
     if not roots:
-        mass: dict[int, float] = {}
-        for b in page.blocks:
-            if not bad[b.node]:
-                mass[b.node] = mass.get(b.node, 0.0) + len(b.text) - b.linked
-        roots = {_slot([n.label for n in page.nodes], [n.parent for n in page.nodes], mass, how.most_text)}
+        texts = {b.node for b, f, c in zip(page.blocks, free, constant, strict=True) if f and not c}
+        texts = texts or {b.node for b, f in zip(page.blocks, free, strict=True) if f}
+        roots = {_slot([n.label for n in page.nodes], [n.parent for n in page.nodes], texts)}
     state: list[bool] = []  # inside the slot and outside of furniture
     for k, n in enumerate(page.nodes):
         if k in roots:
             state.append(True)
         else:
             state.append(n.parent >= 0 and state[n.parent] and not n.furniture)
-    own = [b.text for b in page.blocks if state[b.node]]
-    template = wrapper[2] if wrapper else frozenset()
-    kept = [t for t in own if _digest(t) not in template] if template else own
+    chosen = [(b.text, c) for b, f, c in zip(page.blocks, free, constant, strict=True) if state[b.node] or (f and not c)]
+    own, kept = [t for t, _ in chosen], [t for t, c in chosen if not c]
     if 2 * sum(map(len, kept)) < sum(map(len, own)):
         kept = own
     return "\n".join(kept)

@@ -220,3 +220,28 @@ def test_a_shared_article_is_no_template(spark):
     rows = [(k, f"http://z.org/{k}", page(0, "<p>The same article everywhere, word for word.</p>")) for k in range(30)]
     got = {r.main_text for r in wrappers.extract(pages_df(spark, rows)).collect()}
     assert got == {"Title 0\nThe same article everywhere, word for word.\nRead more here"}
+
+
+@pytest.mark.parametrize("pages", [1, 12])
+@pytest.mark.parametrize(
+    "body, lines",
+    [
+        ("<div class='post'><h1>Title {k}</h1><p>lead {k}</p><div class='body'><p>long {k} {x}</p><p>more {k} {x}</p></div></div>", "Title {k}|lead {k}|long {k} {x}|more {k} {x}"),
+        ("<div class='one'><p>first {k} {x} {x}</p></div><div class='two'><p>second {k} {x}</p></div>", "first {k} {x} {x}|second {k} {x}"),
+        ("<article><h2>A {k}</h2><p>a {k} {x}</p></article><article><p>b {k} {x}</p><ul><li>c {k}</li></ul></article>", "A {k}|a {k} {x}|b {k} {x}|c {k}"),
+        ("<main><h1>T {k}</h1><article><p>in {k} {x}</p></article><p>after {k}</p></main>", "T {k}|in {k} {x}|after {k}"),
+    ],
+)
+def test_the_slot_holds_the_whole_article(spark, body, lines, pages):
+    fill = lambda t, k: t.format(k=k, x=f"words{k} " * 40).strip()
+    rows = [(k, f"http://w.org/{k}", f"<body><nav>menu</nav><div class='ad'>buy {k}</div>{fill(body, k)}<footer>f {k}</footer></body>") for k in range(pages)]
+    got = {r.page_id: r.main_text for r in wrappers.extract(pages_df(spark, rows)).collect()}
+    for k in range(pages):
+        assert got[k] == "\n".join(" ".join(fill(x, k).split()) for x in lines.split("|"))
+
+
+def test_text_beside_the_slot_stays(spark):
+    one = "<div class='ad'>buy</div><div class='story'><p>story {k} words</p></div>"
+    rows = [(k, f"http://v.org/{k}", one.format(k=k) + ("<div class='extra'><p>only here</p></div>" if k == 3 else "")) for k in range(12)]
+    got = {r.page_id: r.main_text for r in wrappers.extract(pages_df(spark, rows)).collect()}
+    assert got == {k: f"story {k} words" + "\nonly here" * (k == 3) for k in range(12)}
