@@ -3,8 +3,8 @@
 1. Every page is parsed into a tree of its block elements; runs of like siblings fold into one node. The most
    frequent folded tree of a host is its reference.
 2. Trees of all pages of the host are aligned with the reference by simple tree matching, and every block of text is
-   counted by its aligned node and its content. Blocks that nearly all pages have at one node are template; the
-   others fill slots.
+   counted by its aligned node and its content. Blocks that nearly all pages have at one node are template, at that
+   node only; the others fill slots. Hosts of fewer than ``least_pages`` pages have no template and keep all blocks.
 3. The slot of the article is the deepest container around all varying, mostly unlinked text outside of elements
    named as menus, headers, footers, sidebars, notices, adverts, forms or comments, whatever share of it lies where.
 4. A page's text are the blocks inside its node aligned with that slot, and all mostly unlinked blocks outside of it,
@@ -101,7 +101,7 @@ def _parents(tree: Tree) -> list[int]:
 
 
 def induce(pages: DataFrame, how: Induction = Induction()) -> DataFrame:
-    """The wrapper of each host: host, skeleton, slot (node of the skeleton, -1 if undecided), template (digests)."""
+    """The wrapper of each host: host, skeleton, slot (node of the skeleton, -1 if undecided), template (nodes and digests)."""
     shaped = cut(_structure(pages), "structure")
     counted = shaped.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct("n", (-F.length("skeleton")).alias("short"), "skeleton")
@@ -136,7 +136,7 @@ def induce(pages: DataFrame, how: Induction = Induction()) -> DataFrame:
     )
     per_node = judged.groupBy("host", "node").agg(
         F.max(~F.col("constant") & (2 * F.col("linked") <= F.col("chars"))).alias("varies"),
-        F.collect_list(F.when(F.col("constant"), F.col("digest"))).alias("template"),
+        F.collect_list(F.when(F.col("constant"), F.struct("node", "digest"))).alias("template"),
     )
     wrappers = per_node.groupBy("host").agg(
         F.collect_list(F.when(F.col("varies"), F.col("node"))).alias("texts"), F.flatten(F.collect_list("template")).alias("template")
@@ -151,7 +151,7 @@ def induce(pages: DataFrame, how: Induction = Induction()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("skeleton"), pa.array(slots, pa.int32()), batch.column("template")], ["host", "skeleton", "slot", "template"])
 
     every = references.join(wrappers, "host", "left").select("host", F.col("reference").alias("skeleton"), "texts", "template")
-    return every.mapInArrow(choose, "host string, skeleton string, slot int, template array<bigint>")
+    return every.mapInArrow(choose, "host string, skeleton string, slot int, template array<struct<node:bigint,digest:bigint>>")
 
 
 def _text(source: str, wrapper: tuple[Tree, int, frozenset] | None, known: dict, reference: str, how: Induction) -> str:
@@ -161,15 +161,16 @@ def _text(source: str, wrapper: tuple[Tree, int, frozenset] | None, known: dict,
     shape, folded = skeleton(page)
     roots: set[int] = set()
     bad = _furnished(page)
-    if wrapper and wrapper[1] >= 0:
+    to: dict[int, int] = {}
+    if wrapper:
         if (shape, reference) not in known:
             if len(known) > 10_000:
                 known.clear()
             known[shape, reference] = match_trees(read_skeleton(shape), wrapper[0])
-        mine = {k for k, to in known[shape, reference].items() if to == wrapper[1]}
-        roots = {k for k, f in enumerate(folded) if f in mine}
+        to = known[shape, reference]
+        roots = {k for k, f in enumerate(folded) if wrapper[1] >= 0 and to.get(f) == wrapper[1]}
     template = wrapper[2] if wrapper else frozenset()
-    constant = [bool(template) and _digest(b.text) in template for b in page.blocks]
+    constant = [bool(template) and (to.get(folded[b.node]), _digest(b.text)) in template for b in page.blocks]
     free = [not bad[b.node] and 2 * b.linked <= len(b.text) for b in page.blocks]
     if not roots:
         texts = {b.node for b, f, c in zip(page.blocks, free, constant, strict=True) if f and not c}
@@ -208,7 +209,7 @@ def extract(pages: DataFrame, how: Induction = Induction(), url: str = "url", ht
                 if host not in trees:
                     if len(trees) > 1000:
                         trees.clear()
-                    trees[host] = (read_skeleton(reference), slot, frozenset(template or ()))
+                    trees[host] = (read_skeleton(reference), slot, frozenset((x["node"], x["digest"]) for x in template or ()))
                 texts.append(_text(source or "", trees[host], known, reference, how))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], [*names, into])
 

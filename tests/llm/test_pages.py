@@ -245,3 +245,9 @@ def test_text_beside_the_slot_stays(spark):
     rows = [(k, f"http://v.org/{k}", one.format(k=k) + ("<div class='extra'><p>only here</p></div>" if k == 3 else "")) for k in range(12)]
     got = {r.page_id: r.main_text for r in wrappers.extract(pages_df(spark, rows)).collect()}
     assert got == {k: f"story {k} words" + "\nonly here" * (k == 3) for k in range(12)}
+
+
+def test_template_text_inside_the_article_stays(spark):
+    rows = [(k, f"http://u.org/{k}", f"<div class='top'>Our motto</div><div class='story'><p>story {k} words</p>{'<h2>Our motto</h2>' * (k % 2)}<p>end {k} of it</p></div>") for k in range(12)]
+    got = {r.page_id: r.main_text for r in wrappers.extract(pages_df(spark, rows)).collect()}
+    assert got == {k: f"story {k} words\n" + "Our motto\n" * (k % 2) + f"end {k} of it" for k in range(12)}
