@@ -142,8 +142,11 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
             values = np.frombuffer(b"".join(s[: 8 * plan.listed] for s in batch.column("sketch").to_pylist()), np.uint64)
             row = np.repeat(np.arange(len(n)), held)
             order = np.lexsort((values, rare[(mix(values) & cells).astype(np.int64)], row))
-            # a whole set at the threshold shares percent of its values with any partner
-            need = np.where(n < plan.listed, -(-plan.percent * n // 100), plan.least)
+            # a whole set at the threshold shares percent of its values with any partner that lists all of its own; the
+            # largest partner may leave some of the shared ones unlisted
+            most = 100 * n // plan.percent
+            shared_most = -(-plan.percent * (n + most) // (100 + plan.percent)) - np.maximum(most - plan.listed, 0)
+            need = np.where(n < plan.listed, np.minimum(-(-plan.percent * n // 100), np.maximum(shared_most, 1)), plan.least)
             place = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
             keep = place < (held - need + 1)[row]
             row, values = row[keep], values[order][keep]

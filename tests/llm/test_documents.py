@@ -200,6 +200,16 @@ def test_large_group_of_near_copies(spark, rounds):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
 
 
+def test_isolated_pairs_around_the_listed_values_meet(spark):
+    rows = []
+    for k in range(60):
+        small, large = ((63, 78), (63, 77), (62, 77))[k % 3]
+        both = [f"p{k}x{j}" for j in range(large + 1)]
+        rows += [doc_row(2 * k, " ".join(both)), doc_row(2 * k + 1, " ".join(both[: small + 1]))]
+    got = neardup.components(spark.createDataFrame(rows, DOCS), neardup.Plan(width=2)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(120)}
+
+
 def test_distinct_documents(odd_docs, no_docs):
     got = neardup.distinct_documents(odd_docs, neardup.Plan(width=5))
     assert got.columns == odd_docs.columns
