@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import merge_labels, relabel
-from .frames import carry, restore, slices
+from .frames import _REST, carry, restore, slices
 from .words import grams, mix, signed, words
 
 
@@ -250,6 +250,11 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     ``component_id`` is the smallest doc_id of the documents that links reach; ``kept`` marks that document.
     """
+    return _labelled(docs, plan).drop("label")
+
+
+def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``components`` with a label of each, which components without any id have too; null for empty sets."""
     # sketches of all rows are never stored: the representatives keep theirs, a last pass finds the set of each row
     rows = sketches(docs, plan).withColumn("row", F.monotonically_increasing_id())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), "row", "text_hash", "n", "minima", "sketch"))
@@ -326,19 +331,36 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     known = known if roots is None else relabel(known, roots, "label")
     named = cut(known.select("d1", "d2", "label", "rep_doc"), "known")
     smallest = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"))
-    of_set = named.join(smallest, "label").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id")
+    of_set = named.join(smallest, "label").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id", "label")
     rows = sketches(docs, plan).select("doc_id", "text_hash", "n", "d1", "d2")
     met = rows.join(of_set, (F.col("n") > 0) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return met.select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n") > 0, F.col("label")).alias("label"),
     )
 
 
 def distinct_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; documents without words stay."""
-    gone = cut(components(docs, plan).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "gone")
+    """``docs`` with one document of each component: the one with the smallest id; documents without words stay.
+
+    Of several rows with that id, and of components without any id, the row with the smallest text hash stays, of
+    rows with equal texts the one whose other columns come first as JSON.
+    """
+    judged = cut(_labelled(docs, plan).select("doc_id", "text_hash", "label", "kept"), "judged")
+    first = judged.where("kept and label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    least = first.groupBy("label").agg(F.min("text_hash").alias("least"))
+    first = first.join(least, "label")
+    named = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")]
+    gone = cut(judged.where("not kept").select(*named).distinct().union(first.where("text_hash <> least").select(*named)), "gone")
+    twice = cut(first.where("text_hash = least and n > 1").select(*named), "twice")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
     needed = ("doc_id", "text")
-    return restore(carry(docs, needed).join(gone, same, "left_anti"), docs, needed)
+    every = carry(docs, needed)
+    repeated = not twice.isEmpty()
+    out = every.join(gone.union(twice) if repeated else gone, same, "left_anti")
+    if repeated:
+        row = F.struct(*every.columns)
+        one = every.join(twice, same).groupBy("_d", "_h").agg(F.min_by(row, F.to_json(F.struct(_REST))).alias("row"))
+        out = out.union(one.select("row.*"))
+    return restore(out, docs, needed)

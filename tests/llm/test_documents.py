@@ -218,6 +218,19 @@ def test_distinct_documents(odd_docs, no_docs):
     assert neardup.components(no_docs).count() == neardup.distinct_documents(no_docs).count() == 0
 
 
+def test_one_document_of_a_group_with_repeated_or_no_ids(spark):
+    a, b, c = prose(31, 90), prose(32, 90), prose(33, 90)
+    rows = [
+        doc_row(1, a, source="x"), doc_row(1, a, source="y"), doc_row(1, a + " end"), doc_row(2, a),
+        doc_row(None, b), doc_row(None, b), doc_row(None, b + " end"), doc_row(None, c), doc_row(3, None), doc_row(3, None),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = neardup.distinct_documents(docs)
+    assert got.columns == docs.columns
+    left = Counter((r.doc_id, r.text and r.text[:20]) for r in got.collect())
+    assert left == {(1, a[:20]): 1, (None, b[:20]): 1, (None, c[:20]): 1, (3, None): 2}
+
+
 # repeated passages
 
 
