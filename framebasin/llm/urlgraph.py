@@ -11,7 +11,9 @@ without seeds and links have no score and are allowed. Extra columns stay.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,14 +77,18 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(
-    seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5, tolerance: float = 1e-6
+    seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int | None = None, every: int = 5, tolerance: float = 1e-6
 ) -> DataFrame:
     """Trust and distrust of hosts: host, trust, distrust.
 
     ``seeds`` has host, trust, distrust; ``links`` has src, dst, n. Trust of a host is its seed plus the damped
     shares of those that link to it; distrust is the same against the direction of links. Every few rounds the
-    scores are written to the scratch folder, and the rounds end once no score moves by more than ``tolerance``.
+    scores are written to the scratch folder, and the rounds end once no score moves by more than ``tolerance``. What
+    moves shrinks by ``damping`` each round, so that many rounds always suffice; a caller may give a number of rounds
+    and is warned if scores still moved then.
     """
+    if rounds is None and not (0 <= damping < 1 and tolerance > 0):
+        raise ValueError("without a number of rounds, damping must be below 1 and the tolerance above 0")
     links = cut(links, "links")
     out, into = (links.groupBy(c).agg(F.sum("n").alias("all")) for c in ("src", "dst"))
     flows = cut(
@@ -97,12 +103,12 @@ def propagate(
     )
     scores = start
     if not flows.isEmpty():
-        for k in range(1, rounds + 1):
+        for k in count(1) if rounds is None else range(1, rounds + 1):
             got = flows.join(scores, ["kind", "host"]).select(
                 F.col("to").alias("host"), "kind", (F.col("score") * F.col("share") * damping).alias("score")
             )
             moved = start.select("host", "kind", "score").union(got).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-            if k % every and k < rounds:
+            if k % every and k != rounds:
                 scores = moved
                 continue
             new = cut(moved, "scores")
@@ -113,6 +119,8 @@ def propagate(
             scores = new
             if (gap or 0.0) <= tolerance:
                 break
+            if k == rounds:
+                warnings.warn(f"scores of hosts still moved by {gap:.2g} after {rounds} rounds", stacklevel=2)
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 
@@ -122,7 +130,7 @@ def judge(
     rules: tuple[Rule, ...] = RULES,
     margin: float = 0.25,
     damping: float = 0.85,
-    rounds: int = 20,
+    rounds: int | None = None,
     url: str = "url",
     html: str = "html",
 ) -> DataFrame:

@@ -251,3 +251,15 @@ def test_template_text_inside_the_article_stays(spark):
     rows = [(k, f"http://u.org/{k}", f"<div class='top'>Our motto</div><div class='story'><p>story {k} words</p>{'<h2>Our motto</h2>' * (k % 2)}<p>end {k} of it</p></div>") for k in range(12)]
     got = {r.page_id: r.main_text for r in wrappers.extract(pages_df(spark, rows)).collect()}
     assert got == {k: f"story {k} words\n" + "Our motto\n" * (k % 2) + f"end {k} of it" for k in range(12)}
+
+
+def test_propagation_runs_until_it_has_converged(spark):
+    chain = [f"h{k}" for k in range(30)]
+    edges = [("a", "b", 1), ("b", "a", 1), *((x, y, 1) for x, y in zip(chain, chain[1:]))]
+    s = spark.createDataFrame([("a", 1.0, 0.0), ("h0", 1.0, 0.0)], "host string, trust double, distrust double")
+    e = spark.createDataFrame(edges, "src string, dst string, n long")
+    got = {r.host: r.trust for r in urlgraph.propagate(s, e).collect()}
+    assert got["a"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-4) and got["b"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-4)
+    assert got["h29"] == pytest.approx(0.85**29)
+    with pytest.warns(UserWarning, match="after 4 rounds"):
+        urlgraph.propagate(s, e, rounds=4)
