@@ -6,10 +6,11 @@ An edge of the graph is a window of ``window`` consecutive words, its nodes are
 1. Every window is represented by its anchor, the run of ``anchor`` words inside it with the smallest hash. Equal
    windows have equal anchors, and neighbouring windows mostly share theirs, so about a fifth of the positions
    are shuffled to find the anchors that more than one document holds.
-2. Windows on such anchors become edges, with a 96-bit hash of their words. The first document of every edge is an
-   aggregate with map-side combine; a join brings it back to the source coordinates (document, word) of the edge.
-3. In each document, edges that follow each other and lead back to the same first document are one nonbranching
-   path and are compacted into a span. A word is removed if such a span covers it.
+2. Windows on such anchors become edges, with a 95-bit hash of their words. The first document of every edge is an
+   aggregate with map-side combine; a join brings it back to the document and word of each later edge.
+3. A word is removed if any such edge of its document covers it. The queries do not compact nonbranching paths and do
+   not compare words at the source; edges are told apart by their hash alone. ``paths`` joins edges that follow each
+   other and lead to the same first document into spans, for readers of ``marks`` only.
 
 Whole texts that repeat are found by digest first and take no part in the second step. Hot edges and anchors (a
 line in a third of all documents) are pre-aggregated, and their joins are split by adaptive execution.
