@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, fertility, licenses, mixing, neardup, substring, urlgraph, warc, wrappers
+from . import (
+    classifier, decontam, fertility, lexical, licenses, manifest, mixing, neardup, sharding, substring, urlgraph, warc, wrappers,
+)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +99,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = "words:n_words base:n_base first:first_word last:last_word base_labels:base_labels labels:labels score:score"
     pairs = [x.split(":") for x in named.split()]
     return licenses.scan(docs).select("doc_id", *[F.col(f"license_{a}").alias(b) for a, b in pairs])
+
+
+@query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32("text").alias("text_crc32"))
+    return sharding.place(docs, sharding.Plan(shards=16)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op12_manifest", manifest.sql())
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit_lowered(table(spark, sf_dir, "documents")).withColumnRenamed("proof", "proof_sha256")
+
+
+@query("op13_lexical_search", lexical.SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
