@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import corpora, geometry, labelling, selection
+from . import corpora, geometry, labelling, results, selection
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpora", "geometry", "labelling", "selection"]
+__all__ = ["ORACLES", "QUERIES", "corpora", "geometry", "labelling", "results", "selection"]
