@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Fixed value: one key=value pair; the value may be quoted.
 PAIR = r'([^\s="]+)=("[^"]*"|\S+)'
 
@@ -63,30 +65,30 @@ def parse_pbc(text: Column) -> Column:
 
 
 def layout(properties: Column) -> Column:
-    """A4: ``species:S:1:pos:R:3`` -> ARRAY<STRUCT<name, width, start>> with 0-based starts.
+    """A4: ``species:S:1:pos:R:3`` -> ARRAY<STRUCT<name, label, kind, width, start>> with 0-based starts.
 
-    A string column always counts as one field.
+    A string column always counts as one field. ``name`` is in lower case, ``label`` as written.
     """
-    parts = F.split(properties, ":")
-    count = F.floor(F.size(parts) / 3).cast("int")
-    cols = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda k: F.struct(
-            F.lower(F.get(parts, k * 3)).alias("name"),
-            F.when(F.get(parts, k * 3 + 1) == "S", 1)
-            .otherwise(F.get(parts, k * 3 + 2).try_cast("int"))
-            .alias("width"),
-        ),
-    )
-    starts = F.transform(
-        cols,
-        lambda c, i: F.struct(
-            c["name"].alias("name"),
-            c["width"].alias("width"),
-            F.aggregate(F.slice(cols, 1, i), F.lit(0), lambda a, p: a + p["width"]).alias("start"),
-        ),
-    )
-    return F.when(count > 0, starts)
+    def of(parts: Column) -> Column:
+        count = F.floor(F.size(parts) / 3).cast("int")
+        cols = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda k: F.struct(
+                F.lower(F.get(parts, k * 3)).alias("name"),
+                F.get(parts, k * 3).alias("label"),
+                F.get(parts, k * 3 + 1).alias("kind"),
+                F.when(F.get(parts, k * 3 + 1) == "S", 1).otherwise(F.get(parts, k * 3 + 2).try_cast("int")).alias("width"),
+            ),
+        )
+        return F.when(count > 0, let(cols, with_starts))
+
+    def with_starts(cols: Column) -> Column:
+        def start(i: Column) -> Column:
+            return F.aggregate(F.slice(cols, 1, i), F.lit(0), lambda a, p: a + p["width"])
+
+        return F.transform(cols, lambda c, i: c.withField("start", start(i)))
+
+    return let(F.split(properties, ":"), of)
 
 
 def n_fields(properties: Column) -> Column:
@@ -94,44 +96,68 @@ def n_fields(properties: Column) -> Column:
     return F.aggregate(layout(properties), F.lit(0), lambda a, c: a + c["width"])
 
 
-def start_of(properties: Column, *names: str) -> Column:
-    """0-based field where the first of the named properties starts, or NULL."""
-    hits = F.filter(layout(properties), lambda c: c["name"].isin(*names))
-    return F.get(hits, F.lit(0))["start"]
+def start_of(cols: Column, *names: str) -> Column:
+    """0-based field where the first of the named columns of a layout starts, or NULL."""
+    return F.get(F.filter(cols, lambda c: c["name"].isin(*names)), F.lit(0))["start"]
+
+
+# Per-atom columns with fields of their own; the first of the two force names in a layout counts.
+TYPED = ("species", "pos", "forces", "force")
+
+
+def other_columns(cols: Column) -> Column:
+    """The columns of a layout that have no field of their own, in written order.
+
+    They are all but the first species, the first positions and the first forces (of either name).
+    """
+    one_name = F.transform(cols, lambda c: F.when(c["name"] == "force", "forces").otherwise(c["name"]))
+    return let(
+        one_name,
+        lambda names: F.filter(cols, lambda c, i: ~c["name"].isin(*TYPED) | (F.array_position(names, F.get(names, i)) != i + 1)),
+    )
 
 
-def parse_atoms(lines: Column, species_at: Column, pos_at: Column, force_at: Column) -> Column:
-    """A4: atom lines -> atoms array, given the layout offsets as columns."""
+def parse_atoms(lines: Column, properties: Column) -> Column:
+    """A4: atom lines -> atoms array after a layout; ``more`` holds the text of the columns without a field."""
 
-    def one(line: Column, i: Column) -> Column:
-        t = F.split(F.trim(line), r"\s+")
+    def rows(o: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            def num(at: str, k: int) -> Column:
+                return F.get(t, o[at] + k).try_cast("double")
 
-        def num(at: Column, k: int) -> Column:
-            return F.get(t, at + k).try_cast("double")
+            return F.struct(
+                i.cast("int").alias("atom_idx"),
+                F.get(t, o["species"]).alias("species"),
+                *[num("pos", k).alias(c) for k, c in enumerate(("x", "y", "z"))],
+                *[num("forces", k).alias(c) for k, c in enumerate(("fx", "fy", "fz"))],
+                F.transform(o["others"], lambda c: F.array_join(F.slice(t, c["start"] + 1, c["width"]), " ")).alias("more"),
+            )
 
+        return F.transform(lines, lambda line, i: let(F.split(F.trim(line), r"\s+"), lambda t: one(t, i)))
+
+    def offsets(cols: Column) -> Column:
         return F.struct(
-            i.cast("int").alias("atom_idx"),
-            F.get(t, species_at).alias("species"),
-            num(pos_at, 0).alias("x"),
-            num(pos_at, 1).alias("y"),
-            num(pos_at, 2).alias("z"),
-            num(force_at, 0).alias("fx"),
-            num(force_at, 1).alias("fy"),
-            num(force_at, 2).alias("fz"),
-        )
+            start_of(cols, "species").alias("species"), start_of(cols, "pos").alias("pos"),
+            start_of(cols, "forces", "force").alias("forces"), other_columns(cols).alias("others"),
+        )
 
-    return F.transform(lines, one)
+    return let(let(layout(properties), offsets), rows)
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key where runs of digits compare as numbers."""
+def natural_key(text: Column) -> Column:
+    """Sort key where runs of digits compare as numbers, whatever their length.
+
+    A run is led by its length, three digits at a time: ``002`` before 12, ``999`` once for every 999 digits.
+    """
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        pieces,
-        lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0"))
-        .otherwise(p),
-    )
-    return F.array_join(padded, "")
+
+    def one(p: Column) -> Column:
+        run = F.regexp_replace(p, r"^0+(?=\d)", "")
+        n = F.length(run)
+        lead = F.concat(F.repeat(F.lit("999"), F.floor(n / 999).cast("int")), F.lpad((n % 999).cast("string"), 3, "0"))
+        return F.when(p.rlike(r"^\d"), F.concat(lead, run)).otherwise(p)
+
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def render_value(v: Column) -> Column:
@@ -150,12 +176,63 @@ def join_floats(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda v: v.cast("string")), " ")
 
 
-def render_atoms(atoms: Column, with_forces: Column) -> Column:
-    """Atom rows, one line each."""
+# Layout letters of column types that users add to atoms.
+_LETTERS = {"int": "I", "bigint": "I", "smallint": "I", "float": "R", "double": "R", "boolean": "L", "string": "S"}
+_OWN_FIELDS = ("atom_idx", "species", "x", "y", "z", "fx", "fy", "fz", "more")
+
+
+DEFAULT_LAYOUT = "species:S:1:pos:R:3"
+_WITH_FORCES = (f"{DEFAULT_LAYOUT}:forces:R:3", f"{DEFAULT_LAYOUT}:force:R:3")
 
-    def one(a: Column) -> Column:
-        base = F.concat_ws(" ", a["species"], a["x"].cast("string"), a["y"].cast("string"), a["z"].cast("string"))
-        forces = F.concat_ws(" ", a["fx"].cast("string"), a["fy"].cast("string"), a["fz"].cast("string"))
-        return F.when(with_forces, F.concat_ws(" ", base, forces)).otherwise(base)
 
-    return F.array_join(F.transform(atoms, one), "\n")
+def render_layout(properties: Column, fields: dict[str, str], with_forces: Column) -> Column:
+    """The layout to write: the one that was read, without forces that are gone, with forces and fields that are new.
+
+    ``fields`` are the names and types of an atom's fields.
+    """
+
+    def written(cols: Column) -> Column:
+        kept = F.filter(cols, lambda c: with_forces | ~c["name"].isin("forces", "force"))
+        text = F.array_join(F.transform(kept, lambda c: F.concat_ws(":", c["label"], c["kind"], c["width"].cast("string"))), ":")
+        forced = F.exists(cols, lambda c: c["name"].isin("forces", "force"))
+        text = F.concat(text, F.when(with_forces & ~forced, ":forces:R:3").otherwise(""))
+        for name, kind in fields.items():
+            if name not in _OWN_FIELDS:
+                there = F.array_contains(F.transform(cols, lambda c: c["name"]), name.lower())
+                text = F.concat(text, F.when(there, "").otherwise(f":{name}:{_LETTERS.get(kind, 'S')}:1"))
+        return text
+
+    return let(layout(F.coalesce(properties, F.lit(DEFAULT_LAYOUT))), written)
+
+
+def render_atoms(atoms: Column, properties: Column, written: Column, fields: dict[str, str]) -> Column:
+    """Atom rows of the ``written`` layout, one line each; ``properties`` is the layout that ``more`` was read with."""
+    own = {f.lower(): f for f in fields if f not in _OWN_FIELDS}
+    text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+
+    def rows(cols: Column) -> Column:
+        def one(a: Column) -> Column:
+            def value(c: Column) -> Column:
+                out = F.when(c["name"] == "species", a["species"]).when(c["name"] == "pos", text(a["x"], a["y"], a["z"]))
+                if "fx" in fields:
+                    out = out.when(c["name"].isin("forces", "force"), text(a["fx"], a["fy"], a["fz"]))
+                for name, field in own.items():
+                    out = out.when(c["name"] == name, a[field].cast("string"))
+                return out.otherwise(F.get(a["more"], c["at"])) if "more" in fields else out
+
+            return F.array_join(F.transform(cols, value), " ")
+
+        return F.array_join(F.transform(atoms, one), "\n")
+
+    def placed(labels: Column) -> Column:
+        at = lambda c: (F.array_position(labels, c["label"]) - 1).cast("int")
+        return F.transform(layout(written), lambda c: F.struct(c["name"], at(c).alias("at")))
+
+    def plain(*names: str) -> Column:
+        return F.array_join(F.transform(atoms, lambda a: text(*[a[n] for n in names])), "\n")
+
+    read = F.transform(other_columns(layout(F.coalesce(properties, F.lit(DEFAULT_LAYOUT)))), lambda c: c["label"])
+    out = F.when(written == DEFAULT_LAYOUT, plain("species", "x", "y", "z"))
+    if "fx" in fields:  # the two usual layouts need no look at the columns
+        out = out.when(written.isin(*_WITH_FORCES), plain("species", "x", "y", "z", "fx", "fy", "fz"))
+    return out.otherwise(let(let(read, placed), rows))

@@ -26,7 +26,6 @@ def replicate(frames: DataFrame, a: int | Column, b: int | Column, c: int | Colu
     """A x b x c copies of the cell; atoms of a copy stay together."""
     n = [F.lit(v) if isinstance(v, int) else v for v in (a, b, c)]
     m = [F.get("lattice", F.lit(k)) for k in range(9)]
-    names = ("atom_idx", "species", "x", "y", "z", "fx", "fy", "fz")
 
     def steps(k: int) -> Column:
         return F.sequence(F.lit(0), n[k] - 1)
@@ -45,10 +44,10 @@ def replicate(frames: DataFrame, a: int | Column, b: int | Column, c: int | Colu
         count = F.size(atoms)
 
         def one(p: Column, s: Column, c: Column) -> Column:
-            fields = {f: p[f] for f in names}
-            fields.update({x: p[x] + s[x] for x in "xyz"})
-            fields["atom_idx"] = (c * count + p["atom_idx"]).cast("int")
-            return F.struct(*[v.alias(f) for f, v in fields.items()])
+            moved = p.withField("atom_idx", (c * count + p["atom_idx"]).cast("int"))
+            for x in "xyz":
+                moved = moved.withField(x, p[x] + s[x])
+            return moved
 
         return F.flatten(F.transform(shifts, lambda s, c: F.transform(atoms, lambda p: one(p, s, c))))
 

@@ -70,6 +70,37 @@ def read_extxyz(spark, sf):
     )
 
 
+@query(
+    "read_lossless",
+    f"""WITH {FRAMES_SQL} SELECT frame_idx, atom_idx, species, CASE atom_idx % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS grp, round(x, 8) AS x, round(fz, 8) AS fz,
+          round(y / 3, 8) AS vx, round(z / 3, 8) AS vy, round(x / 3, 8) AS vz, 'odd_' || atom_idx || '|' || (frame_idx % 7) AS tag, 'force' AS named FROM fatoms""",
+)
+def read_lossless(spark, sf):
+    fr = si.frames(spark, sf)
+    vel = lambda a: F.concat_ws(" ", *[_s(a[c] / 3) for c in "yzx"])
+    tag = lambda a: F.concat(F.lit("odd_"), a["atom_idx"], F.lit("|"), F.col("frame_idx") % 7)
+    # velocities and an odd text stand before and after the positions
+    fr = fr.withColumns({
+        "atoms": F.transform("atoms", lambda a: a.withField("more", F.array(vel(a), tag(a)))),
+        "properties": F.lit("species:S:1:vel:R:3:pos:R:3:Tag_of:S:1:forces:R:3"),
+        "info": F.map_concat("info", F.create_map(F.lit("Properties"), F.lit("species:S:1:vel:R:3:pos:R:3:Tag_of:S:1:forces:R:3"),
+                             F.lit("Lattice"), tx.join_floats(F.col("lattice")), F.lit("energy"), _s(F.col("energy")))),
+    })
+    path = scratch_path(spark, "lossless")
+    fr_src.write_frames(lb.with_groups(lb.harmonise(fr), si.SPECIES), path)
+    got = fr_src.read_frames(spark, path)
+    again = scratch_path(spark, "lossless")
+    fr_src.write_frames(got, again)
+    got = fr_src.frame_numbers(fr_src.read_frames(spark, again))
+    named = F.regexp_extract(tx.info_value(F.col("info"), "Properties"), r":(forces?):R:3", 1)
+    rows = got.select(F.col("frame_no").alias("frame_idx"), named.alias("named"), F.inline("atoms"))
+    v = F.split(F.get("more", F.lit(0)), " ")
+    return rows.select(
+        "frame_idx", "atom_idx", "species", F.get("more", F.lit(2)).cast("int").alias("grp"), rnd("x", 8).alias("x"), rnd("fz", 8).alias("fz"),
+        *[rnd(F.get(v, F.lit(k)).cast("double"), 8).alias(f"v{c}") for k, c in enumerate("xyz")], F.get("more", F.lit(1)).alias("tag"), "named",
+    )
+
+
 def _spoiled(spark, sf) -> str:
     """Frames of three atoms; by number modulo 5 a row is missing, extra or unreadable, or the comment is absent."""
     emb = _emb(spark, sf)
@@ -99,7 +130,7 @@ def _spoiled(spark, sf) -> str:
 )
 def validate_frames(spark, sf):
     path = _spoiled(spark, sf)
-    status = fr_src.validate_frames(fr_src.frame_lines(spark, path, strict=False))
+    status = fr_src.validate_blocks(fr_src.frame_blocks(spark, path, strict=False))
     files = ln.list_files(spark, path).select("file", "file_ord")
     return fr_src.frame_numbers(status.join(files, "file")).select("frame_no", "declared", "found", "status")
 
@@ -251,6 +282,37 @@ def read_profile(spark, sf):
     return sizes.join(means, "file_ord").withColumn("mean", rnd("mean"))
 
 
+@query(
+    "read_encodings",
+    """WITH p AS (SELECT *, p_partkey // 100 AS b FROM part),
+       n AS (SELECT b, CASE b % 5 WHEN 0 THEN 'utf-16' WHEN 3 THEN 'utf-16le' WHEN 4 THEN NULL ELSE 'utf-8-sig' END AS encoding FROM (SELECT DISTINCT b FROM p))
+       SELECT n.b AS bucket, n.encoding, CASE WHEN encoding IS NOT NULL THEN p_partkey - b * 100 + 2 END AS line_no, CASE WHEN encoding IS NOT NULL THEN CAST(p_size AS DOUBLE) END AS z,
+         CASE WHEN encoding IS NOT NULL THEN p_retailprice END AS value FROM n JOIN p USING (b) WHERE encoding IS NOT NULL
+       UNION ALL SELECT b, NULL, NULL, NULL, NULL FROM n WHERE encoding IS NULL""",
+)
+def read_encodings(spark, sf):
+    part = table(spark, sf, "part").withColumn("bucket", F.floor(F.col("p_partkey") / 100).cast("int"))
+    no = (F.col("p_partkey") % 100).cast("int")
+    # two lines of header, the second blank; the rows of missing keys are blank too
+    line = F.concat_ws("   ", _s(F.col("p_size")), _s(F.col("p_retailprice")))
+    text = part.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct(no, line))).alias("rows"))
+    rows = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("rows"))), lambda k: F.coalesce(F.try_element_at("rows", k), F.lit(" ")))  # a blank, as the writer drops empty lines
+    # latin-1 with an odd number of bytes fits none of the encodings
+    even = (F.char_length(F.array_join(rows, "\n")) + F.length(F.lit("# Höhe in Å")) + 4) % 2 == 0
+    head = F.concat(F.when(F.col("bucket") % 5 == 1, "\ufeff").otherwise(""), F.lit("# Höhe in Å"), F.when(even, "!").otherwise(""))
+    lines = text.select("bucket", F.posexplode(F.concat(F.array(head, F.lit(" ")), rows)).alias("ord", "value"))
+    lines = lines.repartition("bucket").sortWithinPartitions("bucket", "ord")
+    path = scratch_path(spark, "encodings")
+    for k, codec in enumerate(("UTF-16", "UTF-8", "UTF-8", "UTF-16LE", "ISO-8859-1")):
+        plain = {"encoding": codec, "sep": "\u0001", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        lines.where(F.col("bucket") % 5 == k).select("bucket", "value").write.mode("append").partitionBy("bucket").options(**plain).csv(path)
+    opt = {"recursiveFileLookup": "true"}
+    bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket")
+    prof = tb.read_profile(spark, path, skip=2, encoding=ln.ENCODINGS, **opt)
+    named = ln.encodings_of(spark, path, **opt)
+    return named.join(prof, "file", "left").select(bucket, "encoding", "line_no", "z", "value")
+
+
 @query(
     "read_blocks",
     """WITH f AS (SELECT vec_id, i.range AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, range(32) i)

@@ -1,233 +1,59 @@
 """Extended-XYZ corpora: strict and tolerant frame readers, and the sink.
 
-The strict reader follows the count lines, which alone decide where a frame
-starts. Candidate lines are resolved per split: for every candidate the split's
-task works out where the chain leaves the split; the short list of exits is then
-walked from split to split, so a single huge file is still read in parallel.
+Frames are cut out of the splits of a file by the scanning tasks (``blocks``); a frame is one row with its lines, and
+everything after that happens inside the row.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.binding import let
 from ..operators.running import group_rank, prefix_offsets
-from ..session import cut
-from .lines import list_files, number_lines, scan_lines
+from .blocks import ATOM_ROW, COUNT_LINE, LONE_COUNT, frame_blocks
+from .lines import list_files, read_lines
 
-_NUM = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
-ATOM_ROW = rf"^\s*[^\s=]+\s+{_NUM}\s+{_NUM}\s+{_NUM}(\s|$)"
-COUNT_LINE = r"^\s*(\d+)(\s|$)"
-LONE_COUNT = r"^\s*0*[1-9]\d*\s*$"
-
-
-# -- frame starts ------------------------------------------------------------
-
-_STARTS = T.ArrayType(
-    T.StructType([T.StructField("line_no", T.LongType()), T.StructField("n", T.LongType())])
-)
-
-
-def _exits(cands: list, end: int) -> dict[int, int]:
-    """Where the chain from each candidate leaves the split (``end`` is its last line + 1)."""
-    out: dict[int, int] = {}
-    for line_no, n in reversed(cands):
-        nxt = line_no + n + 2
-        out[line_no] = out.get(nxt, -1) if nxt < end else nxt
-    return out
-
-
-def _pairs(rows) -> list[tuple[int, int]]:
-    return [(r["line_no"], r["n"]) for r in rows]
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _distinct_exits(cands: pd.Series, end: pd.Series) -> pd.Series:
-    return pd.Series([sorted({x for x in _exits(_pairs(c), e).values() if x >= 0}) for c, e in zip(cands, end)])
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _exits_of(cands: pd.Series, end: pd.Series, entries: pd.Series) -> pd.Series:
-    def one(rows, stop, wanted):
-        exits = _exits(_pairs(rows), stop)
-        return [exits.get(w, -1) for w in wanted]
-
-    return pd.Series([one(*a) for a in zip(cands, end, entries)])
-
-
-@F.pandas_udf(_STARTS)
-def _chain(cands: pd.Series, end: pd.Series, entry: pd.Series) -> pd.Series:
-    def one(rows, stop, at):
-        size = dict(_pairs(rows))
-        out = []
-        while at < stop:
-            if at not in size:
-                raise ValueError(f"line {at}: an atom count was expected")
-            if size[at] >= 0:
-                out.append({"line_no": at, "n": size[at]})
-            at += size[at] + 2
-        return out
-
-    return pd.Series([[] if pd.isna(a) else one(r, e, int(a)) for r, e, a in zip(cands, end, entry)])
-
-
-def _candidates(scan: DataFrame) -> DataFrame:
-    """One row per split: line range and the lines a frame could start at.
-
-    A blank line is a candidate of size -1: the chain steps over it to the next line.
-    """
-    count = F.regexp_extract("line", COUNT_LINE, 1)
-    size = F.when(F.length("line") == 0, F.lit(-1).cast("long")).when(count != "", count.try_cast("bigint"))
-    blocks = cut(
-        scan.groupBy("file", "blk").agg(
-            F.min("pos").alias("first"),
-            F.count(F.lit(1)).alias("lines"),
-            F.array_sort(
-                F.collect_list(F.when(size.isNotNull(), F.struct("pos", size.alias("n"))))
-            ).alias("at"),
-        ),
-        "splits",
-    )
-    w = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    slim = blocks.select("file", "blk", F.coalesce(F.sum("lines").over(w), F.lit(0)).alias("start"))
-    return blocks.join(slim, ["file", "blk"]).select(
-        "file",
-        "blk",
-        "start",
-        (F.col("start") + F.col("lines")).alias("end"),
-        (F.col("start") - F.col("first")).alias("shift"),
-        F.transform(
-            "at",
-            lambda c: F.struct(
-                (c["pos"] - F.col("first") + F.col("start")).alias("line_no"), c["n"].alias("n")
-            ),
-        ).alias("cands"),
-    )
-
-
-def _entries(blocks: DataFrame) -> DataFrame:
-    """Line at which the chain of count lines enters each split (NULL: passes over it).
-
-    A few numbers per split reach the driver, never lines.
-    """
-    spark = blocks.sparkSession
-    if blocks.filter(F.col("start") > 0).isEmpty():
-        return blocks.select("file", "blk", F.lit(0).cast("long").alias("entry"))
-    info = (
-        blocks.select("file", "blk", "end", _distinct_exits("cands", "end").alias("exits"))
-        .orderBy("file", "blk")
-        .collect()
-    )
-    by_file: dict[str, list] = {}
-    for r in info:
-        by_file.setdefault(r["file"], []).append(r)
-    wanted: dict[tuple[str, int], set[int]] = {}
-    for file, rows in by_file.items():
-        ends = np.array([r["end"] for r in rows])
-        for at in {0, *(e for r in rows for e in r["exits"])}:
-            k = int(np.searchsorted(ends, at, side="right"))
-            if k < len(rows):
-                wanted.setdefault((file, rows[k]["blk"]), set()).add(at)
-    need = spark.createDataFrame(
-        [(f, b, sorted(s)) for (f, b), s in wanted.items()],
-        "file string, blk long, entries array<long>",
-    )
-    answers = (
-        blocks.join(need, ["file", "blk"])
-        .select("file", "entries", _exits_of("cands", "end", "entries").alias("exits"))
-        .collect()
-    )
-    step = {(r["file"], e): x for r in answers for e, x in zip(r["entries"], r["exits"])}
-    out = []
-    for file, rows in by_file.items():
-        at = 0
-        for r in rows:
-            inside = at < r["end"]
-            out.append((file, r["blk"], at if inside else None))
-            if inside:
-                at = step[(file, at)]
-                if at < 0:
-                    raise ValueError(f"{file}: an atom count was expected after offset {r['blk']}")
-    return spark.createDataFrame(out, "file string, blk long, entry long")
+__all__ = ["ATOM_ROW", "frame_blocks", "frame_lines", "read_frames", "validate_blocks", "validate_frames", "write_frames"]
 
 
 # -- readers -----------------------------------------------------------------
 
 
-def frame_lines(spark: SparkSession, paths, strict: bool = True, **options) -> DataFrame:
-    """Lines with the frame they belong to: ``file, frame_idx, line_no, line, n``.
+def frame_lines(spark: SparkSession, paths, **options) -> DataFrame:
+    """Lines with the tolerant frame they belong to: ``file, frame_idx, line_no, line``.
 
-    Strict: the count line decides how many lines follow. Tolerant: a lone
-    positive integer opens a frame and everything up to the next one is its body;
-    lines before the first header have ``frame_idx`` NULL.
+    A lone positive integer opens a frame and everything up to the next one is its body; lines before the first
+    header have ``frame_idx`` NULL.
     """
-    scan = scan_lines(spark, paths, **options)
-    if not strict:
-        lines = number_lines(scan, {"__f": F.col("line").rlike(LONE_COUNT)})
-        return lines.select(
-            "file", F.when(F.col("__f") > 0, F.col("__f") - 1).alias("frame_idx"), "line_no", "line"
-        )
-    blocks = _candidates(scan)
-    chained = cut(
-        blocks.join(_entries(blocks), ["file", "blk"]).select(
-            "file", "blk", "shift", _chain("cands", "end", "entry").alias("starts")
-        ),
-        "starts",
-    )
-    w = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    before = chained.select("file", "blk", "shift", F.size("starts").alias("k")).select(
-        "file", "blk", "shift", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("seen")
-    )
-    lines = scan.join(before, ["file", "blk"]).select(
-        "file", "blk", "seen", (F.col("pos") + F.col("shift")).alias("line_no"), "line",
-        F.lit(None).cast("long").alias("n"),
-    )
-    starts = chained.select("file", "blk", F.explode("starts").alias("h")).select(
-        "file", "blk", F.lit(None).cast("long").alias("seen"), "h.line_no",
-        F.lit(None).cast("string").alias("line"), "h.n",
-    )
-    # a start row sorts just before the line it marks; splits bound the window
-    local = Window.partitionBy("file", "blk").orderBy("line_no", F.col("line").isNotNull())
-    return (
-        lines.unionByName(starts)
-        .withColumn("__f", F.count("n").over(local))
-        .filter(F.col("line").isNotNull())
-        .withColumn("frame_idx", F.col("seen") + F.col("__f") - 1)
-        .filter(F.col("frame_idx") >= 0)
-        .select("file", "frame_idx", "line_no", "line")
-    )
+    lines = read_lines(spark, paths, {"__f": F.col("line").rlike(LONE_COUNT)}, **options)
+    return lines.select("file", F.when(F.col("__f") > 0, F.col("__f") - 1).alias("frame_idx"), "line_no", "line")
 
 
 def read_frames(
-    spark: SparkSession, paths, strict: bool = True, comment_energy: str | None = None, **options
+    spark: SparkSession, paths, strict: bool = True, comment_energy: str | None = None, raw: bool = False, **options
 ) -> DataFrame:
     """A1/A2: frames of extended-XYZ files, one row per frame, keyed by (file_ord, frame_idx).
 
     Strict: a frame with fewer lines than announced is an error. Tolerant: only
     good frames are kept, numbered again from 0 in each file. ``comment_energy`` is
     a pattern whose first group is the energy, for comments without key=value pairs.
+    ``raw`` keeps the text of each frame, for filters that hand frames through unchanged.
     """
-    rows = frame_lines(spark, paths, strict=strict, **options)
+    blocks = frame_blocks(spark, paths, strict=strict, **options)
     files = list_files(spark, paths, **options)
-    if strict:
-        return assemble(rows, files, comment_energy)
-    good = validate_frames(rows).filter(F.col("status") == "good").select("file", "frame_idx")
-    kept = rows.join(good, ["file", "frame_idx"], "left_semi").filter(F.length("line") > 0)
-    return renumber(assemble(kept, files, comment_energy))
+    if not strict:
+        good = F.filter("ls", lambda line: F.length(line) > 0)
+        blocks = validate_blocks(blocks, "ls").where("status = 'good'").select("file", "frame_idx", good.alias("ls"))
+    frames = assemble(blocks, files, comment_energy, raw)
+    return frames if strict else renumber(frames)
 
 
-def assemble(rows: DataFrame, files: DataFrame, comment_energy: str | None = None) -> DataFrame:
-    """A1, A3-A5: the lines of each frame become one row."""
-    grouped = rows.groupBy("file", "frame_idx").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")
-    )
-    ls = F.transform("ls", lambda s: s["line"])
+def assemble(blocks: DataFrame, files: DataFrame, comment_energy: str | None = None, raw: bool = False) -> DataFrame:
+    """A1, A3-A5: the lines of each frame (``ls``) become typed columns."""
     count = F.regexp_extract(F.get("ls", F.lit(0)), COUNT_LINE, 1).cast("int")
-    body = grouped.withColumn("ls", ls).withColumn("natoms", count)
+    body = blocks.withColumn("natoms", count)
     # a tolerant frame may lack its comment line
     bare = F.size("ls") == F.col("natoms") + 1
     bare = bare & F.get("ls", F.lit(1)).rlike(ATOM_ROW)
@@ -239,7 +65,7 @@ def assemble(rows: DataFrame, files: DataFrame, comment_energy: str | None = Non
             F.raise_error(F.format_string("%s: frame %d is cut short", F.col("file"), F.col("frame_idx")))
         ),
     ).withColumn("comment", F.when(bare, "").otherwise(F.get("ls", F.lit(1))))
-    framed = from_comment(checked, comment_energy)
+    framed = from_comment(checked.withColumn("raw", F.array_join("ls", "\n")) if raw else checked, comment_energy)
     return framed.join(files.select("file", "file_ord"), "file")
 
 
@@ -248,14 +74,8 @@ def from_comment(df: DataFrame, comment_energy: str | None = None) -> DataFrame:
     info = df.withColumn("info", tx.parse_info(F.col("comment"))).withColumn(
         "info_keys", tx.info_keys(F.col("comment"))
     )
-    props = F.coalesce(tx.info_value(F.col("info"), "Properties"), F.lit("species:S:1:pos:R:3"))
-    laid = info.withColumn("properties", props).withColumns(
-        {
-            "__s": tx.start_of(F.col("properties"), "species"),
-            "__p": tx.start_of(F.col("properties"), "pos"),
-            "__f": tx.start_of(F.col("properties"), "forces", "force"),
-        }
-    )
+    props = F.coalesce(tx.info_value(F.col("info"), "Properties"), F.lit(tx.DEFAULT_LAYOUT))
+    laid = info.withColumn("properties", props)
 
     def number(key: str) -> Column:
         return tx.info_value(F.col("info"), key).try_cast("double")
@@ -279,10 +99,33 @@ def from_comment(df: DataFrame, comment_energy: str | None = None) -> DataFrame:
         number("uncertainty").alias("uncertainty"),
         number("weight").alias("weight"),
         tx.info_value(F.col("info"), "config_type").alias("config_type"),
-        tx.parse_atoms(F.col("rows"), F.col("__s"), F.col("__p"), F.col("__f")).alias("atoms"),
+        tx.parse_atoms(F.col("rows"), F.col("properties")).alias("atoms"),
+        *[c for c in ("raw",) if c in df.columns],
     )
 
 
+def _status(bad: Column, found: Column, declared: Column) -> Column:
+    return F.when(bad > 0, "invalid").when(found < declared, "missing").when(found > declared, "extra").otherwise("good")
+
+
+def validate_blocks(blocks: DataFrame, *keep: str) -> DataFrame:
+    """Status of each tolerant frame (good, invalid, missing or extra), worked out inside its row.
+
+    The first non-blank line after the header is the comment unless it looks like an atom row; later lines that are
+    not atom rows are invalid.
+    """
+    text = F.filter("ls", lambda line, i: (i > 0) & (F.length(F.trim(line)) > 0))
+    judged = blocks.withColumn("__a", F.transform(text, lambda line: line.rlike(ATOM_ROW)))
+    found = F.size(F.filter("__a", lambda a: a)).cast("long")
+    bad = F.size("__a") - found - F.when(F.get("__a", F.lit(0)) == F.lit(False), 1).otherwise(0)
+    declared = F.get("ls", F.lit(0)).try_cast("bigint")
+    head = [c for c in ("line_no",) if c in blocks.columns]
+    return judged.select(
+        "file", "frame_idx", *[F.col(c).alias("header_line") for c in head], declared.alias("declared"), found.alias("found"),
+        _status(bad, found, declared).alias("status"), *keep,
+    )
+
+
 def validate_frames(rows: DataFrame) -> DataFrame:
     """Status of each tolerant frame: good, invalid, missing or extra.
 
@@ -310,11 +153,7 @@ def validate_frames(rows: DataFrame) -> DataFrame:
         "header_line",
         "declared",
         "found",
-        F.when(bad > 0, "invalid")
-        .when(F.col("found") < F.col("declared"), "missing")
-        .when(F.col("found") > F.col("declared"), "extra")
-        .otherwise("good")
-        .alias("status"),
+        _status(bad, F.col("found"), F.col("declared")).alias("status"),
     )
 
 
@@ -347,41 +186,47 @@ def atoms_view(frames: DataFrame) -> DataFrame:
 
 
 def render_frames(frames: DataFrame) -> DataFrame:
-    """One text block per frame, ready to be written."""
-    has_forces = F.exists("atoms", lambda a: a["fx"].isNotNull())
-    fields = {
-        "Lattice": tx.join_floats(F.col("lattice")),
-        "energy": F.col("energy").cast("string"),
-        "virial": tx.join_floats(F.col("virial")),
-        "stress": tx.join_floats(F.col("stress")),
-        "uncertainty": F.col("uncertainty").cast("string"),
-        "weight": F.col("weight").cast("string"),
-        "config_type": F.col("config_type"),
-        "pbc": F.array_join(F.transform("pbc", lambda p: F.when(p, "T").otherwise("F")), " "),
-        "Properties": F.when(has_forces, "species:S:1:pos:R:3:forces:R:3").otherwise("species:S:1:pos:R:3"),
-    }
-    entries = [F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items()]
-    known = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
-    extra = F.map_filter(
-        F.coalesce("info", F.create_map().cast("map<string,string>")),
-        lambda k, _: ~F.lower(k).isin([f.lower() for f in fields]),
-    )
-    merged = F.map_concat(known, extra)
-    keys = F.concat(F.coalesce("info_keys", F.array().cast("array<string>")), F.map_keys(merged))
-    return frames.select(
-        *[c for c in ("file_ord", "frame_idx") if c in frames.columns],
-        F.concat_ws(
-            "\n",
-            F.size("atoms").cast("string"),
-            tx.render_info(merged, keys),
-            tx.render_atoms(F.col("atoms"), has_forces),
-        ).alias("value"),
-    )
+    """One text block per frame, ready to be written.
+
+    The layout that was read is written again with all its columns; fields that were added to the atoms follow it.
+    """
+    atom = {f.name: f.dataType.simpleString() for f in frames.schema["atoms"].dataType.elementType.fields}
+    has_forces = F.exists("atoms", lambda a: a["fx"].isNotNull()) if "fx" in atom else F.lit(False)
+    read = F.col("properties") if "properties" in frames.columns else F.lit(None).cast("string")
+    info = F.coalesce("info", F.create_map().cast("map<string,string>"))
+    named = F.coalesce(tx.info_value(info, "Properties"), read)
+    keep = [c for c in ("file_ord", "frame_idx") if c in frames.columns]
+
+    def text(written: Column) -> Column:
+        fields = {
+            "Lattice": tx.join_floats(F.col("lattice")),
+            "energy": F.col("energy").cast("string"),
+            "virial": tx.join_floats(F.col("virial")),
+            "stress": tx.join_floats(F.col("stress")),
+            "uncertainty": F.col("uncertainty").cast("string"),
+            "weight": F.col("weight").cast("string"),
+            "config_type": F.col("config_type"),
+            "pbc": F.array_join(F.transform("pbc", lambda p: F.when(p, "T").otherwise("F")), " "),
+            "Properties": written,
+        }
+        entries = [F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items()]
+        known = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
+        extra = F.map_filter(info, lambda k, _: ~F.lower(k).isin([f.lower() for f in fields]))
+        own = F.coalesce("info_keys", F.array().cast("array<string>"))
+        comment = let(F.map_concat(known, extra), lambda m: tx.render_info(m, F.concat(own, F.map_keys(m))))
+        atoms = tx.render_atoms(F.col("atoms"), read, written, atom)
+        return F.concat_ws("\n", F.size("atoms").cast("string"), comment, atoms)
 
+    return frames.select(*keep, let(tx.render_layout(named, atom, has_forces), text).alias("value"))
 
-def write_frames(frames: DataFrame, path: str, mode: str = "error") -> None:
-    """Extended-XYZ text in frame order; part files are consecutive ranges of frames."""
+
+def write_frames(frames: DataFrame, path: str, mode: str = "error", raw: bool = False) -> None:
+    """Extended-XYZ text in frame order; part files are consecutive ranges of frames.
+
+    ``raw`` writes the text that ``read_frames(raw=True)`` kept, character for character.
+    """
     key = [c for c in ("file_ord", "frame_idx") if c in frames.columns]
     # range bounds are sampled from the frames, so text is rendered once, after the exchange
     ordered = frames.repartitionByRange(*key).sortWithinPartitions(*key)
-    render_frames(ordered).select("value").write.mode(mode).text(path)
+    text = ordered.select(F.col("raw").alias("value")) if raw else render_frames(ordered).select("value")
+    text.write.mode(mode).text(path)

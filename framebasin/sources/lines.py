@@ -9,8 +9,9 @@ nothing larger than one row per split is shuffled for it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,29 +20,114 @@ from ..operators.running import group_rank
 from ..session import cut
 
 
-def scan_lines(spark: SparkSession, paths, encoding: str | None = None, **options) -> DataFrame:
+#: Encodings tried in turn. A byte order mark decides for the first; a text with NUL characters is no text.
+ENCODINGS = ("utf-16", "utf-8-sig", "utf-16le", "utf-8")
+_WIDE = ("utf16", "utf32")
+
+
+def _text(spark: SparkSession, paths, options: dict) -> DataFrame:
+    """``file, blk, pos, value`` of the text source."""
+    return spark.read.options(**options).text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("blk"),
+        F.monotonically_increasing_id().alias("pos"),
+        "value",
+    )
+
+
+def _decoded(encoding: str):
+    """Lines in a charset whose line breaks are single bytes, decoded batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [v.decode(encoding) for v in batch.column("value").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("value"), "value", pa.array(text, pa.string()))
+
+    return run
+
+
+def _decode(content: bytes, tried: Sequence[str]) -> tuple[str | None, str]:
+    for encoding in tried:
+        marked = content[:2] in (b"\xff\xfe", b"\xfe\xff")
+        if encoding.replace("-", "").replace("_", "").lower() == "utf16" and not marked and len(tried) > 1:
+            continue
+        try:
+            text = content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        if len(tried) == 1 or "\0" not in text:
+            return encoding, text
+    return None, ""
+
+
+def _whole(spark: SparkSession, paths, tried: Sequence[str], options: dict, only: DataFrame | None = None) -> DataFrame:
+    """``file, encoding, blk, pos, value`` of files decoded in one piece: wide encodings have no line break of one byte."""
+    files = spark.read.format("binaryFile").options(**options).load(paths).select(F.col("_metadata.file_path").alias("file"), "content")
+    files = files if only is None else files.join(only, "file", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                encoding, text = _decode(content, tried)
+                lines = text.split("\n") if text else [""]
+                lines = lines[:-1] if len(lines) > 1 and not lines[-1] else lines
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([file] * len(lines)), pa.array([encoding] * len(lines), pa.string()),
+                        pa.array([0] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string()),
+                    ],
+                    ["file", "encoding", "blk", "pos", "value"],
+                )
+
+    return files.mapInArrow(run, "file string, encoding string, blk long, pos long, value string")
+
+
+def _narrow(spark: SparkSession, paths, options: dict) -> DataFrame:
+    """``file, utf8`` of files with lines: whether all bytes are UTF-8, without NUL and without a wide mark."""
+    rows = _text(spark, paths, options)
+    first = F.min_by(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)), F.struct("blk", "pos"))
+    judged = rows.groupBy("file").agg(
+        F.min(F.is_valid_utf8("value") & (F.instr("value", "\0") == 0)).alias("fits"), first.alias("first")
+    )
+    return cut(judged.select("file", (F.col("fits") & ~F.col("first").isin("FFFE", "FEFF")).alias("utf8")), "encodings")
+
+
+def encodings_of(spark: SparkSession, paths, tried: Sequence[str] = ENCODINGS, **options) -> DataFrame:
+    """A10: ``file, encoding`` of all files with content, NULL where every encoding that was tried fails."""
+    narrow = _narrow(spark, paths, options)
+    name = next((e for e in tried if e.startswith("utf-8")), None)
+    plain = F.col("utf8") if name else F.lit(False)
+    wide = _whole(spark, paths, tried, options, narrow.where(~plain)).where("pos = 0").select("file", "encoding")
+    return narrow.where(plain).select("file", F.lit(name).alias("encoding")).union(wide)
+
+
+def scan_lines(spark: SparkSession, paths, encoding: str | Sequence[str] | None = None, **options) -> DataFrame:
     """``file, blk, pos, line`` of text files; ``pos`` orders the lines of a split.
 
     The lines are written once to the scratch folder. Split bounds depend on the settings and the executors of the
     moment, so numbers counted in one scan would not fit the lines of another; both come from the table.
+
+    ``encoding`` is a Python codec, or several that are tried in turn for each file; files that none of them fits have
+    no lines (``encodings_of`` names them). Files in a wide encoding are decoded in one piece.
     """
-    reader = spark.read.options(**options) if options else spark.read
-    if encoding:
-        # the text source reads UTF-8; other encodings go through the CSV reader's charset
-        rows = reader.option("encoding", encoding).option("sep", "\u0001").option("quote", "").schema(
-            "value string"
-        ).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(paths)
+    names = ("file", "blk", "pos", "value")
+    if encoding is None:
+        rows = _text(spark, paths, options)
+    elif isinstance(encoding, str):
+        if encoding.replace("-", "").replace("_", "").lower().startswith(_WIDE):
+            rows = _whole(spark, paths, [encoding], options).select(*names)
+        else:
+            raw = _text(spark, paths, options).withColumn("value", F.col("value").cast("binary"))
+            rows = raw.mapInArrow(_decoded(encoding), "file string, blk long, pos long, value string")
     else:
-        rows = reader.text(paths)
-    return cut(
-        rows.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("blk"),
-            F.monotonically_increasing_id().alias("pos"),
-            F.rtrim(F.col("value")).alias("line"),
-        ),
-        "lines",
-    )
+        narrow = _narrow(spark, paths, options)
+        plain = F.col("utf8") if any(e.startswith("utf-8") for e in encoding) else F.lit(False)
+        rows = _text(spark, paths, options).join(narrow.where(plain), "file", "left_semi").select(*names)
+        wide = narrow.where(~plain)
+        if not wide.isEmpty():
+            rows = rows.union(_whole(spark, paths, encoding, options, wide).where("encoding IS NOT NULL").select(*names))
+        rows = rows.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    return cut(rows.select("file", "blk", "pos", F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line")), "lines")
 
 
 def number_lines(scan: DataFrame, flags: Mapping[str, Column] | None = None) -> DataFrame:

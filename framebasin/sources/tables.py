@@ -31,8 +31,13 @@ def read_matrix(spark: SparkSession, paths, **options) -> DataFrame:
     return rows.join(bases, "file").select("file", "row", (F.col("row") + F.col("__base")).alias("row_no"), "values")
 
 
-def read_profile(spark: SparkSession, paths, skip: int = 0, encoding: str | None = None, **options) -> DataFrame:
-    """A10: first two columns ``z, value`` of each file after ``skip`` lines; blank lines are ignored."""
+def read_profile(
+    spark: SparkSession, paths, skip: int = 0, encoding: str | Sequence[str] | None = None, **options
+) -> DataFrame:
+    """A10: first two columns ``z, value`` of each file after ``skip`` lines; blank lines are ignored.
+
+    ``encoding`` is one codec or several that are tried in turn (``lines.ENCODINGS``).
+    """
     lines = read_lines(spark, paths, encoding=encoding, **options)
     used = lines.filter((F.col("line_no") >= skip) & ~_blank())
     tokens = F.split(F.trim("line"), r"\s+")
