@@ -5,18 +5,23 @@ atoms of a frame sit closer than the match tolerance allows to tell apart, the
 strict greedy match succeeds exactly when species agree position by position,
 so grouping on a digest that ties species to positions gives the same answer
 without comparing frames, and a hot group of copies collapses map-side. Only
-crowded frames need the pairwise match; they are resolved in leader rounds, each
-frame against the first unresolved frame of its group, so no group is ever
-collected.
+crowded frames need the pairwise match. Positions that can be told apart split a
+frame into zones; frames whose zones hold different species never match, so each
+kind of zones is a group of its own. Inside a group the first frames in order are
+settled among themselves and everything after them is matched with those that are
+kept; their number grows fourfold from round to round, so rounds follow the
+logarithm of the kept frames until a block has ``_MOST_LEADERS``, and no group is
+ever collected.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,46 +141,108 @@ def copies(
     return found.filter(F.col("__k") != F.col("dup_of")).select("__k.*", "dup_of")
 
 
+def _arrays(rows) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r["s"] for r in rows]), np.array([[r["u"], r["v"], r["w"]] for r in rows])
+
+
+def _match(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Strict match of two frames: greedy nearest unused atom of the same species."""
+    (sx, px), (sy, py) = x, y
+    free = np.ones(len(sy), bool)
+    for s, p in zip(sx, px, strict=True):
+        d = py - p
+        far = np.abs(d - np.rint(d)).max(axis=1)
+        far[~free | (sy != s)] = np.inf
+        k = int(far.argmin())
+        if far[k] > MATCH_TOL:
+            return False
+        free[k] = False
+    return True
+
+
 @F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Strict match of two frames: greedy nearest unused atom of the same species."""
+    return pd.Series([_match(_arrays(x), _arrays(y)) for x, y in zip(a, b, strict=True)])
+
+
+_REACH = int(MATCH_TOL * QUANT) + 2  # rounded positions further apart than this never match
+
 
-    def arrays(rows):
-        return np.array([r["s"] for r in rows]), np.array([[r["u"], r["v"], r["w"]] for r in rows])
+def _zone(rows) -> str:
+    """Digest of the species in each cluster of positions that a match could mix up."""
+    species, xyz = _arrays(rows)
+    q = np.rint(xyz * QUANT).astype(np.int64) % int(QUANT)
+    bins = -(-int(QUANT) // _REACH)
+    home: dict[tuple, list[int]] = {}
+    root = list(range(len(q)))
 
-    def one(x, y) -> bool:
-        (sx, px), (sy, py) = arrays(x), arrays(y)
-        free = np.ones(len(sy), bool)
-        for s, p in zip(sx, px):
-            d = py - p
-            far = np.abs(d - np.rint(d)).max(axis=1)
-            far[~free | (sy != s)] = np.inf
-            k = int(far.argmin())
-            if far[k] > MATCH_TOL:
-                return False
-            free[k] = False
-        return True
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+    for k, (p, at) in enumerate(zip(q, q // _REACH, strict=True)):
+        for step in np.ndindex(5, 5, 5):  # the last bin of an axis is narrow, so two bins to each side
+            for j in home.get(tuple((at + step - 2) % bins), ()):
+                d = np.abs(q[j] - p)
+                if np.minimum(d, int(QUANT) - d).max() <= _REACH:
+                    root[find(k)] = find(j)
+        home.setdefault(tuple(at), []).append(k)
+    zones: dict[int, list[int]] = {}
+    for k in range(len(q)):
+        zones.setdefault(find(k), []).append(k)
+    told = sorted((sorted(map(tuple, q[m].tolist())), sorted(species[m].tolist())) for m in zones.values())
+    return hashlib.sha1(repr(told).encode()).hexdigest()
+
+
+@F.pandas_udf(T.StringType())
+def _zones(frac: pd.Series) -> pd.Series:
+    return pd.Series([_zone(rows) for rows in frac])
+
+
+_MOST_LEADERS = 1024  # frames of a group that one task settles among themselves
+
+
+def _settled(schema: T.StructType):
+    """The frames of a block with the earlier frame each repeats, or none."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        kept, out = [], []
+        for row in block.sort_values("r").itertuples():
+            mine = _arrays(row.frac)
+            hit = next((k for k, other in kept if _match(other, mine)), None)
+            if hit is None:
+                kept.append((row.k, mine))
+            out.append(hit)
+        return block.sort_values("r").assign(dup_of=out)[schema.names]
+
+    return run
 
 
 def _leader_rounds(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
     """``<key>, dup_of`` among crowded frames of equal fingerprint."""
-    group = [*by, "loose"]
     same = copies(rows, "exact", key, by)
-    rest = cut(
-        rows.join(same, list(key), "left_anti").select(*group, F.struct(*key).alias("k"), "frac"), "crowded"
-    )
-    matched = None
+    single = rows.join(same, list(key), "left_anti")
+    group = [*by, "loose", "zone"]
+    rest = cut(single.withColumn("zone", _zones("frac")).select(*group, F.struct(*key).alias("k"), "frac"), "crowded")
+    kind = rest.schema["k"].dataType
+    matched, take = None, 1
     while True:
-        leader = rest.groupBy(*group).agg(F.min_by(F.struct("k", "frac"), "k").alias("lead"))
-        judged = rest.join(leader, group).filter(F.col("k") != F.col("lead.k"))
-        judged = cut(judged.withColumn("dup", _same("lead.frac", "frac")), "judged")
-        hits = judged.filter("dup").select("k", F.col("lead.k").alias("dup_of"))
-        matched = hits if matched is None else matched.unionByName(hits)
-        rest = judged.filter(~F.col("dup")).select(*group, "k", "frac")
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("k"))
+        block = cut(rest.withColumn("r", place).where(F.col("r") <= take), "block")
+        schema = T.StructType([*block.select(*group, "k", "frac").schema.fields, T.StructField("dup_of", kind)])
+        settled = cut(block.groupBy(*group).applyInPandas(_settled(schema), schema), "settled")
+        leaders = settled.where("dup_of IS NULL").select(*group, F.col("k").alias("lead"), F.col("frac").alias("frac_lead"))
+        others = rest.join(block.select("k"), "k", "left_anti")
+        met = others.join(leaders, group).where(_same("frac_lead", "frac"))
+        hits = cut(met.groupBy("k").agg(F.min("lead").alias("dup_of")), "hits")
+        found = settled.where("dup_of IS NOT NULL").select("k", "dup_of").union(hits)
+        matched = found if matched is None else matched.union(found)
+        rest = cut(others.join(hits, "k", "left_anti"), "crowded")
         if rest.isEmpty():
             break
+        take = min(take * 4, _MOST_LEADERS)
     # a copy of a dropped frame is a duplicate of what that frame duplicates
     first = matched.select(F.col("k").alias("dup_of"), F.col("dup_of").alias("root"))
     copied = same.join(first, "dup_of", "left").select(

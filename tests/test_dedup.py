@@ -73,6 +73,25 @@ def test_plain_and_crowded_frames_match_greedy_search(spark):
     assert got == want and len(want) > 10
 
 
+def test_a_group_of_many_kept_frames(spark, monkeypatch):
+    """One fingerprint, many arrangements of species that no tolerance makes equal, and chains that match only nearby."""
+    rng = np.random.default_rng(4)
+    sites = np.concatenate([rng.uniform(0, 9, (5, 3)), [[9, 9, 9]]])
+    sites = np.concatenate([sites, sites + [4e-4, 0, 0]])  # every site twice, closer than the tolerance
+    # a chain whose neighbours match and whose ends do not
+    chain = np.array([[5.0 + 7e-4 * k, 5, 5] for k in range(6)])
+    rows = []
+    for k in range(150):
+        names = [["Mo", "Te", "Li"][v] for v in rng.permutation([0] * 4 + [1] * 4 + [2] * 4)]
+        rows.append(frame(0, len(rows), names, sites, L))
+    for k in range(60):
+        names = [["Mo", "Te"][v] for v in rng.permutation([0, 0, 0, 1, 1, 1])]
+        rows.append(frame(1, len(rows), names, chain, L))
+    monkeypatch.setattr(dd, "_MOST_LEADERS", 8)
+    want = greedy(rows)
+    assert report(spark, rows) == want and 10 < len(want) < 200
+
+
 def test_dedup_is_idempotent_and_counts_up(spark):
     xyz = np.array([[1.0, 2, 3], [4, 5, 6]])
     rows = [frame(0, i, ["Mo", "Te"], xyz + (0 if i % 2 else 0.5), L) for i in range(8)]
