@@ -15,8 +15,8 @@ share next to no five words in a row with it.
 The index is broadcast. Items are split into indexes of at most ``most_words`` words each, whatever their number,
 and every index is met by a pass over the documents.
 
-Defined results: null and empty texts and items match nothing. Items of fewer than ``min_item`` words are not
-searched for, they would stand in clean texts by chance. Repeated rows are judged one by one. Empty tables give no hits. Extra columns stay in ``without_leaks``.
+Defined results: null and empty texts and items match nothing. Items of fewer than five words
+are found where all their words stand in a row; ``min_item`` leaves out shorter ones. Repeated rows are judged one by one. Empty tables give no hits. Extra columns stay in ``without_leaks``.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Search:
     b: float = 0.75
     block: int = 8  # items in a block
     frequent: float = 0.05  # share of items from which a word counts as frequent
-    min_item: int = 5
+    min_item: int = 1
     most_words: int = 1_000_000
 
 

@@ -25,6 +25,12 @@ NAMES = frozenset(
     "comment comments disqus replies respond share sharing social related pagination pager toolbar widget login signup".split()
 )
 HEAD_NAMES = frozenset("header masthead topbar".split())
+#: Words that may stand beside such a name in one class or id, as in site-footer; with any other word, as in
+#: no-sidebar or cookie-recipe, the class names something else.
+BESIDE = frozenset(
+    "site main page global primary secondary top bottom left right inner outer box list item items area block section bar wrap "
+    "wrapper container slot link links form content panel post user mobile desktop fixed sticky sub".split()
+)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
@@ -56,13 +62,15 @@ def _node(parent: int, tag: str, attributes: str, in_article: bool) -> Node:
             if key == "class":
                 classes = " ".join(sorted(re.sub(r"\d+", "", value).split()))
             if key in ("class", "id"):
-                names += SPLIT_NAME.split(value)
+                names += [[w for w in SPLIT_NAME.split(token) if w] for token in value.split()]
             elif key == "role":
                 furniture |= value in ROLES
             elif key == "hidden":
                 furniture = True
-    if tag not in ("html", "body", "article", "main") or "comment" in names or "comments" in names:
-        furniture |= any(n in NAMES or (n in HEAD_NAMES and not in_article) for n in names)
+    own = NAMES if in_article else NAMES | HEAD_NAMES
+    hits = [set(token) & own for token in names if all(w in own or w in BESIDE for w in token)]
+    if tag not in ("html", "body", "article", "main") or any(h & {"comment", "comments"} for h in hits):
+        furniture |= any(hits)
     return Node(parent, tag, f"{tag}.{classes}" if classes else tag, furniture)
 
 

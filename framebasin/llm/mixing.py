@@ -9,7 +9,8 @@ documents only. So every source is served within one document of its target.
 A source may hold any share of the rows: running sums are taken inside 4096 ranges of the shuffle key and the
 totals of ranges, one row for each source and range, are added back.
 
-Defined results: null texts and texts without words have size 0 and are never taken. Null sources form one
+Defined results: null texts and texts without words have size 0 and are never taken; a source of such texts only has
+target 0 and no finish times (null). Null sources form one
 source, last in order. Rows with equal ids and repeated rows are separate documents; ties in finish time go by
 source, pass, key, id and size. An empty table gives an empty mix. Extra columns stay in ``mix`` and
 do not matter to ``shares``, which reads three columns only.
@@ -109,7 +110,7 @@ def shares(
     )
 
     def finish(n: Column) -> Column:
-        return (n * F.col("source_size") + F.col("_end")).cast("double") / F.col("target")
+        return (n * F.col("source_size") + F.col("_end")).cast("double") / F.nullif("target", F.lit(0.0))
 
     def range_of(n: Column) -> Column:
         return F.floor(F.least(finish(n) * _BINS, F.lit(float(_LAST_BIN)))).cast("int")

@@ -76,6 +76,25 @@ def test_shares_equal_sql_and_budget(odd_docs, odd_rows):
         assert r.target <= 3 * r.source_size and abs(served[r.source] - r.target) <= longest
 
 
+def test_a_source_without_words(spark):
+    rows = [doc_row(1, "a b c", source="x"), doc_row(2, None, source="y"), doc_row(3, " ", source="y"), doc_row(4, "d", source=None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.target, r.taken, r.finish) for r in mixing.shares(docs).collect()}
+    assert got[2] == got[3] == (0.0, 0, None) and got[1][2] > 0
+    assert {r.doc_id for r in mixing.mix(docs).collect()} <= {1, 4}
+    empty = spark.createDataFrame(rows[1:3], DOCS)
+    assert [r.taken for r in mixing.shares(empty).collect()] == [0, 0] and mixing.mix(empty).count() == 0
+
+
+def test_short_items_are_found_word_for_word(spark):
+    docs = spark.createDataFrame(
+        [doc_row(1, "so the Quick fox ran"), doc_row(2, "the fox is quick"), doc_row(3, prose(1, 300) + " quick fox ran"), doc_row(4, None), doc_row(5, "fox")], DOCS
+    )
+    items = spark.createDataFrame([(1, "quick fox"), (2, "the quick fox ran"), (3, ""), (4, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+    assert got == {(1, 1), (3, 1), (1, 2)}
+
+
 def test_targets_fill_up_by_weight(spark):
     sizes = spark.createDataFrame([("a", 600), ("b", 10), ("c", 390), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes, (1, 2, 3), 3).collect()}

@@ -253,6 +253,16 @@ def test_template_text_inside_the_article_stays(spark):
     assert got == {k: f"story {k} words\n" + "Our motto\n" * (k % 2) + f"end {k} of it" for k in range(12)}
 
 
+def test_classes_that_only_mention_furniture():
+    for name in (
+        "has-sidebar", "no-sidebar main", "entry with-comments", "content page-header-less", "article-header", "cookie-recipe",
+        "share-price-news", "advertising-free", "shared", "breadth",
+    ):
+        assert not any(n.furniture for n in parse(f"<body><div class='{name}'><p>Text</p></div>").nodes), name
+    for name in ("sidebar", "site-footer", "x ad", "main-nav", "comment-list", "cookie-banner", "sidebar-left", "nav menu1", "box_ad_2"):
+        assert any(n.furniture for n in parse(f"<body><div class='{name}'><p>Text</p></div>").nodes), name
+
+
 def test_propagation_runs_until_it_has_converged(spark):
     chain = [f"h{k}" for k in range(30)]
     edges = [("a", "b", 1), ("b", "a", 1), *((x, y, 1) for x, y in zip(chain, chain[1:]))]
