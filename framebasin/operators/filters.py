@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import cell, text as tx
 from .pairs import too_close
@@ -102,40 +99,20 @@ def filter_natoms(frames: DataFrame, limit: int) -> DataFrame:
     return frames.filter(F.col("natoms") <= limit) if limit > 0 else frames
 
 
-_IN_ROW = 500  # up to this many atoms a frame is measured where it lies, without a shuffle
-
-
-@F.pandas_udf(T.DoubleType())
-def _shortest_in_row(x: pd.Series, y: pd.Series, z: pd.Series, lattice: pd.Series, pbc: pd.Series) -> pd.Series:
-    """Shortest minimum-image distance of each frame; NULL for a single atom."""
-
-    def one(xs, ys, zs, lat, flags):
-        if len(xs) < 2:
-            return None
-        p = np.column_stack([xs, ys, zs])
-        d = p[None, :, :] - p[:, None, :]
-        m = np.asarray(lat, dtype=float).reshape(3, 3)
-        on = np.asarray(flags, dtype=bool)
-        if on.any() and abs(np.linalg.det(m)) >= cell.SINGULAR:
-            f = d @ np.linalg.inv(m)
-            f[..., on] -= np.rint(f[..., on])
-            d = f @ m
-        dist = np.sqrt((d * d).sum(-1))
-        return float(dist[np.triu_indices(len(p), 1)].min())
-
-    return pd.Series([one(*row) for row in zip(x, y, z, lattice, pbc)], dtype="float64")
+_IN_ROW = 100_000  # up to this many atoms a frame is measured where it lies, without a shuffle
 
 
 def with_closeness(frames: DataFrame, limit: float) -> DataFrame:
-    """``too_close`` of each frame: two atoms nearer than ``limit``; NULL for frames without a cell."""
+    """``too_close`` of each frame: two atoms nearer than ``limit``; NULL for frames without a cell.
+
+    A frame is measured up to the limit only, by a cell list inside its row.
+    """
     from ..sources.frames import atoms_view
+    from .kernel import with_closest
     from .pairs import DISTANCE_SLACK
 
     small = F.col("natoms") <= _IN_ROW
-    axis = [F.col("atoms").getField(c) for c in "xyz"]
-    # kept out of predicate push-down, so it runs once per frame and after the cheap filters
-    near = _shortest_in_row.asNondeterministic()(*axis, F.col("lattice"), F.col("pbc"))
-    measured = frames.filter(small & F.col("lattice").isNotNull()).withColumn("__d", near)
+    measured = with_closest(frames.filter(small & F.col("lattice").isNotNull()), limit, "__d")
     fine = measured.withColumn("too_close", F.coalesce(F.col("__d") < limit - DISTANCE_SLACK, F.lit(False))).drop("__d")
     unknown = frames.filter(F.col("lattice").isNull()).withColumn("too_close", F.lit(None).cast("boolean"))
     big = frames.filter(~small & F.col("lattice").isNotNull())

@@ -1,9 +1,11 @@
 """Distances inside frames: neighbours, shortest distances, RDF, bonds and angles.
 
-Atoms come in long form (one row per atom). Atoms of a small frame share one
-bin; atoms of a larger frame are binned on a grid as wide as the cutoff, so
+Atoms come in long form (one row per atom). Minima and histograms of frames up to
+``PACKED_FRAME`` atoms are taken inside the task that packs the frame (``kernel``);
+only they are shuffled. Where pairs themselves are asked for, atoms of a small frame
+share one bin; atoms of a larger frame are binned on a grid as wide as the cutoff, so
 only atoms of neighbouring bins meet and a hot frame spreads over many keys.
-Statistics that need every distance of a large frame run on bounded tiles of
+Statistics that need every distance of a very large frame run on bounded tiles of
 atoms and emit histogram counts, never pairs.
 """
 
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 from ..functions import cell
 from ..functions.elements import atomic_rank
 from ..session import cut
+from . import kernel
 
 FRAME = ("file_ord", "frame_idx")
 SMALL_FRAME = 256
+PACKED_FRAME = 4096
 TILE = 512
 # Fixed value: slack of the shortest-distance filter.
 DISTANCE_SLACK = 1e-9
@@ -240,20 +244,22 @@ def _spacing(atoms: DataFrame, frame: Sequence[str]) -> float:
 
 
 def pair_min_distance(
-    atoms: DataFrame, frame: Sequence[str] = FRAME, small: int = SMALL_FRAME
+    atoms: DataFrame, frame: Sequence[str] = FRAME, small: int = PACKED_FRAME
 ) -> DataFrame:
     """Shortest distance per species pair over the corpus, with the first frame attaining it.
 
-    Large frames are searched with a radius that starts at their atom spacing
-    and doubles, up to what is already known from the small frames. A distance
+    Frames up to ``small`` atoms are measured whole, a few minima for each batch of frames leave the task. Larger
+    frames are searched with a radius that starts at their atom spacing and doubles, up to what is already known from the small frames. A distance
     found within the radius is the exact minimum, so no frame is searched wider
     than its closest atoms require.
     """
     atoms = with_size(atoms, frame)
-    best = _shortest(close_pairs(atoms.filter(F.col("natoms") <= small), None, frame, small=small), frame)
-    big = atoms.filter(F.col("natoms") > small)
-    if big.isEmpty():
+    frames = cut(kernel.packed(atoms, frame, small), "packed")
+    best = _shortest(kernel.shortest(frames.where(F.col("natoms") <= small), frame), frame)
+    if frames.where(F.col("natoms") > small).isEmpty():
         return best
+    big = atoms.filter(F.col("natoms") > small)
+    small = min(small, SMALL_FRAME)
     spark = atoms.sparkSession
     # results per species pair: a few thousand rows at most
     found = {(r["sa"], r["sb"]): tuple(r) for r in best.collect()}
@@ -402,15 +408,18 @@ def distance_histogram(
     dr: float,
     rmax: float | None = None,
     frame: Sequence[str] = FRAME,
-    small: int = SMALL_FRAME,
+    small: int = PACKED_FRAME,
     tile: int = TILE,
-    has_big: bool | None = None,
+    frames: DataFrame | None = None,
 ) -> DataFrame:
     """Counts of pair distances per species pair and bin of width ``dr``: ``sa, sb, bin, n, on_edge, dmax``.
 
-    With ``rmax`` only pairs up to it are looked for; without it every distance counts.
+    With ``rmax`` only pairs up to it are looked for; without it every distance counts. ``frames`` are the atoms'
+    packed frames where they are already written.
     """
     atoms = with_size(atoms, frame)
+    if frames is None:
+        frames = cut(kernel.packed(atoms, frame, small), "packed")
 
     def binned(pairs: DataFrame) -> DataFrame:
         b = _bin_index(F.col("d"), dr)
@@ -423,13 +432,13 @@ def distance_histogram(
             F.col("d").alias("dmax"),
         )
 
-    if rmax is not None:
-        parts = binned(close_pairs(atoms, rmax, frame, small=small))
-    else:
-        parts = binned(close_pairs(atoms.filter(F.col("natoms") <= small), None, frame, small=small))
+    parts = kernel.histogram(frames.where(F.col("natoms") <= small), dr, rmax)
+    if not frames.where(F.col("natoms") > small).isEmpty():
         big = atoms.filter(F.col("natoms") > small)
-        if has_big if has_big is not None else not big.isEmpty():
+        if rmax is None:
             parts = parts.unionByName(_tiled_histogram(big, dr, frame, tile))
+        else:
+            parts = parts.unionByName(binned(close_pairs(big, rmax, frame, small=min(small, SMALL_FRAME))))
     a, b = _ordered_pair(F.col("si"), F.col("sj"))
     return parts.groupBy(a.alias("sa"), b.alias("sb"), "bin").agg(
         F.sum("n").alias("n"), F.sum("on_edge").alias("on_edge"), F.max("dmax").alias("dmax")
@@ -442,28 +451,28 @@ def rdf_all(
     volume: float | None = None,
     rmax: float | None = None,
     frame: Sequence[str] = FRAME,
+    only: Sequence[str] | None = None,
+    small: int = PACKED_FRAME,
     **kw,
 ) -> DataFrame:
     """g(r) of every pair of different species: ``sa, sb, bin, r, n, g``.
 
     Shells are evaluated at their right edge; the last bin is closed and
     distances beyond it are dropped. The mean cell volume is used unless given.
+    All frames count for the mean, whatever species they hold; ``only`` names the species that are paired.
     """
     atoms = with_size(atoms, frame)
-    head = F.col("atom_idx") == 0
-    v = F.lit(float(volume)) if volume is not None else cell.cell_volume(F.col("lattice"))
-    # one row per species: atoms, and frames and cell volume counted on first atoms
-    totals = (
-        atoms.groupBy("species")
-        .agg(
-            F.count(F.lit(1)).alias("atoms"), F.count_if(head).alias("frames"),
-            F.sum(F.when(head, v)).alias("v"), F.max("natoms").alias("largest"),
-        )
-        .collect()
-    )
-    frames = sum(r["frames"] for r in totals)
-    mean_volume = sum(r["v"] or 0.0 for r in totals) / max(frames, 1)
-    kw.setdefault("has_big", max((r["largest"] for r in totals), default=0) > kw.get("small", SMALL_FRAME))
+    packed = cut(kernel.packed(atoms, frame, small, only), "packed")
+    v = F.lit(float(volume)) if volume is not None else cell.cell_volume(F.col("lattice")) if "lattice" in atoms.columns else F.lit(None)
+    frames, total_volume, largest = packed.agg(F.count(F.lit(1)), F.sum(v.cast("double")), F.max("natoms")).first()
+    mean_volume = (total_volume or 0.0) / max(frames, 1)
+    if only is not None:
+        atoms = atoms.filter(F.col("species").isin(*only))
+    counts = packed.select(F.explode("rows").alias("r")).groupBy(F.col("r.species").alias("species")).agg(F.count(F.lit(1)).alias("atoms"))
+    if largest is not None and largest > small:
+        counts = counts.union(atoms.where(F.col("natoms") > small).groupBy("species").count())
+    totals = counts.groupBy("species").agg(F.sum("atoms").alias("atoms")).collect()  # one row per species
+    kw |= {"frames": packed, "small": small}
     # a few rows per species pair and bin, used twice below: written once
     hist = cut(distance_histogram(atoms, dr, rmax, frame, **kw).filter(F.col("sa") != F.col("sb")), "histogram")
     pair = Window.partitionBy("sa", "sb")  # bins of one species pair: bounded by r/dr
@@ -500,12 +509,12 @@ def rdf_all(
 
 
 def rdf(atoms: DataFrame, a: str, b: str, dr: float = 0.05, frames=None, **kw) -> DataFrame:
-    """g(r) of one species pair, optionally over frames ``[lo, hi)``."""
-    picked = atoms.filter(F.col("species").isin(a, b))
+    """g(r) of one species pair, optionally over frames ``[lo, hi)``; frames without the pair count too."""
+    picked = atoms
     if frames is not None:
         lo, hi = frames
         picked = picked.filter((F.col("frame_idx") >= lo) & (F.col("frame_idx") < hi))
-    return rdf_all(picked, dr, **kw)
+    return rdf_all(picked, dr, only=(a, b), **kw)
 
 
 def first_minimum(g: DataFrame, window: int = 2) -> DataFrame:

@@ -113,15 +113,16 @@ def periodic_close_pairs(spark, sf):
 @query(
     "images_27",
     f"""WITH {FRAMES_SQL}, im AS (SELECT i.range - 1 AS i, j.range - 1 AS j, k.range - 1 AS k FROM range(3) i, range(3) j, range(3) k)
-        SELECT a.frame_idx, round(min(sqrt(power(b.x - a.x - (im.i * a.la + im.j), 2) + power(b.y - a.y - 10 * im.j, 2)
+        SELECT a.frame_idx, a.atom_idx AS i, b.atom_idx AS j, round(min(sqrt(power(b.x - a.x - (im.i * a.la + im.j), 2) + power(b.y - a.y - 10 * im.j, 2)
                + power(b.z - a.z - 12 * im.k, 2))), 6) AS d
-        FROM fatoms a JOIN fatoms b ON a.frame_idx = b.frame_idx AND a.atom_idx = 0 AND b.atom_idx = 1, im GROUP BY 1""",
+        FROM fatoms a JOIN fatoms b ON a.frame_idx = b.frame_idx AND a.atom_idx < b.atom_idx, im GROUP BY 1, 2, 3""",
 )
 def images_27(spark, sf):
-    fr = si.frames(spark, sf)
-    p, q = F.get("atoms", F.lit(0)), F.get("atoms", F.lit(1))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.transform(F.sequence(i + 1, F.lit(20)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    fr = si.frames(spark, sf).select("frame_idx", "lattice", "atoms", F.inline(every))
+    p, q = F.get("atoms", F.col("i")), F.get("atoms", F.col("j"))
     d = cell.min_image_27([q[c] - p[c] for c in "xyz"], F.col("lattice"))
-    return fr.select("frame_idx", rnd(d).alias("d"))
+    return fr.select("frame_idx", "i", "j", rnd(d).alias("d"))
 
 
 # -- D6, D7, E17 -------------------------------------------------------------------
@@ -168,18 +169,26 @@ def bond_angle_stats(spark, sf):
 # -- E11-E16 --------------------------------------------------------------------------
 
 _V, _DR = 50000.0, 0.5
-_RDF = f"""
-h0 AS (SELECT sa, sb, d, floor(d / {_DR}) AS b FROM p WHERE sa <> sb),
-h AS (SELECT sa, sb, CAST(CASE WHEN d < b * {_DR} THEN b - 1 WHEN d >= (b + 1) * {_DR} THEN b + 1 ELSE b END AS BIGINT) AS bin, d FROM h0),
-tops AS (SELECT sa, sb, CAST(floor(max(d) / {_DR}) AS BIGINT) AS last FROM h GROUP BY 1, 2),
-bins AS (SELECT sa, sb, last, unnest(range(last)) AS bin FROM tops),
-placed AS (SELECT h.sa, h.sb, CASE WHEN h.bin = t.last AND h.d = h.bin * {_DR} THEN h.bin - 1 ELSE h.bin END AS bin FROM h JOIN tops t USING (sa, sb)),
-cnt AS (SELECT sa, sb, bin, count(*) AS n FROM placed GROUP BY 1, 2, 3),
-tot AS (SELECT species, count(*) AS c FROM atoms GROUP BY 1),
-nf AS (SELECT count(DISTINCT frame_idx) AS f FROM atoms),
-g AS (SELECT bins.sa, bins.sb, bins.bin, (bins.bin + 1) * {_DR}::DOUBLE AS r, coalesce(cnt.n, 0) AS n,
-        coalesce(cnt.n, 0) / (4 * pi() * power((bins.bin + 1) * {_DR}, 2) * {_DR} * (tb.c / f / {_V}) * ta.c) AS g, ta.c AS na, f
-      FROM bins LEFT JOIN cnt USING (sa, sb, bin) JOIN tot ta ON ta.species = bins.sa JOIN tot tb ON tb.species = bins.sb, nf)"""
+
+
+def _rdf_sql(where: str = "true", name: str = "g") -> str:
+    """CTEs of g(r) over the frames that meet a condition; its name also tells them apart."""
+    t = {k: f"{name}_{k}" for k in ("h0", "h", "tops", "bins", "placed", "cnt", "tot", "nf")}
+    return f"""
+{t['h0']} AS (SELECT sa, sb, d, floor(d / {_DR}) AS b FROM p WHERE sa <> sb AND {where}),
+{t['h']} AS (SELECT sa, sb, CAST(CASE WHEN d < b * {_DR} THEN b - 1 WHEN d >= (b + 1) * {_DR} THEN b + 1 ELSE b END AS BIGINT) AS bin, d FROM {t['h0']}),
+{t['tops']} AS (SELECT sa, sb, CAST(floor(max(d) / {_DR}) AS BIGINT) AS last FROM {t['h']} GROUP BY 1, 2),
+{t['bins']} AS (SELECT sa, sb, last, unnest(range(last)) AS bin FROM {t['tops']}),
+{t['placed']} AS (SELECT h.sa, h.sb, CASE WHEN h.bin = t.last AND h.d = h.bin * {_DR} THEN h.bin - 1 ELSE h.bin END AS bin FROM {t['h']} h JOIN {t['tops']} t USING (sa, sb)),
+{t['cnt']} AS (SELECT sa, sb, bin, count(*) AS n FROM {t['placed']} GROUP BY 1, 2, 3),
+{t['tot']} AS (SELECT species, count(*) AS c FROM atoms WHERE {where} GROUP BY 1),
+{t['nf']} AS (SELECT count(DISTINCT frame_idx) AS f FROM atoms WHERE {where}),
+{name} AS (SELECT b.sa, b.sb, b.bin, (b.bin + 1) * {_DR}::DOUBLE AS r, coalesce(c.n, 0) AS n,
+        coalesce(c.n, 0) / (4 * pi() * power((b.bin + 1) * {_DR}, 2) * {_DR} * (tb.c / f / {_V}) * ta.c) AS g, ta.c AS na, f
+      FROM {t['bins']} b LEFT JOIN {t['cnt']} c USING (sa, sb, bin) JOIN {t['tot']} ta ON ta.species = b.sa JOIN {t['tot']} tb ON tb.species = b.sb, {t['nf']})"""
+
+
+_RDF = _rdf_sql()
 
 
 def _rdf(spark, sf):
@@ -196,27 +205,22 @@ def rdf_all(spark, sf):
     f"WITH {ATOMS_SQL}, {_PAIRS_SQL}, {_RDF} SELECT sa, sb, bin, n, round(g, 6) AS g FROM g WHERE sa = 'Mo' AND sb = 'Te'",
 )
 def rdf_pair(spark, sf):
-    # the frames of the corpus, not only those with both species, normalise g(r)
-    g = pr.rdf_all(si.atoms(spark, sf), _DR, volume=_V, frame=FRAME)
-    return g.filter("sa = 'Mo' AND sb = 'Te'").select("sa", "sb", "bin", "n", rnd("g").alias("g"))
+    g = pr.rdf(si.atoms(spark, sf), "Te", "Mo", _DR, volume=_V, frame=FRAME)
+    return g.select("sa", "sb", "bin", "n", rnd("g").alias("g"))
 
 
 @query(
     "rdf_frame_ranges",
-    f"""WITH {ATOMS_SQL}, {_PAIRS_SQL},
-        h0 AS (SELECT CASE WHEN frame_idx < 2000 THEN 'first' ELSE 'rest' END AS part, sa, sb, d, floor(d / {_DR}) AS b
-               FROM p WHERE sa = 'Li' AND sb = 'Mo'),
-        h AS (SELECT part, sa, sb, d, CAST(CASE WHEN d < b * {_DR} THEN b - 1 WHEN d >= (b + 1) * {_DR} THEN b + 1 ELSE b END AS BIGINT) AS bin FROM h0),
-        t AS (SELECT part, CAST(floor(max(d) / {_DR}) AS BIGINT) AS last FROM h GROUP BY part),
-        q AS (SELECT h.part, sa, sb, CASE WHEN bin = last AND d = bin * {_DR} THEN bin - 1 ELSE bin END AS bin, last FROM h JOIN t USING (part))
-        SELECT part, sa, sb, bin, count(*) AS n FROM q WHERE bin < last GROUP BY ALL""",
+    f"""WITH {ATOMS_SQL}, {_PAIRS_SQL}, {_rdf_sql("frame_idx < 2000", "g1")}, {_rdf_sql("frame_idx >= 2000", "g2")}
+        SELECT 'first' AS part, sa, sb, bin, n, round(g, 6) AS g FROM g1 WHERE sa = 'Li' AND sb = 'Mo'
+        UNION ALL SELECT 'rest', sa, sb, bin, n, round(g, 6) FROM g2 WHERE sa = 'Li' AND sb = 'Mo'""",
 )
 def rdf_frame_ranges(spark, sf):
     at = si.atoms(spark, sf)
     parts = []
     for name, lo, hi in (("first", 0, 2000), ("rest", 2000, 1 << 60)):
         g = pr.rdf(at, "Li", "Mo", _DR, frames=(lo, hi), volume=_V, frame=FRAME)
-        parts.append(g.filter("n > 0").select(F.lit(name).alias("part"), "sa", "sb", "bin", "n"))
+        parts.append(g.select(F.lit(name).alias("part"), "sa", "sb", "bin", "n", rnd("g").alias("g")))
     return parts[0].unionByName(parts[1])
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from framebasin.operators import filters as fl
+from framebasin.operators import kernel
 from framebasin.operators import pairs as pr
 from framebasin.sources.frames import atoms_view
 from helpers import all_pairs, frame, frames_df, random_frames
@@ -73,6 +74,44 @@ def test_rdf_edges(spark):
     assert abs(g[2]["g"] - 1 / (4 * np.pi * r * r * 0.5 * (3 / 1 / 100.0) * 1)) < 1e-12
 
 
+@pytest.mark.parametrize("lattice,pbc", CELLS)
+def test_cell_list_finds_all_pairs(monkeypatch, lattice, pbc):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernel, "_DENSE", 1)
+    monkeypatch.setattr(kernel, "_MOST", 50)
+    rows = random_frames(13, 5, (1, 70), lattice, pbc)
+    atoms = [[{"species": a[1], "x": a[2], "y": a[3], "z": a[4]} for a in r[5]] for r in rows]
+    batch = pa.RecordBatch.from_pydict({"rows": atoms, "lattice": pa.array([r[3] for r in rows], pa.list_(pa.float64())), "pbc": [r[4] for r in rows]}).slice(1)
+    fr = kernel.unpack(batch)
+    for cutoff in (0.7, 2.5, 30.0, None):
+        got = {}
+        for f, a, b, d in kernel.pairs(fr, cutoff):
+            for k, x, y, v in zip(f.tolist(), (a - fr.start[f]).tolist(), (b - fr.start[f]).tolist(), d.tolist()):
+                assert (k, min(x, y), max(x, y)) not in got
+                got[k, min(x, y), max(x, y)] = v
+        want = {(k, i, j): d for k, r in enumerate(rows[1:]) for i, j, _, _, d in all_pairs(r) if cutoff is None or d <= cutoff}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_rdf_of_a_pair_counts_all_frames(spark):
+    rows = random_frames(14, 6, 12, SKEWED) + [(0, 20 + r[1], *r[2:]) for r in random_frames(15, 4, 5, np.eye(3) * 6, species=["Te"])]
+    rows += [(0, 40 + r[1], *r[2:]) for r in random_frames(16, 2, 9, SKEWED, species=["Te", "Mo"])]
+    at = atoms_view(frames_df(spark, rows))
+    everything = {(r["sa"], r["sb"], r["bin"]): (r["n"], r["g"]) for r in pr.rdf_all(at, 0.5).collect()}
+    for a, b in (("Mo", "Li"), ("Te", "Mo")):
+        for small in (4096, 0):
+            got = {(r["sa"], r["sb"], r["bin"]): (r["n"], r["g"]) for r in pr.rdf(at, a, b, 0.5, small=small).collect()}
+            want = {k: v for k, v in everything.items() if {k[0], k[1]} == {a, b}}
+            assert got.keys() == want.keys() and want
+            assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 for k, v in want.items())
+    some = {(r["bin"]): r["n"] for r in pr.rdf(at, "Mo", "Te", 0.5, frames=(40, 50)).collect()}
+    pairs = [d for r in rows if r[1] >= 40 for *_, p, q, d in all_pairs(r) if p != q]
+    last = int(max(pairs) / 0.5)
+    assert sum(some.values()) == sum(d < last * 0.5 for d in pairs)
+
+
 @pytest.mark.parametrize("in_row", [200, 0])
 def test_min_distance_filter(spark, monkeypatch, in_row):
     monkeypatch.setattr(fl, "_IN_ROW", in_row)
