@@ -11,6 +11,7 @@ from ..operators import filters as fl
 from ..operators import labels as lb
 from ..operators import motion as mo
 from ..operators import pairs as pr
+from ..operators import smoothing as sm
 from ..operators import structures as st
 from ..sources.frames import atoms_view
 from . import standins as si
@@ -254,6 +255,11 @@ def rdf_first_minimum(spark, sf):
     return pr.first_minimum(_rdf(spark, sf)).withColumn("rcut", rnd("rcut"))
 
 
+@query("rdf_spline_minimum")
+def rdf_spline_minimum(spark, sf):
+    return sm.spline_minimum(_rdf(spark, sf)).withColumn("rcut", rnd("rcut"))
+
+
 @query(
     "coordination",
     f"""WITH {ATOMS_SQL}, {_nbr_sql('nb', 'Mo', 'Te', 20.0)},
