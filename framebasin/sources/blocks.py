@@ -181,7 +181,12 @@ def frame_blocks(spark: SparkSession, paths, strict: bool = True, **options) ->
     Strict: the count line decides how many lines follow; a file whose lines do not fit is an error. Tolerant: a lone
     positive integer opens a frame and everything up to the next one is its body; lines before the first one go.
     """
-    found = cut(scan_text(spark, paths, **options).mapInArrow(_walk(strict), _SCHEMA), "blocks")
+    return blocks_of(scan_text(spark, paths, **options), strict)
+
+
+def blocks_of(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """``frame_blocks`` of lines (``file, blk, line``) that come as ``scan_text`` gives them."""
+    found = cut(lines.mapInArrow(_walk(strict), _SCHEMA), "blocks")
     splits = found.where(F.col("kind") == _SPLIT)
     by_file = Window.partitionBy("file").orderBy("blk")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -220,7 +225,7 @@ def frame_blocks(spark: SparkSession, paths, strict: bool = True, **options) ->
         return out
     from .chain import chained_blocks
 
-    return out.union(chained_blocks(spark, paths, odd, **options))
+    return out.union(chained_blocks(lines, odd))
 
 
 def _misfits(splits: DataFrame) -> DataFrame:

@@ -8,13 +8,12 @@ the file meets is found by doubling jumps, so the number of passes follows the l
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
 from .blocks import COUNT_LINE
-from .lines import scan_lines
 
 _STARTS = T.ArrayType(
     T.StructType([T.StructField("line_no", T.LongType()), T.StructField("n", T.LongType())])
@@ -131,9 +130,9 @@ def _entries(blocks: DataFrame) -> DataFrame:
     return blocks.select("file", "blk").join(used.select("file", "blk", entry.alias("entry")), ["file", "blk"], "left")
 
 
-def chained_blocks(spark: SparkSession, paths, files: DataFrame, **options) -> DataFrame:
+def chained_blocks(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Frames of the named files as arrays of lines: ``file, frame_idx, line_no, ls``."""
-    scan = scan_lines(spark, paths, **options).join(files, "file", "left_semi")
+    scan = cut(lines.withColumn("pos", F.monotonically_increasing_id()).join(files, "file", "left_semi"), "lines")
     blocks = _candidates(scan)
     chained = cut(
         blocks.join(_entries(blocks), ["file", "blk"]).select(

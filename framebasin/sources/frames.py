@@ -50,8 +50,8 @@ def read_frames(
     return frames if strict else renumber(frames)
 
 
-def assemble(blocks: DataFrame, files: DataFrame, comment_energy: str | None = None, raw: bool = False) -> DataFrame:
-    """A1, A3-A5: the lines of each frame (``ls``) become typed columns."""
+def assemble(blocks: DataFrame, files: DataFrame | None = None, comment_energy: str | None = None, raw: bool = False) -> DataFrame:
+    """A1, A3-A5: the lines of each frame (``ls``) become typed columns, with the order of the file if ``files`` has it."""
     count = F.regexp_extract(F.get("ls", F.lit(0)), COUNT_LINE, 1).cast("int")
     body = blocks.withColumn("natoms", count)
     # a tolerant frame may lack its comment line
@@ -66,7 +66,7 @@ def assemble(blocks: DataFrame, files: DataFrame, comment_energy: str | None = N
         ),
     ).withColumn("comment", F.when(bare, "").otherwise(F.get("ls", F.lit(1))))
     framed = from_comment(checked.withColumn("raw", F.array_join("ls", "\n")) if raw else checked, comment_energy)
-    return framed.join(files.select("file", "file_ord"), "file")
+    return framed if files is None else framed.join(files.select("file", "file_ord"), "file")
 
 
 def from_comment(df: DataFrame, comment_energy: str | None = None) -> DataFrame:

@@ -1,93 +1,62 @@
-"""Incremental ingest of frame files with a ledger."""
+"""K1: incremental ingest of frame files into a table of unique frames.
+
+Two queries follow one another. The first reads new files as lines in splits, cuts frames out of them (a file may be
+larger than a split or a row) and stages the frames of each batch in a folder of its own, so a batch that is repeated
+after a failure replaces itself. The second streams the staged frames through a state store keyed by fingerprint, which
+lets each content pass once; a batch reads its own rows and the state of its keys, never the table.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import fingerprints
-from ..sources.frames import from_comment
-
-
-def frames_of_texts(texts: DataFrame) -> DataFrame:
-    """Frames of whole files (``file, text``) that each hold a bounded batch of frames.
-
-    Works on a stream: frames are found inside the row by following the count lines.
-    """
-    withl = texts.select("file", F.transform(F.split("text", "\n"), lambda t: F.rtrim(t)).alias("ls"))
+from ..sources.blocks import blocks_of
+from ..sources.frames import assemble
 
-    def count(at):
-        return F.regexp_extract(F.coalesce(F.get("ls", at), F.lit("")), r"^\s*(\d+)(?:\s|$)", 1).try_cast("int")
+_BLOCKS = "file string, frame_idx long, line_no long, ls array<string>"
 
-    empty = F.array().cast("array<int>")
-    # walk the count lines: state is (next start, starts so far)
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size("ls") - 1),
-        F.struct(F.lit(0).alias("next"), empty.alias("starts")),
-        lambda s, i: F.when(
-            i.cast("int") == s["next"],
-            F.when(
-                F.length(F.get("ls", i)) == 0, F.struct((i + 1).cast("int").alias("next"), s["starts"].alias("starts"))
-            ).otherwise(
-                F.struct(
-                    (i + count(i) + 2).cast("int").alias("next"),
-                    F.concat(s["starts"], F.array(i.cast("int"))).alias("starts"),
-                )
-            ),
-        ).otherwise(s),
-    )["starts"]
-    each = withl.select("file", "ls", F.posexplode(walk).alias("frame_idx", "at"))
-    n = F.regexp_extract(F.get("ls", F.col("at")), r"(\d+)", 1).cast("int")
-    rows = F.slice("ls", F.col("at") + 3, n)
-    short = F.raise_error(F.format_string("%s: frame %d is cut short", F.col("file"), F.col("frame_idx")))
-    full = (F.size(rows) == n) & ~F.exists(rows, lambda r: F.length(r) == 0)
-    return from_comment(
-        each.select(
-            "file", F.col("frame_idx").cast("long"), n.alias("natoms"),
-            F.get("ls", F.col("at") + 1).alias("comment"), F.when(full, rows).otherwise(short.cast("array<string>")).alias("rows"),
-        )
-    )
 
+def _marked(blocks: DataFrame) -> DataFrame:
+    """Frames with the fingerprint that ties species to positions (``tied``)."""
+    return fingerprints(assemble(blocks)).drop("loose", "exact", "crowded", "frac")
 
-def _store(batch: DataFrame, batch_id: int, table: str) -> None:
-    """New frames of one batch: not a repeat inside the batch, not stored before; rerunnable.
 
-    The fingerprint with species tied to positions decides, inside a batch and against stored
-    frames alike, so the result does not depend on how files fall into batches.
-    """
-    spark = batch.sparkSession
-    key = ("file", "frame_idx")
-    marked = fingerprints(batch)
-    first = marked.groupBy("tied").agg(F.min(F.struct(*key)).alias("f")).select("tied", "f.*")
-    fresh = marked.join(first, ["tied", *key], "left_semi")
-    try:
-        stored = spark.read.parquet(table)
-    except AnalysisException as err:
-        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        stored = None
-    if stored is not None:
-        # the batch's own folder is left out, so a repeated batch gives the same rows
-        seen = stored.filter(F.col("batch") != batch_id).select("tied").distinct()
-        fresh = fresh.join(seen, "tied", "left_anti")
-    fresh.drop("loose", "exact", "crowded", "frac").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def _stage(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """The frames of one batch, the first of each content in order of file and frame."""
+    marked = _marked(blocks_of(batch))
+    first = F.min_by(F.struct(*marked.columns), F.struct("file", "frame_idx")).alias("row")
+    once = marked.groupBy("tied").agg(first).select("row.*")
+    once.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
-def ingest_stream(spark: SparkSession, path: str, table: str, checkpoint: str, **options):
-    """K1: stream of frame files into a table of unique frames.
+def ingest_stream(spark: SparkSession, path: str, table: str, checkpoint: str, **options) -> StreamingQuery:
+    """K1: new files below ``path`` are added to ``table``, each content once; returns the second query.
 
-    The checkpoint remembers which files were read. Each batch writes its own
-    folder, so a batch repeated after a failure replaces itself.
+    The checkpoint remembers which files were read and which contents passed. A frame that is cut short is an error.
     """
-    texts = (
-        spark.readStream.format("text").options(wholetext="true", **options).load(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    staged = f"{checkpoint}/frames"
+    empty = _marked(spark.createDataFrame([], _BLOCKS))
+    empty.coalesce(1).write.mode("ignore").parquet(f"{staged}/batch=-1")  # the schema, before any file has come
+    rows = spark.readStream.format("text").options(**options).load(path)
+    lines = rows.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.rtrim("value").alias("line")
+    )
+    cutting = (
+        lines.writeStream.foreachBatch(lambda df, i: _stage(df, i, staged))
+        .option("checkpointLocation", f"{checkpoint}/cut")
+        .trigger(availableNow=True)
+        .start()
     )
+    cutting.awaitTermination()
+    frames = spark.readStream.schema(empty.schema).parquet(staged)
     return (
-        frames_of_texts(texts)
-        .writeStream.foreachBatch(lambda df, i: _store(df, i, table))
-        .option("checkpointLocation", checkpoint)
+        frames.dropDuplicates(["tied"])
+        .writeStream.format("parquet")
+        .option("path", table)
+        .option("checkpointLocation", f"{checkpoint}/unique")
         .trigger(availableNow=True)
         .start()
     )
