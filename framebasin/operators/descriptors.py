@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,7 +113,8 @@ def _nearest_by_groups(keyed, ref, names, schema, pivots) -> DataFrame:
             cell = d.argmin(axis=1)
             yield pd.DataFrame({"cell": cell, "r": d[np.arange(len(d)), cell], "vec": pdf["vec"]})
 
-    celled = cut(ref.mapInPandas(assign, "cell int, r double, vec array<double>"), "reference")
+    # equal vectors fold into one, however many there are
+    celled = cut(ref.dropDuplicates(["vec"]).mapInPandas(assign, "cell int, r double, vec array<double>"), "reference")
     stats = celled.groupBy("cell").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("n"))
     rows = stats.collect()  # one row per pivot
     lo, hi, blocks = np.full(pivots, np.inf), np.full(pivots, -np.inf), np.zeros(pivots, int)
@@ -255,44 +257,139 @@ def farthest_points(
     return spark.createDataFrame([(n, *tuple(p), dist) for n, (p, dist) in enumerate(picks)], schema)
 
 
-def coreset_points(sample: DataFrame, vec: str, key: Sequence[str], count: int, parts: int = 64) -> DataFrame:
-    """G12, approximate for very many picks: farthest points per part, then over the union."""
+def coreset_points(
+    sample: DataFrame, vec: str, key: Sequence[str], count: int, per_part: int = 8192, part: Column | None = None
+) -> DataFrame:
+    """G12, approximate for very many samples: farthest points of each part, then over the union, ``step, <key>, dist``.
+
+    Parts hold about ``per_part`` samples and follow the keys (``part``, or their hash), not Spark's partitions, and a
+    part is worked through in the order of its keys: the picks are the same for any partitioning. While the union is
+    larger than a part it is divided again. Picks of a part cover it within twice the best radius, so after L divisions
+    the result covers all samples within 2 L + 2 times the radius of the best ``count`` centres.
+    """
     names = list(key)
     rows = sample.select(*names, F.col(vec).cast("array<double>").alias("vec"))
     schema = rows.schema
 
-    def run(batches):
-        chunk: pd.DataFrame | None = None
-        for pdf in batches:
-            merged = pdf if chunk is None else pd.concat([chunk, pdf], ignore_index=True)
-            chunk = merged
-            if len(chunk) > count:
-                v = _as_matrix(chunk["vec"])
-                d = np.full(len(v), np.inf)
-                take = [0]
-                while len(take) < count:
-                    step = v - v[take[-1]]
-                    d = np.minimum(d, np.sqrt((step * step).sum(axis=1)))
-                    take.append(int(d.argmax()))
-                chunk = chunk.iloc[sorted(set(take))].reset_index(drop=True)
-        if chunk is not None:
-            yield chunk
-
-    local = cut(rows.repartition(parts, *names).sortWithinPartitions(*names).mapInPandas(run, schema), "coreset")
-    return farthest_points(local, "vec", names, count=count)
+    def spread(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values(names, ignore_index=True)
+        v = _as_matrix(chunk["vec"])
+        d, take, at = np.full(len(v), np.inf), [], 0
+        while len(take) < min(count, len(v)):
+            take.append(at)
+            step = v - v[at]
+            d = np.minimum(d, np.sqrt((step * step).sum(axis=1)))
+            d[take] = -1.0
+            at = int(d.argmax())
+        return chunk.iloc[sorted(take)][schema.names]
+
+    n, level = rows.count(), 0
+    while n > per_part or (part is not None and not level):
+        parts = -(-n // per_part)
+        own = part if part is not None and not level else F.pmod(F.xxhash64(*names, F.lit(level)), F.lit(parts))
+        picked = cut(rows.withColumn("__part", own).groupBy("__part").applyInPandas(lambda c: spread(c.drop(columns="__part")), schema), "coreset")
+        left = picked.count()
+        rows, level = picked, level + 1
+        if left == n:  # no part has more samples than picks
+            break
+        n = left
+    return farthest_points(rows, "vec", names, count=count)
+
+
+class _Moments:
+    """Sums over distributed vectors: mean, total variance, and the covariance times a thin matrix."""
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors = vectors
+        found = {r["i"]: r["s"] for r in self._sums(lambda x: np.concatenate([x.sum(axis=0), [len(x)]]))}
+        self.n = int(found[len(found) - 1]) if found else 0
+        self.mean = np.array([found[i] for i in range(len(found) - 1)]) / max(self.n, 1)
+        self.total = None
+
+    def _sums(self, of: Callable[[np.ndarray], np.ndarray]) -> list:
+        """``of`` each batch as one flat array, summed up; as many rows as it has entries come back."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            acc = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lists = batch.column("v")
+                width = lists.value_lengths().to_numpy()
+                if width.min() != width.max():
+                    raise ValueError("vectors of different lengths")
+                new = of(lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                acc = new if acc is None else acc + new
+            if acc is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(acc))), pa.array(acc)], ["i", "s"])
+
+        return self.vectors.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        """Covariance times ``q``."""
+        mean = self.mean
+        shared = self.vectors.sparkSession.sparkContext.broadcast(q)
+
+        def part(x: np.ndarray) -> np.ndarray:
+            c = x - mean
+            return np.concatenate([(c.T @ (c @ shared.value)).ravel(), [(c * c).sum()]])
+
+        found = self._sums(part)
+        flat = np.zeros(len(found))
+        for r in found:
+            flat[r["i"]] = r["s"]
+        self.total = flat[-1] / max(self.n - 1, 1)
+        return flat[:-1].reshape(q.shape) / max(self.n - 1, 1)
+
+
+def principal_components(vectors: DataFrame, k: int, tolerance: float = 1e-10, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Leading ``k`` axes (columns), their variances, the total variance and the mean of distributed vectors (``v``).
+
+    Randomised block Krylov iteration: each pass multiplies a thin block by the covariance, and the axes come from the
+    space that all blocks span, until their residuals are below the tolerance. Only matrices of a few columns reach the
+    driver. An axis points to where its largest entry is positive.
+    """
+    m = _Moments(vectors)
+    d = len(m.mean)
+    k, width = min(k, d), min(d, k + 8)
+    if not d:
+        return np.zeros((0, 0)), np.zeros(0), 0.0, m.mean
+    most = max(96, 8 * width)  # columns kept
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    basis, image = np.zeros((d, 0)), np.zeros((d, 0))
+    while True:
+        new = m.times(block)
+        basis, image = np.hstack([basis, block]), np.hstack([image, new])
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        lead = turn[:, ::-1][:, :k]
+        axes, along, values = basis @ lead, image @ lead, values[::-1]
+        gap = np.linalg.norm(along - axes * values[:k], axis=0)
+        if gap.max() <= tolerance * max(values[0], 1e-300) or basis.shape[1] >= d:
+            break
+        block = new  # what is new in it holds the residuals of all axes so far
+        for _ in range(2):
+            block = block - basis @ (basis.T @ block)
+            u, size, _ = np.linalg.svd(block, full_matrices=False)
+            block = u[:, size > 1e-12 * max(values[0], 1e-300)]
+        if basis.shape[1] + width > most:  # go on from the best directions
+            keep = turn[:, ::-1][:, : 2 * width]
+            basis, image = basis @ keep, image @ keep
+        block = block[:, : d - basis.shape[1]]
+        if not block.shape[1]:
+            break
+    sign = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    return axes * np.where(sign == 0, 1, sign), np.maximum(values[:k], 0), m.total, m.mean
 
 
 def pca(df: DataFrame, k: int = 2, fit_on: DataFrame | None = None, vec: str = "vec") -> tuple[DataFrame, list[float]]:
-    """Centred projection on ``k`` components fitted on ``fit_on``; components are defined up to sign."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def vectors(d: DataFrame) -> DataFrame:
-        return d.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
-
-    base = vectors(fit_on if fit_on is not None else df)
-    centre = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(base)
-    model = PCA(k=k, inputCol="__c", outputCol="__p").fit(centre.transform(base))
-    out = model.transform(centre.transform(vectors(df)))
-    ratio = [float(x) for x in model.explainedVariance]
-    return out.withColumn("pc", vector_to_array("__p")).drop("__v", "__c", "__p"), ratio
+    """Centred projection ``pc`` on ``k`` components fitted on ``fit_on``, and the shares of the variance."""
+    source = (fit_on if fit_on is not None else df).where(F.col(vec).isNotNull())
+    vectors = cut(source.select(F.col(vec).cast("array<double>").alias("v")), "vectors")
+    axes, values, total, mean = principal_components(vectors, k)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def project(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else ((np.asarray(x, float) - mean) @ axes).tolist() for x in v])
+
+    return df.withColumn("pc", project(F.col(vec).cast("array<double>"))), [float(v) / total if total else 0.0 for v in values]

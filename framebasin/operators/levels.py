@@ -11,6 +11,7 @@ from .running import Ordered
 
 # What counts as a rigid shift between two systems.
 SHIFT_MIN, SHIFT_TOL = 0.3, 0.02
+_BIN_ROWS = 5000  # of a gap bin that one task pairs with the whole bin
 
 
 def band_edges(bands: DataFrame, order: Sequence[str] = ("row", "band"), k: str = "k", energy: str = "energy") -> DataFrame:
@@ -69,17 +70,21 @@ def rigid_shift(levels: DataFrame, order: str = "ord") -> DataFrame:
     so gaps are binned and only neighbouring bins meet.
     """
     t = level_table(levels).withColumn("bin", F.floor(F.col("gap") / SHIFT_TOL))
-    a = t.select(
+    # every pair of a crowded bin may be a result; its left rows are dealt to as many tasks as they need
+    counts = t.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / _BIN_ROWS).cast("int").alias("deals"))
+    t = t.join(counts, "bin")
+    around = t.select("system", order, "vbm", "cbm", "gap", F.explode(F.array(*[F.col("bin") + o for o in (-1, 0, 1)])).alias("bin"))
+    a = around.join(counts, "bin").select(
         F.col("system").alias("a"), F.col(order).alias("oa"), F.col("vbm").alias("va"), F.col("cbm").alias("ca"),
-        F.col("gap").alias("ga"), F.explode(F.array(*[F.col("bin") + o for o in (-1, 0, 1)])).alias("bin"),
+        F.col("gap").alias("ga"), "bin", F.pmod(F.xxhash64(order, "system"), F.col("deals")).cast("int").alias("deal"),
     )
     b = t.select(
         F.col("system").alias("b"), F.col(order).alias("ob"), F.col("vbm").alias("vb"), F.col("cbm").alias("cb"),
-        F.col("gap").alias("gb"), "bin",
+        F.col("gap").alias("gb"), "bin", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"),
     )
     dv, dc, dg = F.col("vb") - F.col("va"), F.col("cb") - F.col("ca"), F.col("gb") - F.col("ga")
     return (
-        a.join(b, "bin")
+        a.join(b, ["bin", "deal"])
         .filter(
             (F.col("oa") < F.col("ob"))
             & (F.abs(dv) > SHIFT_MIN)
@@ -107,6 +112,32 @@ def segment_bands(bands: DataFrame, splits: Sequence[float], k: str = "k", both:
     return bands.withColumn("window", F.explode(F.sequence(left, right)))
 
 
+def segment_table(
+    bands: DataFrame, splits: DataFrame, k: str = "k", split: str = "split", by: Sequence[str] = (), both: bool = True, **kw
+) -> DataFrame:
+    """D14 with the splits as a table: windows between the splits of each group ``by``, as :func:`segment_bands`.
+
+    Points and splits are sorted together once; a point's window is the number of splits before it, a running count
+    that is carried over segments where a group is large. A point on splits has a row for each window they bound.
+    """
+    x = F.col(k).cast("double")
+    points = bands.select(*by, x.alias("__x"), F.lit(0).alias("__s"), F.struct(*bands.columns).alias("__row"), F.monotonically_increasing_id().alias("__id"))
+    folded = splits.groupBy(*by, F.col(split).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = folded.select(
+        *by, "__x", F.col("__n").alias("__s"), F.lit(None).cast(points.schema["__row"].dataType).alias("__row"), F.lit(-1).cast("long").alias("__id")
+    )
+    rows = points.withColumn("__s", F.lit(0).cast("long")).unionByName(cuts)
+    # at equal places the split comes after the points: it doesn't count as before them
+    o = Ordered(rows, list(by), ["__x", F.col("__id") < 0, "__id"], **kw).running_sum({"__left": F.col("__s")})
+    counted = o.result().where("__id >= 0").select(*by, "__x", "__row", F.col("__left").cast("int").alias("__left"))
+    if not both:
+        return counted.select("__row.*", F.col("__left").alias("window"))
+    on = [counted["__x"] == F.col("__at"), *[counted[c].eqNullSafe(F.col(f"__by_{c}")) for c in by]]
+    met = counted.join(folded.select(F.col("__x").alias("__at"), "__n", *[F.col(c).alias(f"__by_{c}") for c in by]), on, "left")
+    last = F.col("__left") + F.coalesce("__n", F.lit(0)).cast("int")
+    return met.select("__row.*", F.explode(F.sequence("__left", last)).alias("window"))
+
+
 def interval_mean(df: DataFrame, lo: float, hi: float, x: str = "z", y: str = "value", by: Sequence[str] = ()) -> DataFrame:
     """Mean over a closed interval, NULL if nothing lies in it."""
     return df.groupBy(*by).agg(F.avg(F.when(F.col(x).between(lo, hi), F.col(y))).alias("mean"))

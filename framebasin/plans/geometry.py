@@ -561,13 +561,55 @@ def fps(spark, sf):
     return out.withColumn("dist", rnd("dist"))
 
 
-@query("fps_coreset")
+_CORE = """WITH RECURSIVE v AS (SELECT vec_id AS id, vec_id % 8 AS part, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  w AS (
+    SELECT 0 AS step, id, part, e, CAST('inf' AS DOUBLE) AS d, CAST(NULL AS BIGINT) AS pick FROM v
+    UNION ALL
+    SELECT w.step + 1, w.id, w.part, w.e, CASE WHEN w.id = p.id OR w.d < 0 THEN -1 ELSE least(w.d, list_distance(w.e, p.e)) END, p.id
+    FROM w JOIN (SELECT DISTINCT ON (part) part, id, e FROM w ORDER BY part, d DESC, id) p ON w.part = p.part WHERE w.step < 40),
+  u AS (SELECT id, e FROM v WHERE id IN (SELECT pick FROM w)),
+  x AS (
+    SELECT 0 AS step, id, e, CAST('inf' AS DOUBLE) AS d, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS DOUBLE) AS pd FROM u
+    UNION ALL
+    SELECT x.step + 1, x.id, x.e, CASE WHEN x.id = p.id OR x.d < 0 THEN -1 ELSE least(x.d, list_distance(x.e, p.e)) END, p.id, p.d
+    FROM x, (SELECT id, e, d FROM x ORDER BY d DESC, id LIMIT 1) p WHERE x.step < 40)
+  SELECT CAST(step - 1 AS INTEGER) AS step, pick AS vec_id, CASE WHEN step > 1 THEN round(max(pd), 6) END AS dist FROM x WHERE step > 0 GROUP BY step, pick"""
+
+
+@query("fps_coreset", _CORE)
 def fps_coreset(spark, sf):
     emb = table(spark, sf, "embeddings")
-    return ds.coreset_points(emb, "embedding", ["vec_id"], count=40, parts=8)
+    out = ds.coreset_points(emb, "embedding", ["vec_id"], count=40, part=F.col("vec_id") % 8)
+    return out.withColumn("dist", rnd("dist"))
 
 
-@query("pca")
+def _pca_sql(squarings: int = 14) -> str:
+    """Two axes by squaring the covariance again and again, the second after the first is taken out of it."""
+    out = [
+        "d AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+        "mu AS (SELECT i, avg(v) AS m FROM d GROUP BY 1)",
+        "c AS MATERIALIZED (SELECT vec_id, i, v - m AS v FROM d JOIN mu USING (i))",
+        "nv AS (SELECT count(DISTINCT vec_id) - 1 AS n FROM d)",
+        "c1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / any_value(n) AS x FROM c a JOIN c b USING (vec_id), nv GROUP BY 1, 2)",
+    ]
+    for axis in (1, 2):
+        out.append(f"m{axis}_0 AS MATERIALIZED (SELECT i, j, x / max(abs(x)) OVER () AS x FROM c{axis})")
+        for t in range(squarings):
+            square = f"SELECT a.i, b.j, sum(a.x * b.x) AS x FROM m{axis}_{t} a JOIN m{axis}_{t} b ON a.j = b.i GROUP BY 1, 2"
+            out.append(f"m{axis}_{t + 1} AS MATERIALIZED (SELECT i, j, x / max(abs(x)) OVER () AS x FROM ({square}))")
+        last = f"m{axis}_{squarings}"
+        out.append(f"w{axis} AS MATERIALIZED (SELECT i, x FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j))")
+        out.append(f"v{axis} AS MATERIALIZED (SELECT i, x / sqrt((SELECT sum(x * x) FROM w{axis})) AS x FROM w{axis})")
+        out.append(f"l{axis} AS MATERIALIZED (SELECT sum(a.x * c{axis}.x * b.x) AS l FROM c{axis} JOIN v{axis} a ON a.i = c{axis}.i JOIN v{axis} b ON b.i = c{axis}.j)")
+        if axis == 1:
+            out.append("c2 AS MATERIALIZED (SELECT c1.i, c1.j, c1.x - l * a.x * b.x AS x FROM c1 JOIN v1 a ON a.i = c1.i JOIN v1 b ON b.i = c1.j, l1)")
+    out.append("tr AS (SELECT sum(x) AS t FROM c1 WHERE i = j)")
+    return f"""WITH {", ".join(out)}
+        SELECT vec_id, round(abs(sum(c.v * v1.x)), 6) AS pc1, round(abs(sum(c.v * v2.x)), 6) AS pc2, any_value(round(l1.l / t, 6)) AS ratio1, any_value(round(l2.l / t, 6)) AS ratio2
+        FROM c JOIN v1 ON v1.i = c.i JOIN v2 ON v2.i = c.i, l1, l2, tr GROUP BY 1"""
+
+
+@query("pca", _pca_sql())
 def pca(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     out, ratio = ds.pca(emb, 2)

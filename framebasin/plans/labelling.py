@@ -407,6 +407,22 @@ def segment_bands_one_sided(spark, sf):
     return out.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "segment_bands_table",
+    f"""WITH b AS (SELECT p_partkey AS row, p_size AS k, p_partkey % 5 AS g, p_retailprice - 950.05 AS e FROM part),
+        s AS (SELECT s_nationkey % 5 AS g, s_suppkey % 50 + CASE s_suppkey % 2 WHEN 0 THEN 0.5 ELSE 0 END AS x FROM supplier),
+        w AS (SELECT row, e, (SELECT count(*) FROM s WHERE s.g = b.g AND s.x < b.k) AS lo, (SELECT count(*) FROM s WHERE s.g = b.g AND s.x <= b.k) AS hi FROM b),
+        u AS (SELECT row, e, unnest(range(lo, hi + 1)) AS "window" FROM w)
+        SELECT row, CAST("window" AS INTEGER) AS "window", round(e, 4) AS energy FROM u""",
+)
+def segment_bands_table(spark, sf):
+    bands = _bands(spark, sf).withColumn("g", F.col("row") % 5)
+    odd = F.col("s_suppkey") % 2 == 0
+    place = F.col("s_suppkey") % 50 + F.when(odd, 0.5).otherwise(0.0)
+    splits = table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("g"), place.alias("split"))
+    return lv.segment_table(bands, splits, by=["g"]).select("row", "window", rnd("energy", 4).alias("energy"))
+
+
 def _levels(spark, sf):
     gap = 1.0 + F.col("s_nationkey") * 0.015
     return table(spark, sf, "supplier").select(

@@ -13,7 +13,7 @@ NAMES = (
 
 def test_every_sql_belongs_to_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"fps_coreset", "pca", "rdf_spline_minimum"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"rdf_spline_minimum"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables are absent")

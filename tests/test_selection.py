@@ -116,11 +116,86 @@ def test_pca_matches_svd(spark):
     assert np.allclose(ratio, (s**2 / (s**2).sum())[:2])
 
 
-def test_coreset_spreads_picks(spark):
+def test_principal_axes_of_close_variances(spark):
+    rng = np.random.default_rng(3)
+    turn = np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    m = (rng.normal(size=(400, 40)) * np.linspace(2.0, 1.0, 40)) @ turn + 5
+    want, turned = np.linalg.eigh(np.cov(m.T))
+    v = vectors(spark, m).select(F.col("vec").alias("v")).repartition(5)
+    axes, values, total, mean = ds.principal_components(v, 3)
+    assert np.allclose(values, want[::-1][:3], rtol=1e-9) and np.isclose(total, want.sum()) and np.allclose(mean, m.mean(0))
+    assert np.allclose(np.abs((axes * turned[:, ::-1][:, :3]).sum(0)), 1, atol=1e-9)
+    wide = rng.normal(size=(300, 150))
+    want = np.linalg.eigvalsh(np.cov(wide.T))[::-1]
+    _, values, _, _ = ds.principal_components(vectors(spark, wide).select(F.col("vec").alias("v")), 2)
+    assert np.allclose(values, want[:2], rtol=1e-9)
+    flat = vectors(spark, np.tile([1.0, 2.0, 3.0], (7, 1)))
+    out, ratio = ds.pca(flat, 2)
+    assert ratio == [0.0, 0.0] and all(np.allclose(r["pc"], 0) for r in out.collect())
+
+
+def test_coreset_is_the_same_for_any_partitioning(spark):
     rng = np.random.default_rng(2)
-    m = rng.normal(size=(300, 3))
-    got = ds.coreset_points(vectors(spark, m), "vec", ["id"], count=20, parts=4).collect()
-    assert len({r["id"] for r in got}) == 20
+    m = np.round(rng.normal(size=(300, 3)), 1)
+    v = vectors(spark, m)
+
+    def picks(df, **kw):
+        return [r["id"] for r in ds.coreset_points(df, "vec", ["id"], count=20, **kw).orderBy("step").collect()]
+
+    assert picks(v) == naive_fps(m, np.zeros((0, 3)), 20)  # one part: exact
+    parted = picks(v, per_part=60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert picks(v.repartition(9), per_part=60) == parted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    union = []
+    for p in range(4):
+        mine = [i for i in range(300) if i % 4 == p]
+        union += [mine[j] for j in naive_fps(m[mine], np.zeros((0, 3)), 20)]
+    union.sort()
+    want = [union[j] for j in naive_fps(m[union], np.zeros((0, 3)), 20)]
+    assert picks(v, part=F.col("id") % 4) == want
+
+    def radius(ids):
+        return np.sqrt(((m[:, None] - m[ids][None]) ** 2).sum(-1)).min(1).max()
+
+    assert radius(parted) <= 4 * radius(naive_fps(m, np.zeros((0, 3)), 20))
+
+
+def test_windows_of_a_table_of_splits(spark):
+    from framebasin.operators import levels as lv
+
+    rng = np.random.default_rng(6)
+    points = [(int(i), int(rng.integers(3)) or None, float(rng.integers(8))) for i in range(200)]
+    splits = [(int(rng.integers(3)) or None, float(rng.integers(16)) / 2) for _ in range(20)]
+    b = spark.createDataFrame(points, "id long, g long, k double").repartition(3)
+    s = spark.createDataFrame(splits, "g long, split double")
+    for kw in ({}, {"hot_rows": 10}):
+        got = sorted((r.id, r.window) for r in lv.segment_table(b, s, by=["g"], **kw).collect())
+        want = []
+        for i, g, x in points:
+            mine = [v for h, v in splits if h == g]
+            want += [(i, w) for w in range(sum(v < x for v in mine), sum(v <= x for v in mine) + 1)]
+        assert got == sorted(want)
+        one = sorted((r.id, r.window) for r in lv.segment_table(b, s, by=["g"], both=False, **kw).collect())
+        assert one == sorted((i, sum(v < x for h, v in splits if h == g)) for i, g, x in points)
+
+
+def test_shift_pairs_of_a_crowded_gap(spark, monkeypatch):
+    from framebasin.operators import levels as lv
+
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i}", i, float(v), float(v + g)) for i, (v, g) in enumerate(zip(rng.uniform(-6, -4, 150), rng.choice([1.0, 1.01, 1.5], 150), strict=True))]
+    want = {
+        (a[0], b[0]) for a in rows for b in rows
+        if a[1] < b[1] and abs(b[2] - a[2]) > 0.3 and abs((b[2] - a[2]) - (b[3] - a[3])) < 0.02 and abs((b[3] - b[2]) - (a[3] - a[2])) < 0.02
+    }
+    df = spark.createDataFrame(rows, "system string, ord int, vbm double, cbm double")
+    for size in (7, 5000):
+        monkeypatch.setattr(lv, "_BIN_ROWS", size)
+        got = [(r.a, r.b) for r in lv.rigid_shift(df).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_factors_keep_small_targets_and_shape(spark):
