@@ -80,7 +80,7 @@ class Rules:
     low: float = 0.01  # quantile of the clean labelled rows that is a derived floor
     least: int = 50  # clean labelled rows behind a derived floor
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
-    cached_words: int = 100_000  # distinct words a task keeps encoded
+    cached_words: int = 50_000  # distinct words a task keeps encoded
 
 
 STATS = T.StructType(
@@ -106,8 +106,10 @@ class Fertility:
         if len(self.known) > self.most:
             self.known.clear()
         new = list({w for w in texts if w not in self.known})
-        for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            self.known[w] = np.array(ids, np.int32)
+        for at in range(0, len(new), 4096):  # the encoder's lists are many times larger than the arrays kept
+            some = new[at : at + 4096]
+            for w, ids in zip(some, self.model.encode(some, num_threads=1), strict=True):
+                self.known[w] = np.array(ids, np.int32)
         return [self.known[w] for w in texts]
 
 
@@ -205,6 +207,8 @@ def with_statistics(docs: DataFrame, rules: Rules, into: str, text: str = "text"
         for batch in slices(batches, text):
             stats = _measure(pc.cast(batch.column(text), pa.large_string()), fertility)
             yield pa.RecordBatch.from_arrays([*batch.columns, stats], [*batch.schema.names, into])
+        del fertility
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages, what it held should not
 
     return docs.mapInArrow(run, schema)
 
