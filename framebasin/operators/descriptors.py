@@ -36,12 +36,13 @@ def with_descriptor(frames: DataFrame, load: Callable[[], Callable], dim_col: st
 
 
 def mean_descriptor(rows: DataFrame, by: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Mean vector per frame of per-atom vectors (map-side averages per dimension)."""
-    dims = rows.select(*by, F.posexplode(vec).alias("dim", "v"))
-    means = dims.groupBy(*by, "dim").agg(F.avg("v").alias("v"))
-    # one entry per dimension
-    packed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("e"))
-    return packed.select(*by, F.transform("e", lambda x: x["v"]).alias(vec))
+    """Mean vector per frame of per-atom vectors; whole vectors are summed up before they are shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = rows.where(F.col(vec).isNotNull()).select(*by, array_to_vector(F.col(vec).cast("array<double>")).alias("__v"))
+    means = vectors.groupBy(*by).agg(Summarizer.mean(F.col("__v")).alias("__v"))
+    return means.select(*by, vector_to_array("__v").alias(vec))
 
 
 def _as_matrix(col) -> np.ndarray:

@@ -258,26 +258,40 @@ def _aligned(left: DataFrame, right: DataFrame, on: Sequence[str], what: str) ->
     return marked.filter(F.when(ok, True).otherwise(fail.cast("boolean"))).drop("__left", "__right")
 
 
+_FORCE_BLOCK = 512  # force rows that travel together
+
+
 def relabel_forces(frames: DataFrame, force: DataFrame) -> DataFrame:
-    """Force rows by position over all atoms of the corpus; row counts must agree."""
+    """Force rows by position over all atoms of the corpus; row counts must agree.
+
+    Force rows are packed into blocks of consecutive rows; a frame takes its slice of the blocks that hold it, so atoms
+    stay in their row and nothing is joined atom by atom.
+    """
     based = frames if "atom_base" in frames.columns else with_atom_base(frames)
-    atoms = (
-        based.select("frame_no", "atom_base", F.inline("atoms"))
-        .drop("fx", "fy", "fz")
-        .withColumn("atom_no", F.col("atom_base") + F.col("atom_idx"))
-    )
-    rows = force.select(
-        F.col("row_no").alias("atom_no"),
-        *[F.get("values", F.lit(k)).alias(c) for k, c in enumerate(("fx", "fy", "fz"))],
+    base, n, size = F.col("atom_base"), F.col("natoms"), F.lit(_FORCE_BLOCK)
+    row = F.struct("row_no", *[F.get("values", F.lit(k)).alias(c) for k, c in enumerate(("fx", "fy", "fz"))])
+    blocks = force.groupBy(F.floor(F.col("row_no") / size).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    held = F.sequence(F.floor(base / size), F.floor((base + F.greatest(n, F.lit(1)) - 1) / size))
+    asked = based.select("frame_no", "atom_base", "natoms", F.explode(held).alias("block"))
+    start = F.col("block") * size
+    first, last = F.greatest(base, start) - start, F.least(base + n, start + size) - start
+    piece = F.slice("rows", (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
+    own = asked.join(blocks, "block", "left").groupBy("frame_no").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", F.coalesce(piece, F.array().cast("array<struct<row_no:bigint,fx:double,fy:double,fz:double>>")).alias("p")))), lambda p: p["p"])).alias("__f")
     )
-    fields = ("atom_idx", "species", "x", "y", "z", "fx", "fy", "fz")
-    # the atoms of one frame return to their row
-    back = (
-        _aligned(atoms, rows, ["atom_no"], "force rows")
-        .groupBy("frame_no")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("atoms"))
-    )
-    return based.drop("atoms", "atom_base").join(back, "frame_no")
+    atoms, rows = based.agg(F.coalesce(F.sum("natoms"), F.lit(0))).first()[0], force.count()
+    if atoms != rows:
+        raise ValueError(f"row counts differ: {atoms} atoms in the frames, {rows} force rows")
+    met = based.join(own, "frame_no")
+    dense = (F.size("__f") == n) & F.forall(F.transform("__f", lambda r, i: r["row_no"] == base + i), lambda x: x)
+    fail = F.raise_error(F.format_string("row counts differ: force rows of frame %d are missing or repeated", F.col("frame_no")))
+
+    def one(a: Column) -> Column:
+        f = F.get("__f", a["atom_idx"])
+        return a.withField("fx", f["fx"]).withField("fy", f["fy"]).withField("fz", f["fz"])
+
+    labelled = F.when(dense, F.transform("atoms", one)).otherwise(fail.cast(based.schema["atoms"].dataType))
+    return met.select(*[c for c in based.columns if c not in ("atoms", "atom_base")], labelled.alias("atoms"))
 
 
 def map_types(atoms: DataFrame, symbols: Sequence[str], code: str = "type", base: int = 0) -> DataFrame:

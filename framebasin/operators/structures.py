@@ -131,9 +131,9 @@ def factors_under_cap(frames: DataFrame, cap: int) -> DataFrame:
 
 
 def _uniform(seed: int, *parts: Column) -> Column:
-    """Reproducible number in [0, 1) from row keys, independent of partitioning."""
-    h = F.xxhash64(F.lit(seed), *parts)
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    """Reproducible number in [0, 1) from row keys, independent of partitioning: 52 bits of the MD5 of seed and keys."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def decorate(

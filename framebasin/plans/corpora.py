@@ -147,6 +147,24 @@ def read_tolerant(spark, sf):
     return got.select("frame_no", "natoms", rnd("energy", 8).alias("energy"), rnd(sx, 8).alias("sx"))
 
 
+@query(
+    "merge_status",
+    f"""WITH b AS (SELECT vec_id // {_PER_FILE} AS bucket, vec_id FROM embeddings)
+        SELECT bucket, CASE bucket % 4 WHEN 2 THEN 'empty' WHEN 3 THEN 'invalid' ELSE 'ok' END AS status,
+          CASE WHEN bucket % 4 > 1 THEN 0 WHEN bucket % 4 = 1 THEN count(*) FILTER (WHERE vec_id % 2 = 0) ELSE count(*) END AS frames,
+          CASE WHEN bucket % 4 = 1 THEN count(*) FILTER (WHERE vec_id % 2 = 1) ELSE 0 END AS bad FROM b GROUP BY 1""",
+)
+def merge_status(spark, sf):
+    kind = F.col("bucket") % 4
+    frame = F.concat(F.lit("1\ntag="), _s(F.col("vec_id")), F.when((kind == 1) & (F.col("vec_id") % 2 == 1), "").otherwise("\nMo 0 0 0"))
+    value = F.when(kind == 2, "").when(kind == 3, "no frames here").otherwise(frame)
+    rows = _emb(spark, sf).select("bucket", "vec_id", value.alias("value"))
+    path = si.derive_files(rows, "merge", "vec_id")
+    got = fr_src.merge_status(spark, path, recursiveFileLookup="true")
+    bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
+    return got.select(bucket.alias("bucket"), "status", "frames", "bad")
+
+
 @query(
     "discover",
     f"SELECT DISTINCT CAST(vec_id // {_PER_FILE} AS INTEGER) AS file_ord, 'bucket=' || (vec_id // {_PER_FILE}) AS folder FROM embeddings",
@@ -183,14 +201,14 @@ def read_xdatcar(spark, sf):
 
 @query(
     "read_cfg",
-    """WITH f AS (SELECT vec_id, i.range AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, range(5) i)
+    """WITH f AS (SELECT vec_id, i.range AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, range(10) i)
        SELECT vec_id, CAST(i AS INTEGER) AS atom_idx, CASE (vec_id + i) % 3 WHEN 0 THEN 'Mo' WHEN 1 THEN 'Te' ELSE 'Li' END AS species, round(e[i+1], 8) AS x, round(e[i+31], 8) AS fz,
          round(e[64], 8) AS energy, round(e[60], 8) AS v_xy, round(4.0::DOUBLE + e[1], 8) AS a_x FROM f""",
 )
 def read_cfg(spark, sf):
     emb = _emb(spark, sf)
     atoms = F.transform(
-        F.sequence(F.lit(4), F.lit(0), F.lit(-1)),
+        F.sequence(F.lit(9), F.lit(0), F.lit(-1)),
         lambda i: F.concat_ws(
             " ", _s(i + 1), _s((F.col("vec_id") + i) % 3), _s(F.get("e", i)), _s(F.get("e", i + 10)), _s(F.get("e", i + 20)),
             F.lit("0.5"), F.lit("0.25"), _s(F.get("e", i + 30)), F.lit("0.1"),
@@ -198,7 +216,7 @@ def read_cfg(spark, sf):
     )
     stress = F.concat_ws(" ", *[_s(F.get("e", F.lit(k))) for k in (54, 55, 56, 57, 58, 59)])
     value = F.concat_ws(
-        "\n", F.lit("BEGIN_CFG"), F.lit(" Size"), F.lit("    5"), F.lit(" Supercell"),
+        "\n", F.lit("BEGIN_CFG"), F.lit(" Size"), F.lit("    10"), F.lit(" Supercell"),
         F.concat_ws(" ", _s(4.0 + F.get("e", F.lit(0))), F.lit("0 0")), F.lit("0 5 0"), F.lit("0 0 6"),
         F.lit(" AtomData:  id type cartes_x cartes_y cartes_z fx fy fz site_en"), F.array_join(atoms, "\n"),
         F.lit(" EnergyWeight"), F.lit("  2.0"), F.lit(" Energy"), _s(F.get("e", F.lit(63))),

@@ -441,14 +441,21 @@ def factors_under_cap(spark, sf):
     return st.factors_under_cap(fr, 80).select("frame_idx", "fa", "fb", "fc", "note")
 
 
+_DRAW = "CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 @query(
     "decorate_random",
-    f"""WITH {FRAMES_SQL}, z AS (SELECT frame_idx, max(z) AS top, min(z) AS low FROM fatoms WHERE species = 'Te' GROUP BY 1)
-        SELECT frame_idx, 4 AS added, 25 AS natoms FROM z""",
+    f"""WITH {FRAMES_SQL}, z AS (SELECT frame_idx, max(z) AS top, min(z) AS low FROM fatoms WHERE species = 'Te' GROUP BY 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY {_DRAW.format(text="'5:0:' || frame_idx || ':' || atom_idx")}, atom_idx) AS rn FROM fatoms WHERE species = 'Te'),
+        p AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY atom_idx) AS k FROM r WHERE rn <= 4)
+        SELECT frame_idx, CAST(20 + k AS INTEGER) AS atom_idx, 'Al' AS species, round(x, 6) AS x, round(y, 6) AS y, round(z + 50.0, 6) AS z
+        FROM p WHERE frame_idx IN (SELECT frame_idx FROM z WHERE low + 50.0 > top)""",
 )
 def decorate_random(spark, sf):
-    out = st.decorate(si.frames(spark, sf), "Al", "Te", 50.0, "random", 0.5, seed=5)
-    return out.filter("status = 'ok'").select("frame_idx", "added", "natoms")
+    out = st.decorate(si.frames(spark, sf), "Al", "Te", 50.0, "random", 0.5, seed=5).filter("status = 'ok'")
+    rows = out.select("frame_idx", F.inline("atoms")).where("atom_idx >= 21")
+    return rows.select("frame_idx", "atom_idx", "species", *[rnd(c).alias(c) for c in "xyz"])
 
 
 @query(
@@ -475,20 +482,26 @@ def decorate_checker(spark, sf):
     return out.select("frame_idx", "status", "added", "natoms", rnd(total).alias("sum_z"))
 
 
+def _salted(*salt: str) -> str:
+    return _DRAW.format(text="'9:0:' || frame_idx || ':' || copy || ':" + ":".join(salt) + "'")
+
+
+_STRAIN = ", ".join(f"({_salted('strain', str(q))} * 2 - 1) * 0.04 AS e{q}" for q in range(6))
+_BALL = "'9:0:' || frame_idx || ':' || copy || ':{salt}:' || atom_idx"
+
+
 @query(
     "perturb",
-    """SELECT vec_id AS frame_idx, CAST(c.range + 1 AS INTEGER) AS copy, 21 AS natoms, true AS near, true AS strained
-       FROM embeddings, range(3) c""",
+    f"""WITH {FRAMES_SQL}, c AS (SELECT fatoms.*, CAST(t.range + 1 AS INTEGER) AS copy FROM fatoms, range(3) t),
+        u AS (SELECT *, {_STRAIN}, {_DRAW.format(text=_BALL.format(salt='z'))} * 2 - 1 AS uz, {_DRAW.format(text=_BALL.format(salt='phi'))} * (2 * pi()) AS phi FROM c)
+        SELECT frame_idx, copy, atom_idx, round(x * (1 + e0) + y * (e5 / 2) + z * (e4 / 2) + 0.2::DOUBLE * sqrt(1 - uz * uz) * cos(phi), 6) AS x,
+          round(x * (e5 / 2) + y * (1 + e1) + z * (e3 / 2) + 0.2::DOUBLE * sqrt(1 - uz * uz) * sin(phi), 6) AS y,
+          round(x * (e4 / 2) + y * (e3 / 2) + z * (1 + e2) + 0.2::DOUBLE * uz, 6) AS z, round(la * (1 + e0), 6) AS a_x, round(la * (e4 / 2), 6) AS a_z FROM u""",
 )
 def perturb(spark, sf):
-    fr = si.frames(spark, sf)
-    out = st.perturb(fr.withColumn("old", F.col("atoms")).withColumn("cell0", F.col("lattice")), 3, 0.0, 0.2, "const", seed=9)
-    gap = F.zip_with(
-        "old", "atoms",
-        lambda p, q: F.sqrt((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 + (p["z"] - q["z"]) ** 2),
-    )
-    near = F.forall(gap, lambda d: F.abs(d - 0.2) < 1e-9)
-    return out.select("frame_idx", "copy", "natoms", near.alias("near"), (F.col("lattice") == F.col("cell0")).alias("strained"))
+    out = st.perturb(si.frames(spark, sf), 3, 0.04, 0.2, "const", seed=9)
+    rows = out.select("frame_idx", "copy", F.get("lattice", F.lit(0)).alias("a_x"), F.get("lattice", F.lit(2)).alias("a_z"), F.inline("atoms"))
+    return rows.select("frame_idx", "copy", "atom_idx", *[rnd(c).alias(c) for c in ("x", "y", "z", "a_x", "a_z")])
 
 
 # -- descriptors ------------------------------------------------------------------------

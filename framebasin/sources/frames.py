@@ -157,6 +157,23 @@ def validate_frames(rows: DataFrame) -> DataFrame:
     )
 
 
+def merge_status(spark: SparkSession, paths, **options) -> DataFrame:
+    """H1: what a merge takes from each file: ``file, status, frames, bad``; status is ok, empty or invalid.
+
+    A file without any line of text is empty, one without a good frame invalid; ``bad`` counts frames that are left out.
+    """
+    files = list_files(spark, paths, **options).select("file")
+    found = validate_blocks(frame_blocks(spark, paths, strict=False, **options))
+    good = F.col("status") == "good"
+    counts = found.groupBy("file").agg(F.count_if(good).alias("frames"), F.count_if(~good).alias("bad"))
+    lines = (spark.read.options(**options) if options else spark.read).text(paths)
+    written = lines.where(F.length(F.trim("value")) > 0).select(F.col("_metadata.file_path").alias("file")).distinct().withColumn("written", F.lit(True))
+    met = files.join(counts, "file", "left").join(written, "file", "left")
+    none = F.lit(0).cast("long")
+    status = F.when(F.col("written").isNull(), "empty").when(F.coalesce("frames", none) == 0, "invalid").otherwise("ok")
+    return met.select("file", status.alias("status"), F.coalesce("frames", none).alias("frames"), F.coalesce("bad", none).alias("bad"))
+
+
 def renumber(frames: DataFrame) -> DataFrame:
     """frames of each file numbered from 0 again."""
     ranked = group_rank(frames.withColumnRenamed("frame_idx", "__old"), ["file"], ["__old"], "frame_idx")
