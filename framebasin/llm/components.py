@@ -1,4 +1,9 @@
-"""Connected components of an edge table by hooking and jumping, as DataFrame joins."""
+"""Connected components of an edge table by hooking and jumping, as DataFrame joins.
+
+Defined results: edges with a null end join nothing and are left out, loops and repeated edges change nothing, labels of
+no edge have no row. Edges that all meet in one label cost one round. An empty table gives an empty result. Extra columns
+are ignored.
+"""
 
 from __future__ import annotations
 
