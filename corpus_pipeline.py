@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between two stages the rows are written as Parquet and
 read again. All stages but the last return the columns of ``docs``; the last adds ``mix_passes``, how often the
 mix reads the document, and ``mix_finish``, its place in the queue.
+
+Defined results: a null or empty text has no words, so the base rule of the first stage drops it. Null ids, sources and
+languages stay as they are: rows without an id are judged like others, are never the source of a passage, and a null
+source is one source of the mix. Of repeated rows one stays. Texts of any length are worked through whole, in slices. An
+empty table passes all stages as an empty table. Extra columns stay, whatever their names, but for the two that the mix
+adds and replaces.
 """
 
 from __future__ import annotations
