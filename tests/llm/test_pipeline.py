@@ -1,7 +1,7 @@
 """The whole pipeline over a small corpus with planted cases."""
 
 import corpus_pipeline
-from conftest_llm import DOCS, doc_row, edited, prose, words_of
+from conftest_llm import DOCS, doc_row, prose, words_of
 
 PASSAGE = " ".join(f"passage{k}" for k in range(60))
 ITEM = "What holds the red lamp above the old harbour gate? A chain of nine copper rings holds the red lamp there."
@@ -9,8 +9,10 @@ ITEM = "What holds the red lamp above the old harbour gate? A chain of nine copp
 
 def corpus(spark, path):
     clean = [doc_row(k, prose(k, 220), source="ab"[k % 2]) for k in range(90)]
+    near = clean[6][1].split(" ")
+    near[50], near[150] = "changed", "too"
     rows = [
-        *clean, doc_row(200, clean[5][1]), doc_row(201, edited(clean[6][1], 1, 0.01)),
+        *clean, doc_row(200, clean[5][1]), doc_row(201, " ".join(near)),
         doc_row(203, f"{prose(303, 150)} {PASSAGE} {prose(304, 150)}"), doc_row(204, f"{prose(305, 150)} {PASSAGE} {prose(306, 120)}"),
         doc_row(205, f"{prose(307, 150)} {ITEM} {prose(308, 150)}"), doc_row(206, "a " * 300), doc_row(207, prose(309, 10)),
         doc_row(208, None), doc_row(None, prose(310, 200), None, None),
