@@ -36,10 +36,15 @@ from .frames import _REST, carry, restore, slices
 from .words import grams, mix, signed, words
 
 
-_BUCKET_BYTES = 16 << 20  # of full sets that one task compares
+_BUCKET_BYTES = 4 << 20  # of full sets that one task compares
 _FEW = 1 << 20  # rows of three numbers that may be broadcast
 
 
+def _give_back() -> None:
+    """What Arrow holds for reuse goes back at the end of a task; workers live on through many stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def _few(table: DataFrame) -> DataFrame:
     """A written table of ids, broadcast if counting shows that it is small; joined by a shuffle otherwise."""
     return F.broadcast(table) if table.count() <= _FEW else table
@@ -108,6 +113,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
                 ],
                 ["doc_id", "text_hash", "n", "d1", "d2", "minima", "sketch"],
             )
+        _give_back()
 
     schema = "doc_id long, text_hash long, n long, d1 long, d2 long, minima long, sketch binary"
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
@@ -211,6 +217,7 @@ class _Sets:
             for batch in slices(batches, "text"):
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "items"])
+            _give_back()
 
         new = cut(texts.select("id", "text").mapInArrow(build, "id long, items binary"), "sets")
         self.have = new if self.have is None else self.have.union(new)
@@ -225,16 +232,18 @@ class _Sets:
         right = from_y.select(F.col("id").alias("y"), "items").withColumn("bucket", bucket("y")).select(F.col("bucket").alias("bucket"), "y", "items")
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-            held = dict(zip(right["y"].to_pylist(), right["items"].to_pylist(), strict=True))
+            views = lambda column: [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+            held = dict(zip(right["y"].to_pylist(), views(right["items"]), strict=True))
             xs, ys = [], []
-            for x, items, partners in zip(*(left[c].to_pylist() for c in ("x", "mine", "ys")), strict=True):
-                mine = np.frombuffer(items, np.uint64)
+            for x, mine, partners in zip(left["x"].to_pylist(), (np.frombuffer(v.as_buffer(), np.uint64) for v in left["mine"]), left["ys"].to_pylist(), strict=True):
                 for y in partners:
-                    other = np.frombuffer(held[y], np.uint64)
+                    other = held[y]
                     both = len(np.intersect1d(mine, other, assume_unique=True))
                     if 100 * both >= percent * (len(mine) + len(other) - both):
                         xs.append(x)
                         ys.append(y)
+            del held
+            _give_back()
             return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
         left = left.select("bucket", "x", "mine", "ys").alias("l")
