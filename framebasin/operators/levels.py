@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .running import Ordered
 
 # What counts as a rigid shift between two systems.
 SHIFT_MIN, SHIFT_TOL = 0.3, 0.02
-_BIN_ROWS = 5000  # of a gap bin that one task pairs with the whole bin
+_BIN_ROWS = 5000  # of a gap bin in one block
+_MAX_TASKS = 20_000  # that pairs of blocks are spread over; a task takes several beyond that
 
 
 def band_edges(bands: DataFrame, order: Sequence[str] = ("row", "band"), k: str = "k", energy: str = "energy") -> DataFrame:
@@ -66,33 +68,53 @@ def band_offsets(levels: DataFrame, pairs: DataFrame) -> DataFrame:
 def rigid_shift(levels: DataFrame, order: str = "ord") -> DataFrame:
     """Pairs with equal gap and both edges moved alike.
 
-    Two systems can only pair if their gaps differ by less than the tolerance,
-    so gaps are binned and only neighbouring bins meet.
+    Two systems can only pair if their gaps differ by less than the tolerance, so gaps are binned and only
+    neighbouring bins meet. Every pair of a crowded bin may be a result, so a bin is dealt into blocks; two blocks of
+    one bin, or of a bin and the next, meet in a cell, each pair of rows in one. The table is small beside its pairs:
+    cells are spread by their number, not by bytes.
     """
     t = level_table(levels).withColumn("bin", F.floor(F.col("gap") / SHIFT_TOL))
-    # every pair of a crowded bin may be a result; its left rows are dealt to as many tasks as they need
-    counts = t.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / _BIN_ROWS).cast("int").alias("deals"))
-    t = t.join(counts, "bin")
-    around = t.select("system", order, "vbm", "cbm", "gap", F.explode(F.array(*[F.col("bin") + o for o in (-1, 0, 1)])).alias("bin"))
-    a = around.join(counts, "bin").select(
-        F.col("system").alias("a"), F.col(order).alias("oa"), F.col("vbm").alias("va"), F.col("cbm").alias("ca"),
-        F.col("gap").alias("ga"), "bin", F.pmod(F.xxhash64(order, "system"), F.col("deals")).cast("int").alias("deal"),
-    )
-    b = t.select(
-        F.col("system").alias("b"), F.col(order).alias("ob"), F.col("vbm").alias("vb"), F.col("cbm").alias("cb"),
-        F.col("gap").alias("gb"), "bin", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"),
-    )
-    dv, dc, dg = F.col("vb") - F.col("va"), F.col("cb") - F.col("ca"), F.col("gb") - F.col("ga")
-    return (
-        a.join(b, ["bin", "deal"])
-        .filter(
-            (F.col("oa") < F.col("ob"))
-            & (F.abs(dv) > SHIFT_MIN)
-            & (F.abs(dv - dc) < SHIFT_TOL)
-            & (F.abs(dg) < SHIFT_TOL)
-        )
-        .select("a", "b", dv.alias("dv"), F.col("gb").alias("gap"))
+    counts = cut(t.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / _BIN_ROWS).cast("int").alias("deals")), "bins")
+    beside = [
+        counts.select((F.col("bin") - o).alias("bin"), F.col("deals").alias(name)) for o, name in ((1, "above"), (-1, "below"))
+    ]
+    met = counts.join(beside[0], "bin", "left").join(beside[1], "bin", "left").na.fill(0, ["above", "below"])
+    own, above = F.col("deals").cast("long"), F.col("above").cast("long")
+    cells = met.where("bin is not null").agg(F.sum(own * (own + 1) / 2 + own * above).cast("long")).first()[0]
+    tasks = max(1, min(cells or 1, _MAX_TASKS))
+    dealt = t.join(met, "bin").withColumn("block", F.pmod(F.xxhash64(order, "system"), F.col("deals")).cast("int"))
+
+    def blocks(n) -> F.Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+
+    def side(prefix: str, cells: list[F.Column]) -> DataFrame:
+        named = [F.col(c).alias(f"{prefix}_{n}") for c, n in (("system", "s"), (order, "o"), ("vbm", "v"), ("cbm", "c"), ("gap", "g"))]
+        return dealt.select(F.inline(F.concat(*cells)), *named).repartition(tasks, "lo", "step", "p", "q")
+
+    def cell(lo, step: int, p, q) -> F.Column:
+        return F.struct(lo.alias("lo"), F.lit(step).alias("step"), p.alias("p"), q.alias("q"))
+
+    here, at = F.col("bin"), F.col("block")
+    left = side("x", [
+        F.transform(F.filter(blocks(F.col("deals")), lambda k: k >= at), lambda k: cell(here, 0, at, k)),
+        F.transform(blocks(F.col("above")), lambda k: cell(here, 1, at, k)),
+    ])
+    right = side("y", [
+        F.transform(F.filter(blocks(F.col("deals")), lambda k: k <= at), lambda k: cell(here, 0, k, at)),
+        F.transform(blocks(F.col("below")), lambda k: cell(here - 1, 1, k, at)),
+    ])
+    x_first = F.col("x_o") < F.col("y_o")
+    # a block meets itself row by row both ways, other blocks meet once
+    turned = (F.col("y_o") < F.col("x_o")) & ((F.col("step") == 1) | (F.col("p") != F.col("q")))
+    dv, dc, dg = F.col("y_v") - F.col("x_v"), F.col("y_c") - F.col("x_c"), F.col("y_g") - F.col("x_g")
+    pairs = left.join(right, ["lo", "step", "p", "q"]).filter(
+        (x_first | turned) & (F.abs(dv) > SHIFT_MIN) & (F.abs(dv - dc) < SHIFT_TOL) & (F.abs(dg) < SHIFT_TOL)
     )
+    pick = lambda one, two: F.when(x_first, F.col(one)).otherwise(F.col(two))
+    return pairs.select(
+        pick("x_s", "y_s").alias("a"), pick("y_s", "x_s").alias("b"), F.when(x_first, dv).otherwise(-dv).alias("dv"),
+        pick("y_g", "x_g").alias("gap"),
+    )
 
 
 def segment_bands(bands: DataFrame, splits: Sequence[float], k: str = "k", both: bool = True) -> DataFrame:

@@ -198,6 +198,16 @@ def test_shift_pairs_of_a_crowded_gap(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_shift_pairs_of_one_gap_are_spread_over_tasks(spark, monkeypatch):
+    from framebasin.operators import levels as lv
+
+    monkeypatch.setattr(lv, "_BIN_ROWS", 50)
+    rows = [(f"s{i}", i, float(i), i + 1.0) for i in range(600)]
+    out = lv.rigid_shift(spark.createDataFrame(rows, "system string, ord int, vbm double, cbm double"))
+    made = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 600 * 599 // 2 and max(made) < sum(made) / 8
+
+
 def test_factors_keep_small_targets_and_shape(spark):
     rows = [frame(0, 0, ["Mo"] * 4, np.zeros((4, 3)), np.diag([3.0, 6.0, 12.0])), frame(0, 1, ["Mo"] * 50, np.zeros((50, 3)), np.eye(3))]
     got = {r["frame_idx"]: (r["fa"], r["fb"], r["fc"]) for r in st.factors_for_target(frames_df(spark, rows), 32).collect()}
