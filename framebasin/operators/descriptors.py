@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..session import cut
 
 _BLOCK = 1024  # vectors per packed block
+_VISITS = 4096  # samples with a group each that leave a task at a time
 _BROADCAST_BYTES = 32 << 20  # a reference up to this size goes to every task
 _RECUT = 2048  # picks carried in task closures before the table is written again
 _POOL = 512  # candidates looked at per farthest-point pass
@@ -126,40 +127,46 @@ def _nearest_by_groups(keyed, ref, names, schema, pivots) -> DataFrame:
     block_of = F.pmod(F.xxhash64("vec"), F.get(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("cell")))
     packed = celled.groupBy("cell", block_of.alias("block")).agg(F.collect_list("vec").alias("ref"))
 
-    def visit(batches):
-        lo_, hi_, blocks_ = limits.value
-        p = len(piv.value)
-        for pdf in batches:
-            d = _dist(_as_matrix(pdf["vec"]), piv.value)
-            upper = (d + lo_[:p]).min(axis=1)
-            lower = np.maximum(np.maximum(d - hi_[:p], lo_[:p] - d), 0)
-            # a little slack keeps rounding from ruling out the true nearest
-            near = (lower <= upper[:, None] * (1 + 1e-12) + 1e-12) & (blocks_[:p] > 0)
-            i, c = np.nonzero(near)
-            reps = blocks_[c]
-            i, c = np.repeat(i, reps), np.repeat(c, reps)
-            b = np.concatenate([np.arange(k) for k in reps]) if len(reps) else np.array([], int)
-            yield pdf[names].iloc[i].assign(cell=c.astype("int32"), block=b.astype("int64"), vec=pdf["vec"].iloc[i].values)
-
     visits = T.StructType(
         [*[f for f in schema.fields if f.name != "dmin"], T.StructField("cell", T.IntegerType()),
-         T.StructField("block", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))]
+         T.StructField("vec", T.ArrayType(T.DoubleType()))]
     )
-    asked = keyed.mapInPandas(visit, visits)
-    # samples travel in packs of bounded size, so a block of references is shipped once per pack
+    asked = keyed.mapInPandas(lambda batches: _visits(batches, names, piv.value, limits.value), visits)
+    # samples travel in packs of bounded size; a pack meets each block of a group it visits
     pack = F.pmod(F.xxhash64(*names), F.lit(max(1, -(-keyed.count() // _BLOCK))))
-    packs = asked.groupBy("cell", "block", pack.alias("pack")).agg(
-        F.collect_list(F.struct(*names, "vec")).alias("rows")
-    )
+    packs = asked.groupBy("cell", pack.alias("pack")).agg(F.collect_list(F.struct(*names, "vec")).alias("rows"))
+    n_blocks = F.get(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("cell"))
+    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (n_blocks - 1).cast("long"))))
+    parts = packs.join(packed, ["cell", "block"]).select("rows", "ref").mapInArrow(lambda batches: _measured(batches, names), schema)
+    return parts.groupBy(*names).agg(F.min("dmin").alias("dmin"))
 
-    def measure(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                d = _least_distance(_as_matrix([r["vec"] for r in row.rows]), _as_matrix(row.ref))
-                yield pd.DataFrame({n: [r[n] for r in row.rows] for n in names}).assign(dmin=d)
 
-    parts = packs.join(packed, ["cell", "block"]).select("rows", "ref").mapInPandas(measure, schema)
-    return parts.groupBy(*names).agg(F.min("dmin").alias("dmin"))
+def _visits(batches: Iterator[pd.DataFrame], names: list[str], piv: np.ndarray, limits: tuple) -> Iterator[pd.DataFrame]:
+    """Samples with the groups they visit, ``<names>, cell, vec``, some thousand rows at a time."""
+    lo, hi, blocks = (v[: len(piv)] for v in limits)
+    for pdf in batches:
+        d = _dist(_as_matrix(pdf["vec"]), piv)
+        upper = (d + lo).min(axis=1)
+        lower = np.maximum(np.maximum(d - hi, lo - d), 0)
+        # a little slack keeps rounding from ruling out the true nearest
+        i, c = np.nonzero((lower <= upper[:, None] * (1 + 1e-12) + 1e-12) & (blocks > 0))
+        for at in range(0, max(len(i), 1), _VISITS):
+            some = pdf.iloc[i[at : at + _VISITS]]
+            yield some[names].assign(cell=c[at : at + _VISITS].astype("int32"), vec=some["vec"])
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow column as rows, without a Python object for each."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _measured(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Least distance of each sample of a pack to the block it meets, one pack at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows, ref = (batch.column(c).slice(k, 1).flatten() for c in ("rows", "ref"))
+            d = _least_distance(_matrix(rows.field("vec")), _matrix(ref))
+            yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], pa.array(d)], [*names, "dmin"])
 
 
 def farthest_points(

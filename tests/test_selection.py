@@ -104,6 +104,17 @@ def test_nearest_reference_by_groups_is_exact(spark):
         assert len(got) == 200 and all(abs(got[i] - want[i]) < 1e-9 for i in range(200))
 
 
+def test_visits_of_many_blocks_leave_in_small_pieces():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    piv, vec = rng.normal(size=(8, 5)), rng.normal(size=(3000, 5))
+    limits = (np.zeros(8), np.full(8, 100.0), np.full(8, 1000))  # every sample visits every group of 1,000 blocks
+    got = list(ds._visits(iter([pd.DataFrame({"id": range(3000), "vec": list(vec)})]), ["id"], piv, limits))
+    assert max(len(g) for g in got) <= ds._VISITS and sum(len(g) for g in got) == 3000 * 8
+    assert {(r.id, r.cell) for g in got for r in g.itertuples()} == {(i, c) for i in range(3000) for c in range(8)}
+
+
 def test_pca_matches_svd(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(80, 4)) * [5, 2, 1, 0.1] + 3
