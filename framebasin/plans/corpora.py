@@ -621,11 +621,11 @@ def with_source(spark, sf):
 )
 def ingest_stream_query(spark, sf):
     fr = si.frames(spark, sf)
-    # every frame comes twice, in files of at most 512 frames
+    # every frame comes twice, in files of consecutive frames
     copies = fr.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     text = fr_src.render_frames(copies.withColumn("file_ord", F.col("copy")))
     rows = text.select(
-        F.concat(F.col("file_ord"), F.lit("-"), F.floor(F.col("frame_idx") / 512)).alias("bucket"), "frame_idx", "value"
+        F.concat(F.col("file_ord"), F.lit("-"), F.floor(F.col("frame_idx") / si.frames_per_file(fr))).alias("bucket"), "frame_idx", "value"
     )
     source = si.derive_files(rows, "stream", "frame_idx")
     target, state = scratch_path(spark, "stream-table"), scratch_path(spark, "stream-state")

@@ -158,3 +158,13 @@ def derive_files(rows: DataFrame, name: str, *order: str, folder: str = "bucket"
         .text(path)
     )
     return path
+
+
+def frames_per_file(frames: DataFrame, least: int = 512, most: int = 65_536, files: int = 16) -> int:
+    """Consecutive ids in a file, so that files grow with the table before their number does.
+
+    About ``files`` files of ``least`` ids or more; beyond that files of about ``most`` frames.
+    """
+    n, low, high = frames.agg(F.count(F.lit(1)), F.min("frame_idx"), F.max("frame_idx")).first()
+    span = high - low + 1 if high is not None else 1
+    return max(least, -(-span // max(files, n // most)))

@@ -52,3 +52,15 @@ def test_an_empty_folder_gives_no_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
     assert names(spark, str(tmp_path / "t")) == []
+
+
+def test_the_number_of_derived_files_is_bounded(spark):
+    from framebasin.plans.standins import frames_per_file
+
+    def ids(n, step=1):
+        return spark.range(0, n * step, step).withColumnRenamed("id", "frame_idx")
+
+    assert frames_per_file(ids(0)) == frames_per_file(ids(2000)) == 512
+    assert 600_000 / frames_per_file(ids(600_000)) <= 16
+    assert 600_000 * 7 / frames_per_file(ids(600_000, 7)) <= 16  # gaps between the ids
+    assert frames_per_file(ids(3_000_000)) <= 65_536 * 1.1  # files stay bounded too
