@@ -1,7 +1,7 @@
 """Words of Arrow text columns as numpy arrays of 64-bit hashes.
 
 A word is a run of bytes other than space and the five ASCII controls tab to carriage return. Texts are
-worked through in slices of a few megabytes cut at white space, so memory follows the number of words,
+worked through in slices of a quarter megabyte cut at white space, so memory follows the number of words,
 not the number of bytes, and a very long text needs no more than a short one.
 """
 
@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-_SLICE = 1 << 21
+_SLICE = 1 << 18  # bytes; arrays of eight bytes for each are made on the way, and tables kept
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)

@@ -402,3 +402,16 @@ def test_kept_text_digest(spark):
     rows = [doc_row(1, "a  b\tc"), doc_row(2, None)]
     got = {r.doc_id: r.kept_sha256 for r in substring.summary(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: hashlib.sha256(b"a b c").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_words_of_a_long_slice_take_little_memory():
+    import tracemalloc
+
+    texts = pa.array(["ab cde f " * 230_000], pa.string())
+    words(texts)  # tables that are kept
+    tracemalloc.start()
+    w = words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.hashes) == 690_000 and len(set(w.hashes.tolist())) == 3
+    assert peak < 60 << 20
