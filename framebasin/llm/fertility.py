@@ -33,9 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
-from .frames import carry, restore, slices
-from .words import starts_in_text, words
+from .frames import carry, cut_lean, lean, restore, slices
+from .words import Words, starts_in_text, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -91,7 +90,11 @@ STATS = T.StructType(
 
 
 class Fertility:
-    """Encodes words one by one, as the vocabulary's own pre-splitting at spaces does."""
+    """Encodes words one by one, as the vocabulary's own pre-splitting at spaces does.
+
+    Tokens of many words lie in one flat array. At most ``most`` words stay from one call to the next: those with most
+    occurrences in the last.
+    """
 
     def __init__(self, vocabulary: str, most: int):
         import sentencepiece
@@ -99,18 +102,49 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         self.size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.known: dict[str, np.ndarray] = {}
         self.most = most
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for w in texts if w not in self.known})
-        for at in range(0, len(new), 4096):  # the encoder's lists are many times larger than the arrays kept
-            some = new[at : at + 4096]
-            for w, ids in zip(some, self.model.encode(some, num_threads=1), strict=True):
-                self.known[w] = np.array(ids, np.int32)
-        return [self.known[w] for w in texts]
+        self.known = np.zeros(0, np.uint64)  # hashes, ascending
+        self.tokens, self.begin, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, w: Words, hashes: np.ndarray, first: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of distinct words, by ascending hash, with a place and their occurrences: tokens, begin and size in them."""
+        at = np.searchsorted(self.known, hashes)
+        hit = np.zeros(len(hashes), bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~hit)
+        parts, counts = [self.tokens], [np.zeros(0, np.int64)]
+        for k in range(0, len(new), 4096):  # the encoder's lists are many times larger than the arrays kept
+            some = first[new[k : k + 4096]]
+            ids = self.model.encode(_word_texts(w, some), num_threads=1)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            counts.append(sizes)
+            parts.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+        begin, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[hit], sizes[hit] = self.begin[at[hit]], self.sizes[at[hit]]
+        sizes[new] = np.concatenate(counts)
+        begin[new] = len(self.tokens) + np.cumsum(sizes[new]) - sizes[new]
+        tokens = np.concatenate(parts)
+        stay = np.arange(len(hashes))
+        if len(stay) > self.most:
+            stay = np.sort(np.argsort(-times, kind="stable")[: self.most])
+        self.known, self.sizes = hashes[stay], sizes[stay]
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.tokens = tokens[_spans(begin[stay], self.sizes)]
+        return tokens, begin, sizes
+
+
+def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after the other."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _word_texts(w: Words, which: np.ndarray) -> list[str]:
+    """The words in given places; no word holds a space, so one text holds them all."""
+    sizes = w.ends[which] - w.starts[which]
+    room = np.full(int(sizes.sum()) + len(which), 32, np.uint8)
+    room[_spans(np.cumsum(sizes + 1) - sizes - 1, sizes)] = w.data[_spans(w.starts[which], sizes)]
+    return room.tobytes().decode().split(" ")[:-1]
 
 
 def _repeat_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -163,13 +197,10 @@ def _measure(texts: pa.Array, fertility: Fertility) -> pa.StructArray:
     symbols = np.isin(w.data, np.frombuffer(SYMBOLS.encode(), np.uint8))
     symbols = np.diff(np.concatenate([[0], np.cumsum(symbols)])[w.offsets])
 
-    _, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
-    body = w.data.tobytes()
-    ids = fertility.ids([body[a:b].decode() for a, b in zip(w.starts[first], w.ends[first], strict=True)])
-    sizes = np.array([len(x) for x in ids], np.int64)
-    n_bytes = np.array([int(fertility.is_byte[x].sum()) for x in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    begin = np.cumsum(sizes) - sizes
+    distinct, first, which, times = np.unique(w.hashes, return_index=True, return_inverse=True, return_counts=True)
+    flat, begin, sizes = fertility.encode(w, distinct, first, times)
+    so_far = np.concatenate([[0], np.cumsum(fertility.is_byte[flat])])
+    n_bytes = so_far[begin + sizes] - so_far[begin]
     tokens, bytes_, word_chars = per(sizes[which]), per(n_bytes[which]), per(chars)
     entropy = np.zeros(n)
     for k in range(n):
@@ -177,9 +208,7 @@ def _measure(texts: pa.Array, fertility: Fertility) -> pa.StructArray:
         total = int(tokens[k])
         if not total:
             continue
-        length = sizes[mine]
-        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        got = np.bincount(flat[np.repeat(begin[mine], length) + place], np.repeat(times, length), fertility.size)
+        got = np.bincount(flat[_spans(begin[mine], sizes[mine])], np.repeat(times, sizes[mine]), fertility.size)
         share = got[got > 0] / total
         entropy[k] = -(share * np.log2(share)).sum()
     safe = np.maximum(tokens, 1)
@@ -207,10 +236,8 @@ def with_statistics(docs: DataFrame, rules: Rules, into: str, text: str = "text"
         for batch in slices(batches, text):
             stats = _measure(pc.cast(batch.column(text), pa.large_string()), fertility)
             yield pa.RecordBatch.from_arrays([*batch.columns, stats], [*batch.schema.names, into])
-        del fertility
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages, what it held should not
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def fit(measured: DataFrame, labels: DataFrame, rules: Rules, stats: str, lang: str | None = "lang") -> Rules:
@@ -291,7 +318,7 @@ def judge(
     gone = () if keep_text else ("text",)
     measured = measured.drop(*gone)
     if labels is not None:
-        measured = cut(measured, "statistics")
+        measured = cut_lean(measured, "statistics")
         rules = fit(measured, labels, rules, into, lang)
     kept = ~s.base_failed & fertility_ok(into, rules, lang)
     return restore(measured.withColumn(into, s.withField("kept", kept)), docs, needed, (into,), drop=gone)

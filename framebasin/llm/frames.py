@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH = 4 << 20  # bytes of an Arrow batch; the JVM, the pipe and the worker each hold one or two for every task
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,6 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_lean(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` with Arrow batches bounded by bytes, so that memory does not follow the length of the texts."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_KEY, None)
+    conf.set(_BATCH_KEY, str(_BATCH))
+    try:
+        return cut(df, name)
+    finally:
+        conf.unset(_BATCH_KEY) if before is None else conf.set(_BATCH_KEY, before)
+
+
+def give_back() -> None:
+    """What Arrow and the C library hold for reuse goes back; workers live on through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving back its memory when the task's rows end."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return mapped
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

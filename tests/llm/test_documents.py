@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from conftest_llm import DOCS, doc_row, edited, prose, words_of
 from framebasin.llm import classifier, decontam, fertility, licenses, mixing, neardup, substring
+from framebasin.llm.frames import cut_lean, lean
 from framebasin.llm.words import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -415,3 +416,31 @@ def test_words_of_a_long_slice_take_little_memory():
     tracemalloc.stop()
     assert len(w.hashes) == 690_000 and len(set(w.hashes.tolist())) == 3
     assert peak < 60 << 20
+
+
+def test_frequent_words_are_encoded_once_beside_many_rare_ones():
+    kept = fertility.Fertility(fertility.VOCABULARY, 2)
+    model, seen = kept.model, []
+
+    class Spy:
+        def encode(self, texts, **more):
+            seen.extend(texts)
+            return model.encode(texts, **more)
+
+    kept.model = Spy()
+    texts = pa.array(["alpha beta gamma alpha beta", None, "delta über alpha beta"], pa.large_string())
+    first, again = (fertility._measure(texts, kept) for _ in range(2))
+    assert first.equals(again) and first.equals(fertility._measure(texts, fertility.Fertility(fertility.VOCABULARY, 100)))
+    assert [seen.count(x) for x in ("alpha", "beta", "gamma", "über")] == [1, 1, 2, 2]
+
+
+def test_arrow_batches_of_written_tables_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 200, 1, 1).selectExpr("repeat(cast(id as string), 50000) as text")
+    got = [r.n for r in cut_lean(texts.mapInArrow(lean(sizes), "n long"), "sizes").collect()]
+    assert len(got) > 3 and max(got) < 5 << 20 and sum(got) > 20 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
