@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import WORD, n_words, slices
+from .frames import WORD, lean, n_words, slices
 from .words import Words, grams, words
 
 
@@ -207,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
                     ids = [batch.column("doc_id").take(pa.array(row)), pa.array(index.ids[list(item)])]
                     yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, rest)], names)
 
-        out = out.union(rows.mapInArrow(run, schema))
+        out = out.union(rows.mapInArrow(lean(run), schema))
     return out
 
 
@@ -222,5 +222,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search
                 keep[[h[0] for h in _hits(batch, shared.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .components import merge_labels, relabel
-from .frames import _REST, carry, restore, slices
+from .frames import _REST, carry, cut_lean as cut, give_back, lean, restore, slices
 from .words import grams, mix, signed, words
 
 
@@ -40,11 +39,6 @@ _BUCKET_BYTES = 4 << 20  # of full sets that one task compares
 _FEW = 1 << 20  # rows of three numbers that may be broadcast
 
 
-def _give_back() -> None:
-    """What Arrow holds for reuse goes back at the end of a task; workers live on through many stages."""
-    pa.default_memory_pool().release_unused()
-
-
 def _few(table: DataFrame) -> DataFrame:
     """A written table of ids, broadcast if counting shows that it is small; joined by a shuffle otherwise."""
     return F.broadcast(table) if table.count() <= _FEW else table
@@ -113,11 +107,10 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
                 ],
                 ["doc_id", "text_hash", "n", "d1", "d2", "minima", "sketch"],
             )
-        _give_back()
 
     schema = "doc_id long, text_hash long, n long, d1 long, d2 long, minima long, sketch binary"
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
@@ -132,7 +125,7 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["cell", "n"])
 
-    totals = reps.select("sketch").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    totals = reps.select("sketch").mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     rarity = np.zeros(plan.cells, np.int64)
     counted = totals.toPandas()  # at most plan.cells rows
     rarity[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
@@ -161,7 +154,7 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
                 [pa.array(signed(values)), take("id"), take("n"), take("minima")], ["value", "id", "n", "minima"]
             )
 
-    return reps.select("id", "n", "minima", "sketch").mapInArrow(run, "value long, id long, n long, minima long")
+    return reps.select("id", "n", "minima", "sketch").mapInArrow(lean(run), "value long, id long, n long, minima long")
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
@@ -193,7 +186,7 @@ def _estimate(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "estimate"]
             )
 
-    return met.mapInArrow(run, "a long, b long, estimate double")
+    return met.mapInArrow(lean(run), "a long, b long, estimate double")
 
 
 class _Sets:
@@ -217,9 +210,8 @@ class _Sets:
             for batch in slices(batches, "text"):
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "items"])
-            _give_back()
 
-        new = cut(texts.select("id", "text").mapInArrow(build, "id long, items binary"), "sets")
+        new = cut(texts.select("id", "text").mapInArrow(lean(build), "id long, items binary"), "sets")
         self.have = new if self.have is None else self.have.union(new)
         sets = self.have.dropDuplicates(["id"]) if self._repeats() else self.have
         # the set of x goes once to each bucket of its partners, however many there are; a bucket holds some MB of sets
@@ -243,7 +235,7 @@ class _Sets:
                         xs.append(x)
                         ys.append(y)
             del held
-            _give_back()
+            give_back()
             return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
         left = left.select("bucket", "x", "mine", "ys").alias("l")

@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
-from .frames import carry, restore, slices
+from .frames import carry, cut_lean as cut, lean, restore, slices
 from .words import Words, grams, signed, starts_in_text, words
 
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -85,7 +84,7 @@ def _candidates(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 ["a", "doc_id", "at"],
             )
 
-    found = rows.where("doc_id is not null").mapInArrow(run, "a long, doc_id long, at int")
+    found = rows.where("doc_id is not null").mapInArrow(lean(run), "a long, doc_id long, at int")
     shared = found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a")
     return found.join(shared, "a").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
 
@@ -119,7 +118,7 @@ def _edges(rows: DataFrame, candidates: DataFrame, window: int, anchor: int) ->
 
     # the same exchange of the texts serves the join that removes words
     met = rows.join(candidates, "doc_id", "left").select("doc_id", "th", "text", "places")
-    return met.mapInArrow(run, "h long, h2 int, doc_id long, at long")
+    return met.mapInArrow(lean(run), "h long, h2 int, doc_id long, at long")
 
 
 def marks(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
@@ -164,7 +163,7 @@ def paths(found: DataFrame, window: int = 13) -> DataFrame:
                 ["doc_id", "th", "start", "n_words", "source"],
             )
 
-    return found.where("starts is not null").mapInArrow(run, "doc_id long, th int, start long, n_words long, source long")
+    return found.where("starts is not null").mapInArrow(lean(run), "doc_id long, th int, start long, n_words long, source long")
 
 
 def _removed(n: int, starts: list[int] | None, whole: bool, window: int) -> np.ndarray:
@@ -211,7 +210,7 @@ def summary(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return met.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, anchor: int = 5) -> DataFrame:
@@ -242,7 +241,7 @@ def without_repeats(docs: DataFrame, window: int = 50, anchor: int = 5) -> DataF
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.bool_())], [*names, "_lost"])
 
-    out = restore(met.select(*names, "_starts", "_whole").mapInArrow(run, schema).where("not _lost"), docs, needed)
+    out = restore(met.select(*names, "_starts", "_whole").mapInArrow(lean(run), schema).where("not _lost"), docs, needed)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
