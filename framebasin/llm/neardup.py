@@ -9,11 +9,15 @@
 4. Members of a list are paired with a hub of the list, never with each other: first the member with most company
    in its own lists, as the original of many copies has, then the first in a random order that changes by round. One-bit minima and the estimate from the union of both sketches filter the pairs, the exact
    Jaccard of full sets confirms them, and confirmed pairs merge components.
-5. Rounds end when one merges few components compared with the first. The rest is exact: each member outside the
-   main component of a list is paired with all members of other components in it.
+5. Rounds end when one merges few components compared with the first. The rest is exact: full sets of all members of
+   lists that still hold several components are ordered, rarest shingle first. If two sets reach the threshold, so many
+   shingles follow their first common one in both that it stands among the first fifth of each; sets are listed under
+   those, and two of different components meet only where the places and sizes leave the threshold possible.
 
-Only sets of documents in surviving pairs are built again from their texts. A group of near copies costs a pair or
-two for each member and round, whatever its size, and a hot list is split by the skew join.
+Only sets of documents in surviving pairs or in the last step are built again from their texts. A group of near copies
+costs a pair or two for each member and round, whatever its size. Members that no hub is linked with mostly differ from
+it by shingles of their own, which come first in their order, so few pairs of them meet in the last step. A hot list is
+split by the skew join. Tables written on the way are removed as soon as the components are known.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing. A text shorter
 than a shingle is one shingle. Equal rows are linked. Null ids never become a component's id unless it has no
@@ -22,14 +26,16 @@ other. An empty table gives an empty result. Extra columns are ignored; ``distin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import passing
 from .components import merge_labels, relabel
 from .frames import _REST, carry, cut_lean as cut, give_back, lean, restore, slices
 from .words import grams, mix, signed, words
@@ -60,6 +66,7 @@ class Plan:
     cells: int = 1 << 18  # counters of the rarity table
     rounds: int = 6  # hub rounds at most; what they leave is done pair by pair
     tries: int = 2  # hubs a member is verified with in a round
+    parities: int = 8  # longs of parity bits that pairs of the last step are compared by
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -113,42 +120,52 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(lean(run), schema)
 
 
-def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
-    """The lists a representative stands in: value, id, n, minima."""
+def _rarity(table: DataFrame, column: str, plan: Plan, first: int | None = None) -> Broadcast[np.ndarray]:
+    """How many of the ``first`` values of each row (all without it) fall into each cell; the driver gets ``cells`` rows."""
+    end = None if first is None else 8 * first
     cells = np.uint64(plan.cells - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(plan.cells, np.int64)
-        for batch in batches:
-            values = np.frombuffer(b"".join(s[: 8 * plan.listed] for s in batch.column("sketch").to_pylist()), np.uint64)
+        for batch in slices(batches, column):
+            values = np.frombuffer(b"".join(s[:end] for s in batch.column(column).to_pylist()), np.uint64)
             totals += np.bincount((mix(values) & cells).astype(np.int64), minlength=plan.cells)
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["cell", "n"])
 
-    totals = reps.select("sketch").mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    totals = table.select(column).mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = cut(totals, "cells").toPandas()  # at most plan.cells rows
     rarity = np.zeros(plan.cells, np.int64)
-    counted = totals.toPandas()  # at most plan.cells rows
     rarity[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    shared = reps.sparkSession.sparkContext.broadcast(rarity)
+    return table.sparkSession.sparkContext.broadcast(rarity)
+
+
+def _rarest_first(values: np.ndarray, held: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, value and place in its row of ``held`` values of each row, the rarest first."""
+    row = np.repeat(np.arange(len(held)), held)
+    order = np.lexsort((values, rare[(mix(values) & np.uint64(len(rare) - 1)).astype(np.int64)], row))
+    return row, values[order], np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+
+
+def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
+    """The lists a representative stands in: value, id, n, minima."""
+    shared = _rarity(reps, "sketch", plan, plan.listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             n = batch.column("n").to_numpy()
             held = np.minimum(n, plan.listed)
             values = np.frombuffer(b"".join(s[: 8 * plan.listed] for s in batch.column("sketch").to_pylist()), np.uint64)
-            row = np.repeat(np.arange(len(n)), held)
-            order = np.lexsort((values, rare[(mix(values) & cells).astype(np.int64)], row))
+            row, values, place = _rarest_first(values, held, shared.value)
             # a whole set at the threshold shares percent of its values with any partner that lists all of its own; the
             # largest partner may leave some of the shared ones unlisted
             most = 100 * n // plan.percent
             shared_most = -(-plan.percent * (n + most) // (100 + plan.percent)) - np.maximum(most - plan.listed, 0)
             need = np.where(n < plan.listed, np.minimum(-(-plan.percent * n // 100), np.maximum(shared_most, 1)), plan.least)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
             keep = place < (held - need + 1)[row]
-            row, values = row[keep], values[order][keep]
+            row, values = row[keep], values[keep]
             take = lambda c: batch.column(c).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(values)), take("id"), take("n"), take("minima")], ["value", "id", "n", "minima"]
@@ -157,6 +174,37 @@ def _listed(reps: DataFrame, plan: Plan) -> DataFrame:
     return reps.select("id", "n", "minima", "sketch").mapInArrow(lean(run), "value long, id long, n long, minima long")
 
 
+def _parities(s: np.ndarray, longs: int) -> np.ndarray:
+    """For each bit whether an odd number of values falls on it: two sets differ in as many values as bits, at least."""
+    odd = np.bincount((mix(s ^ np.uint64(0x5C5C5C5C5C5C5C5C)) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
+    """The shingles of full sets that may be the first common one of a pair: value, id, n, after (itself and those behind), p0, p1, ..."""
+    shared = _rarity(sets, "items", plan)
+    names = [f"p{k}" for k in range(plan.parities)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "items"):
+            every = [np.frombuffer(s, np.uint64) for s in batch.column("items").to_pylist()]
+            held = np.array([len(s) for s in every], np.int64)
+            parities = np.stack([_parities(s, plan.parities) for s in every])
+            values = np.concatenate(every)
+            row, values, place = _rarest_first(values, held, shared.value)
+            after = held[row] - place
+            keep = 100 * after >= plan.percent * held[row]  # the smallest partner has percent of the size
+            row, values, after = row[keep], values[keep], after[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(values)), batch.column("id").take(pa.array(row)), pa.array(held[row]), pa.array(after)]
+                + [pa.array(np.ascontiguousarray(p)) for p in parities[row].T],
+                ["value", "id", "n", "after", *names],
+            )
+
+    schema = ", ".join(f"{c} long" for c in ("value", "id", "n", "after", *names))
+    return sets.select("id", "items").mapInArrow(lean(run), schema)
+
+
 def _estimate(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) whose union sketch leaves the threshold possible, with ``estimate``."""
     pairs = cut(pairs, "met")
@@ -195,13 +243,16 @@ class _Sets:
     def __init__(self, docs: DataFrame, reps: DataFrame, plan: Plan):
         self.docs, self.reps, self.plan, self.have = docs, reps, plan, None
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) with intersection * 100 >= percent * union on full sets."""
-        named = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    def of(self, named: DataFrame) -> DataFrame:
+        """The sets of the representatives in ``named`` (id): id, items."""
+        self._build(named)
+        return self._once().join(named, "id", "left_semi")
+
+    def _build(self, named: DataFrame) -> None:
         if self.have is not None:
             named = named.join(self.have.select("id"), "id", "left_anti")
         wanted = cut(named.join(self.reps.select("id", "rep_doc", "text_hash"), "id"), "wanted")
-        width, percent = self.plan.width, self.plan.percent
+        width = self.plan.width
         texts = self.docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text").join(
             _few(wanted), F.col("_d").eqNullSafe(F.col("rep_doc")) & (F.col("_h") == F.col("text_hash"))
         )
@@ -213,7 +264,11 @@ class _Sets:
 
         new = cut(texts.select("id", "text").mapInArrow(lean(build), "id long, items binary"), "sets")
         self.have = new if self.have is None else self.have.union(new)
-        sets = self.have.dropDuplicates(["id"]) if self._repeats() else self.have
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) with intersection * 100 >= percent * union on full sets."""
+        self._build(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+        percent, sets = self.plan.percent, self._once()
         # the set of x goes once to each bucket of its partners, however many there are; a bucket holds some MB of sets
         size = self.have.agg(F.sum(F.length("items"))).first()[0] or 0
         buckets = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _BUCKET_BYTES + 1)
@@ -241,9 +296,10 @@ class _Sets:
         left = left.select("bucket", "x", "mine", "ys").alias("l")
         return left.groupBy("bucket").cogroup(right.alias("r").groupBy("bucket")).applyInArrow(compare, "x long, y long")
 
-    def _repeats(self) -> bool:
-        """Whether a row repeated in ``docs`` has given a set twice."""
-        return not self.have.groupBy("id").count().where("count > 1").isEmpty()
+    def _once(self) -> DataFrame:
+        """All sets built so far, once each; a row repeated in ``docs`` gives its set twice."""
+        repeated = not self.have.groupBy("id").count().where("count > 1").isEmpty()
+        return self.have.dropDuplicates(["id"]) if repeated else self.have
 
 
 def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -256,6 +312,41 @@ def components(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
     """``components`` with a label of each, which components without any id have too; null for empty sets."""
+    with passing(docs.sparkSession) as lasting:
+        named = _sets_with_labels(docs, plan, lasting)
+    smallest = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"))
+    of_set = named.join(smallest, "label").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id", "label")
+    rows = sketches(docs, plan).select("doc_id", "text_hash", "n", "d1", "d2")
+    met = rows.join(of_set, (F.col("n") > 0) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return met.select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n") > 0, F.col("label")).alias("label"),
+    )
+
+
+def _last_pairs(open_lists: DataFrame, sets: _Sets, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of members of open lists, of different labels, that places and sizes leave possible; a has the turn."""
+    who = cut(open_lists.select("id", "label").distinct(), "members")
+    listed = cut(_prefixes(sets.of(who.select("id")), plan).join(_few(who), "id"), "prefixes")
+    several = listed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("value")
+    listed = cut(listed.join(several, "value"), "prefixes")
+    main = listed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "label")).alias("main"))
+    odd = listed.join(main, "value").where(F.col("label") != F.col("main.label")).drop("main")
+    parities = [f"p{k}" for k in range(plan.parities)]
+    every = listed.select("value", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "after", "label", *parities)])
+    both = F.col("n") + F.col("_n")
+    behind = F.least("after", "_after") * (100 + plan.percent) >= both * plan.percent
+    flips = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in parities), F.lit(0))
+    close = flips * (100 + plan.percent) <= both * (100 - plan.percent)  # the union less the intersection, at most
+    met = odd.join(every, "value").where((F.col("label") != F.col("_label")) & behind & close)
+    asked = met.groupBy(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).agg(F.max(F.col("id") < F.col("_id")).alias("turn"))
+    x, y = F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")), F.when(F.col("turn"), F.col("b")).otherwise(F.col("a"))
+    return asked.select(x.alias("a"), y.alias("b"))
+
+
+def _sets_with_labels(docs: DataFrame, plan: Plan, lasting: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """The distinct sets: d1, d2, label of the component, rep_doc; the one table that is left."""
     # sketches of all rows are never stored: the representatives keep theirs, a last pass finds the set of each row
     rows = sketches(docs, plan).withColumn("row", F.monotonically_increasing_id())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), "row", "text_hash", "n", "minima", "sketch"))
@@ -277,11 +368,6 @@ def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
         & (F.least("n", "_n") * 100 >= F.greatest("n", "_n") * plan.percent)
         & (F.bit_count(F.col("minima").bitwiseXOR(F.col("_minima"))) <= plan.flips)
     )
-    pair = [F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")]
-
-    def other(df: DataFrame) -> DataFrame:
-        return df.select("value", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "minima", "label")])
-
     tried, gains = None, []
     for k in range(plan.rounds + 1):
         by_label = lists.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m"))
@@ -293,12 +379,8 @@ def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
         calm = bool(gains) and gains[-1] * 20 <= gains[0] * (len(gains) > 1)
         last = k == plan.rounds or work <= listed or calm
         open_lists = lists.join(sizes, "value")
-        if last:  # members outside the main component of a list meet all others of it
-            odd = open_lists.where(F.col("label") != F.col("main")).drop("all", "main", "odd")
-            met = odd.join(other(open_lists), "value").where(near)
-            asked = met.groupBy(*pair).agg(F.max(F.col("id") < F.col("_id")).alias("turn"))
-            x, y = F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")), F.when(F.col("turn"), F.col("b")).otherwise(F.col("a"))
-            found = _estimate(asked.select(x.alias("a"), y.alias("b")), reps, plan)
+        if last:  # members of different components that are left
+            found = _estimate(_last_pairs(open_lists, sets, plan), reps, plan)
         else:
             order = F.xxhash64(F.col("id"), F.lit(k), F.pmod(F.col("value"), F.lit(4)))
             first_choice = -F.col("company") if k == 0 else F.lit(0).cast("long")
@@ -330,16 +412,7 @@ def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
             break
     known = reps.withColumn("label", F.col("id"))
     known = known if roots is None else relabel(known, roots, "label")
-    named = cut(known.select("d1", "d2", "label", "rep_doc"), "known")
-    smallest = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"))
-    of_set = named.join(smallest, "label").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id", "label")
-    rows = sketches(docs, plan).select("doc_id", "text_hash", "n", "d1", "d2")
-    met = rows.join(of_set, (F.col("n") > 0) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return met.select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n") > 0, F.col("label")).alias("label"),
-    )
+    return lasting(lambda: cut(known.select("d1", "d2", "label", "rep_doc"), "known"))
 
 
 def distinct_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -348,13 +421,15 @@ def distinct_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Of several rows with that id, and of components without any id, the row with the smallest text hash stays, of
     rows with equal texts the one whose other columns come first as JSON.
     """
-    judged = cut(_labelled(docs, plan).select("doc_id", "text_hash", "label", "kept"), "judged")
-    first = judged.where("kept and label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    least = first.groupBy("label").agg(F.min("text_hash").alias("least"))
-    first = first.join(least, "label")
-    named = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")]
-    gone = cut(judged.where("not kept").select(*named).distinct().union(first.where("text_hash <> least").select(*named)), "gone")
-    twice = cut(first.where("text_hash = least and n > 1").select(*named), "twice")
+    with passing(docs.sparkSession) as lasting:
+        judged = cut(_labelled(docs, plan).select("doc_id", "text_hash", "label", "kept"), "judged")
+        first = judged.where("kept and label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        least = first.groupBy("label").agg(F.min("text_hash").alias("least"))
+        first = first.join(least, "label")
+        named = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")]
+        others = judged.where("not kept").select(*named).distinct().union(first.where("text_hash <> least").select(*named))
+        gone = lasting(lambda: cut(others, "gone"))
+        twice = lasting(lambda: cut(first.where("text_hash = least and n > 1").select(*named), "twice"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
     needed = ("doc_id", "text")
     every = carry(docs, needed)

@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def setting(spark: SparkSession, key: str, default: str | None = None) -> str | None:
@@ -46,6 +50,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (inside := _passing.get()) is not None:
+        inside.append(path)
     before = spark.conf.get(_CLEANUP_KEY, "false")
     spark.conf.set(_CLEANUP_KEY, "true")
     try:
@@ -53,3 +59,28 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[Callable[[], DataFrame]], DataFrame]]:
+    """Tables that ``cut`` writes inside are removed at the end, but for those that a call of the yielded function writes.
+
+    What is returned may read such lasting tables only; they go with an enclosing block, if there is one.
+    """
+    around, paths = _passing.get(), []
+    token = _passing.set(paths)
+
+    def lasting(write: Callable[[], DataFrame]) -> DataFrame:
+        before = _passing.set(around)
+        try:
+            return write()
+        finally:
+            _passing.reset(before)
+
+    try:
+        yield lasting
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ from conftest_llm import DOCS, doc_row, edited, prose, words_of
 from framebasin.llm import classifier, decontam, fertility, licenses, mixing, neardup, substring
 from framebasin.llm.frames import cut_lean, lean
 from framebasin.llm.words import words
+from framebasin.session import scratch_root
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -220,6 +222,32 @@ def test_large_group_of_near_copies(spark, rounds):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
 
 
+def test_few_pairs_of_a_group_below_the_threshold_meet(spark, monkeypatch):
+    base = prose(78, 200, 3000)
+    rows = [doc_row(k, edited(base, k, 0.07)) for k in range(240)] + [doc_row(1000, base), doc_row(1001, base + " end")]
+    asked, estimate = [], neardup._estimate
+    monkeypatch.setattr(neardup, "_estimate", lambda pairs, *more: asked.append(pairs.count()) or estimate(pairs, *more))
+    got = neardup.components(spark.createDataFrame(rows, DOCS), neardup.Plan(width=2)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
+    assert sum(asked) < 15 * len(rows)  # of 29,161 pairs
+
+
+def test_pairs_of_the_last_step_lose_no_link(spark):
+    rng = random.Random(5)
+    rows = [doc_row(10 * g + k, edited(prose(g, rng.randrange(3, 150), 900), 31 * g + k, 0.02 * k)) for g in range(40) for k in range(5)]
+    rows += [doc_row(1000 + g, " ".join(words_of(prose(g, 150, 900))[: 120 + g])) for g in range(30)]
+    got = neardup.components(spark.createDataFrame(rows, DOCS), neardup.Plan(width=2, rounds=0)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
+
+
+def test_tables_written_on_the_way_are_removed(spark, odd_docs):
+    folder = Path(scratch_root(spark).removeprefix("file://"), "framebasin")
+    before = set(folder.glob("*"))
+    got = neardup.distinct_documents(odd_docs)
+    assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} == {"gone", "twice"}
+    assert 0 < got.count() < odd_docs.count()
+
+
 def test_isolated_pairs_around_the_listed_values_meet(spark):
     rows = []
     for k in range(60):
