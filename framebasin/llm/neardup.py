@@ -180,29 +180,37 @@ def _parities(s: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
-    """The shingles of full sets that may be the first common one of a pair: value, id, n, after (itself and those behind), p0, p1, ..."""
-    shared = _rarity(sets, "items", plan)
-    names = [f"p{k}" for k in range(plan.parities)]
+def _parity_rows(sets: DataFrame, plan: Plan) -> DataFrame:
+    """id, n (size of the set), p0, p1, ..."""
+    names = ["id", "n", *[f"p{k}" for k in range(plan.parities)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "items"):
             every = [np.frombuffer(s, np.uint64) for s in batch.column("items").to_pylist()]
-            held = np.array([len(s) for s in every], np.int64)
             parities = np.stack([_parities(s, plan.parities) for s in every])
-            values = np.concatenate(every)
+            sizes = pa.array(np.array([len(s) for s in every], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, *[pa.array(np.ascontiguousarray(p)) for p in parities.T]], names)
+
+    return sets.select("id", "items").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
+
+
+def _prefixes(sets: DataFrame, plan: Plan) -> DataFrame:
+    """The shingles of full sets that may be the first common one of a pair: value, id, after (itself and those behind)."""
+    shared = _rarity(sets, "items", plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "items"):
+            held = np.array([len(s) // 8 for s in batch.column("items").to_pylist()], np.int64)
+            values = np.frombuffer(b"".join(batch.column("items").to_pylist()), np.uint64)
             row, values, place = _rarest_first(values, held, shared.value)
             after = held[row] - place
             keep = 100 * after >= plan.percent * held[row]  # the smallest partner has percent of the size
             row, values, after = row[keep], values[keep], after[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(values)), batch.column("id").take(pa.array(row)), pa.array(held[row]), pa.array(after)]
-                + [pa.array(np.ascontiguousarray(p)) for p in parities[row].T],
-                ["value", "id", "n", "after", *names],
+                [pa.array(signed(values)), batch.column("id").take(pa.array(row)), pa.array(after.astype(np.int32))], ["value", "id", "after"]
             )
 
-    schema = ", ".join(f"{c} long" for c in ("value", "id", "n", "after", *names))
-    return sets.select("id", "items").mapInArrow(lean(run), schema)
+    return sets.select("id", "items").mapInArrow(lean(run), "value long, id long, after int")
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
@@ -328,9 +336,11 @@ def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
 def _last_pairs(open_lists: DataFrame, sets: _Sets, plan: Plan) -> DataFrame:
     """Pairs (a, b) of members of open lists, of different labels, that places and sizes leave possible; a has the turn."""
     who = cut(open_lists.select("id", "label").distinct(), "members")
-    listed = cut(_prefixes(sets.of(who.select("id")), plan).join(_few(who), "id"), "prefixes")
+    mine = sets.of(who.select("id"))
+    listed = cut(_prefixes(mine, plan).join(_few(who), "id"), "prefixes")
     several = listed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("value")
-    listed = cut(listed.join(several, "value"), "prefixes")
+    marked = _few(cut(_parity_rows(mine, plan), "parities"))  # joined to the rows that are left only
+    listed = cut(listed.join(several, "value"), "prefixes").join(marked, "id")
     main = listed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "label")).alias("main"))
     odd = listed.join(main, "value").where(F.col("label") != F.col("main.label")).drop("main")
     parities = [f"p{k}" for k in range(plan.parities)]
