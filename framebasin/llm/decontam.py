@@ -12,8 +12,9 @@ words of their question (all but the last sentence) and of their answer (the las
 single one; eight words at least). So a leak with some words changed is found too; texts that don't hold the item
 share next to no five words in a row with it.
 
-The index is broadcast. Items are split into indexes of at most ``most_words`` words each, whatever their number,
-and every index is met by a pass over the documents.
+Items are split into indexes of at most ``most_words`` words each, whatever their number. Indexes of together no more
+words are broadcast as one pack, and every pack is met by one pass over the documents: a task holds one Python worker
+and hashes a text once, however many lengths the items of a pack have.
 
 Defined results: null and empty texts and items match nothing. Items of fewer than five words
 are found where all their words stand in a row; ``min_item`` leaves out shorter ones. Repeated rows are judged one by one. Empty tables give no hits. Extra columns stay in ``without_leaks``.
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import WORD, lean, n_words, slices
+from .frames import WORD, cut_lean as cut, lean, n_words, slices
 from .words import Words, grams, words
 
 
@@ -71,7 +72,7 @@ class Index:
         w = folded_words(pa.array([t for _, t in items], pa.string()))
         sizes = np.diff(w.bounds)
         self.ids = np.array([i for i, _ in items], np.int64)
-        self.search, self.half = s, int(max(sizes.max(initial=0), 32))
+        self.search, self.half, self.n_words = s, int(max(sizes.max(initial=0), 32)), int(sizes.sum())
         owner = np.repeat(np.arange(len(items)), sizes)
         self.terms, term = np.unique(w.hashes, return_inverse=True)
         key, tf = np.unique(term.astype(np.int64) * len(items) + owner, return_counts=True)
@@ -153,10 +154,9 @@ def _retrieve(w, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return text, (passage - first[text]) * half, item, score
 
 
-def _hits(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float, float, float, int]]:
+def _hits(w: Words, index: Index) -> list[tuple[int, int, float, float, float, int]]:
     """Verified (row, item, score, question overlap, answer overlap, first word), the best passage of each."""
     s = index.search
-    w = folded_words(batch.column("text"))
     best: dict[tuple[int, int], tuple] = {}
     known: dict[tuple[int, int, int], np.ndarray] = {}
     for text, start, item, score in zip(*(x.tolist() for x in _retrieve(w, index)), strict=True):
@@ -188,6 +188,19 @@ def indexes(benchmark: DataFrame, s: Search) -> Iterator[Index]:
                 yield Index(rows, s)
 
 
+def packs(benchmark: DataFrame, s: Search) -> Iterator[list[Index]]:
+    """The indexes in lists of together at most ``most_words`` words, one index at least."""
+    pack, held = [], 0
+    for index in indexes(benchmark, s):
+        if pack and held + index.n_words > s.most_words:
+            yield pack
+            pack, held = [], 0
+        pack.append(index)
+        held += index.n_words
+    if pack:
+        yield pack
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
     """One row for each document and test item it holds: doc_id, item_id, score, question, answer, first_word."""
     sc = docs.sparkSession.sparkContext
@@ -195,32 +208,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
     names = [x.split()[0] for x in schema.split(", ")]
     out = docs.sparkSession.createDataFrame([], schema)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    for index in indexes(benchmark, search):
-        shared = sc.broadcast(index)
+    for pack in packs(benchmark, search):
+        shared = sc.broadcast(pack)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in slices(batches, "text", 1 << 20):
-                found = _hits(batch, index)
-                if found:
-                    row, item, *rest = zip(*found, strict=True)
-                    ids = [batch.column("doc_id").take(pa.array(row)), pa.array(index.ids[list(item)])]
-                    yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, rest)], names)
+                w = folded_words(batch.column("text"))
+                for index in shared.value:
+                    found = _hits(w, index)
+                    if found:
+                        row, item, *rest = zip(*found, strict=True)
+                        ids = [batch.column("doc_id").take(pa.array(row)), pa.array(index.ids[list(item)])]
+                        yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, rest)], names)
 
         out = out.union(rows.mapInArrow(lean(run), schema))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """``docs`` without the documents that hold a test item; a map over the rows, nothing is shuffled."""
-    for index in indexes(benchmark, search):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """``docs`` without the documents that hold a test item; a map over the rows, nothing is shuffled.
+
+    The rows kept are written to the scratch folder, in Arrow batches bounded by bytes.
+    """
+    for pack in packs(benchmark, search):
+        shared = docs.sparkSession.sparkContext.broadcast(pack)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 1 << 20):
+                w = folded_words(batch.column("text"))
                 keep = np.ones(batch.num_rows, bool)
-                keep[[h[0] for h in _hits(batch, shared.value)]] = False
+                for index in shared.value:
+                    keep[[h[0] for h in _hits(w, index)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(lean(run), docs.schema)
+        docs = cut(docs.mapInArrow(lean(run), docs.schema), "clean")
     return docs

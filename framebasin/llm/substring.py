@@ -36,7 +36,7 @@ from .frames import carry, cut_lean as cut, lean, restore, slices
 from .words import Words, grams, signed, starts_in_text, words
 
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_ROWS = 1 << 17
+_CELLS = 1 << 19  # hashes that numpy copies at once to find anchors
 
 
 def _anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +47,8 @@ def _anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
     place = np.zeros(len(at), np.int64)
     if len(at):
         view = np.lib.stride_tricks.sliding_window_view(runs, width)
-        first = np.concatenate([np.argmin(view[s : s + _ROWS], axis=1) + np.arange(s, min(s + _ROWS, len(view))) for s in range(0, len(view), _ROWS)])
+        step = max(1, _CELLS // width)
+        first = np.concatenate([np.argmin(view[s : s + step], axis=1) + np.arange(s, min(s + step, len(view))) for s in range(0, len(view), step)])
         place = first[at]
     return at, text, place, runs
 

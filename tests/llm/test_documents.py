@@ -182,6 +182,24 @@ def test_without_leaks(odd_docs, no_docs, spark):
 # near-duplicates
 
 
+def test_items_of_all_lengths_are_met_by_one_pass(spark, monkeypatch):
+    plans, write = [], decontam.cut
+    monkeypatch.setattr(decontam, "cut", lambda df, name: plans.append(df) or write(df, name))
+    items = [(k, prose(1000 + k, 6 * 4**k)) for k in range(4)]  # an index for each length
+    docs = [(k, prose(k, 200)) for k in range(20)] + [(100 + k, f"{prose(300 + k, 50)} {items[k][1]}") for k in range(4)]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.leaks(left, right)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(100 + k, k) for k in range(4)}
+    assert {r.doc_id for r in decontam.without_leaks(left, right).collect()} == set(range(20))
+    # a Python worker for each task, not one for each index
+    passes = [df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for df in (found, *plans)]
+    assert passes == [1, 1]
+    plans.clear()
+    small = decontam.Search(most_words=100)  # the two short ones together, the others alone
+    assert {r.doc_id for r in decontam.without_leaks(left, right, small).collect()} == set(range(20)) and len(plans) > 1
+
+
 def brute_components(rows, width, percent=80):
     sets = []
     for _, text, *_ in rows:
