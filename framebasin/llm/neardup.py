@@ -9,10 +9,11 @@
 4. Members of a list are paired with a hub of the list, never with each other: first the member with most company
    in its own lists, as the original of many copies has, then the first in a random order that changes by round. One-bit minima and the estimate from the union of both sketches filter the pairs, the exact
    Jaccard of full sets confirms them, and confirmed pairs merge components.
-5. Rounds end when one merges few components compared with the first. The rest is exact: full sets of all members of
-   lists that still hold several components are ordered, rarest shingle first. If two sets reach the threshold, so many
-   shingles follow their first common one in both that it stands among the first fifth of each; sets are listed under
-   those, and two of different components meet only where the places and sizes leave the threshold possible.
+5. Rounds end when one merges few components compared with the first. Of the lists that still hold several components
+   those of at most ``small`` members keep who has a member of another component near by size and one-bit minima; longer
+   ones keep all. Full sets of these documents are ordered, rarest shingle first. If two sets reach the threshold, so
+   many shingles follow their first common one in both that it stands among the first fifth of each; sets are listed
+   under those, and two of different components meet only where the places and sizes leave the threshold possible.
 
 Only sets of documents in surviving pairs or in the last step are built again from their texts. A group of near copies
 costs a pair or two for each member and round, whatever its size. Members that no hub is linked with mostly differ from
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import passing
@@ -66,6 +67,7 @@ class Plan:
     cells: int = 1 << 18  # counters of the rarity table
     rounds: int = 6  # hub rounds at most; what they leave is done pair by pair
     tries: int = 2  # hubs a member is verified with in a round
+    small: int = 1024  # members of a list that are compared by one-bit minima before the last step
     parities: int = 8  # longs of parity bits that pairs of the last step are compared by
 
 
@@ -254,7 +256,7 @@ class _Sets:
     def of(self, named: DataFrame) -> DataFrame:
         """The sets of the representatives in ``named`` (id): id, items."""
         self._build(named)
-        return self._once().join(named, "id", "left_semi")
+        return self._once().join(_few(named), "id", "left_semi")
 
     def _build(self, named: DataFrame) -> None:
         if self.have is not None:
@@ -333,9 +335,13 @@ def _labelled(docs: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def _last_pairs(open_lists: DataFrame, sets: _Sets, plan: Plan) -> DataFrame:
+def _last_pairs(open_lists: DataFrame, near: Column, sets: _Sets, plan: Plan) -> DataFrame:
     """Pairs (a, b) of members of open lists, of different labels, that places and sizes leave possible; a has the turn."""
-    who = cut(open_lists.select("id", "label").distinct(), "members")
+    # documents share rare words with some that are not like them: who has nobody near in a list needs no full set
+    short = open_lists.where(F.col("all") <= plan.small)
+    other = short.select(*[F.col(c).alias(f"_{c}") for c in ("value", "id", "n", "minima", "label")])
+    kept = short.join(other, (F.col("value") == F.col("_value")) & near, "left_semi").union(open_lists.where(F.col("all") > plan.small))
+    who = cut(kept.select("id", "label").distinct(), "members")
     mine = sets.of(who.select("id"))
     listed = cut(_prefixes(mine, plan).join(_few(who), "id"), "prefixes")
     several = listed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("value")
@@ -390,7 +396,7 @@ def _sets_with_labels(docs: DataFrame, plan: Plan, lasting: Callable[[Callable[[
         last = k == plan.rounds or work <= listed or calm
         open_lists = lists.join(sizes, "value")
         if last:  # members of different components that are left
-            found = _estimate(_last_pairs(open_lists, sets, plan), reps, plan)
+            found = _estimate(_last_pairs(open_lists, near, sets, plan), reps, plan)
         else:
             order = F.xxhash64(F.col("id"), F.lit(k), F.pmod(F.col("value"), F.lit(4)))
             first_choice = -F.col("company") if k == 0 else F.lit(0).cast("long")

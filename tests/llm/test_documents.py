@@ -258,6 +258,16 @@ def test_pairs_of_the_last_step_lose_no_link(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
 
 
+def test_only_sets_with_somebody_near_are_ordered(spark, monkeypatch):
+    rows = [doc_row(k, prose(k, 120, 12)) for k in range(120)] + [doc_row(500 + k, edited(prose(k, 120, 12), k, 0.02)) for k in range(40)]
+    ordered, prefixes = [], neardup._prefixes
+    monkeypatch.setattr(neardup, "_prefixes", lambda sets, plan: ordered.append(sets.count()) or prefixes(sets, plan))
+    for small in (1024, 3):
+        got = neardup.components(spark.createDataFrame(rows, DOCS), neardup.Plan(width=2, rounds=0, small=small)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
+    assert ordered[0] <= 100 < ordered[1]  # all share word pairs, 80 are like another
+
+
 def test_tables_written_on_the_way_are_removed(spark, odd_docs):
     folder = Path(scratch_root(spark).removeprefix("file://"), "framebasin")
     before = set(folder.glob("*"))
